@@ -78,7 +78,7 @@ def glycemic_statistics(readings: DataFrame, *groups: str, value: str = GLUCOSE)
 def client_statistics(readings: DataFrame, *groups: str, value: str = GLUCOSE) -> DataFrame:
     """The same figures from unrounded intermediates, rounded half-up for display.
 
-    No readings give no row. A mean of zero gives a NULL CV.
+    No readings give no row. A mean of zero gives a NULL CV, which is not stable.
     """
     m = _moments(readings, groups, value).where(F.col("count") > 0)
     std = F.sqrt(F.col("_var"))
@@ -93,7 +93,7 @@ def client_statistics(readings: DataFrame, *groups: str, value: str = GLUCOSE) -
         half_up(F.col("_in_range") * 100, 1).alias("time_in_range_percent"),
         half_up(C.GMI_INTERCEPT + C.GMI_SLOPE * F.col("_avg"), 2).alias("gmi"),
         half_up(cv, 1).alias("cv_percent"),
-        (cv < C.CV_STABLE_BELOW).alias("cv_is_stable"),
+        F.coalesce(cv < C.CV_STABLE_BELOW, F.lit(False)).alias("cv_is_stable"),
     )
 
 
