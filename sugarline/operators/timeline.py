@@ -19,6 +19,8 @@ subject into one task:
   subject are ordered in one window; timestamps end at year 9999, so with chunks of a week
   there are at most about 520,000 of them. They are joined back on (subject, chunk) without a
   broadcast hint: adaptive execution broadcasts them only when they are measured to be small.
+  Every chunk has its summary; the joins are left joins all the same, because an inner join
+  adds null filters to one branch only and so keeps the branches from sharing their shuffle.
 """
 
 from __future__ import annotations
@@ -74,7 +76,9 @@ def merge_streams(events: DataFrame) -> DataFrame:
         return F.when(F.col("stream") == stream, F.col(column))
 
     return (
-        events.where(F.col("value").isNotNull() & F.col("ts").isNotNull())
+        events.where(
+            F.col("subject_id").isNotNull() & F.col("ts").isNotNull() & F.col("value").isNotNull()
+        )
         .groupBy("subject_id", "ts")
         .agg(
             F.min_by(of(GLUCOSE, "value"), of(GLUCOSE, "pos")).alias("glucose"),
@@ -161,7 +165,7 @@ def fill_grid(bins: DataFrame, limit: int = C.FILL_LIMIT) -> DataFrame:
         F.expr(f"lead(glucose) IGNORE NULLS {over}").alias("_next_glucose"),
         F.expr(f"lead(bin) {over}").alias("_next_any"),
     )
-    full = inside.join(around, CHUNK).select(
+    full = inside.join(around, CHUNK, "left").select(
         *CHUNK,
         "bin",
         "bolus",
@@ -243,7 +247,7 @@ def look_back(grid: DataFrame, rows: int = C.ROLLING_ROWS) -> DataFrame:
         F.sum("carbs").over(rolling).alias("_carbs"),
         F.last("basal", ignorenulls=True).over(so_far).alias("_basal"),
     )
-    full = inside.join(carried, CHUNK)
+    full = inside.join(carried, CHUNK, "left")
 
     def lagged(n: int) -> Column:
         from_end = F.when(F.col("_row") <= n, F.col("_row") - (n + 1)).cast("int")

@@ -1,0 +1,153 @@
+"""Event files: one XML document per subject and split, four streams, values in attributes.
+
+A document is parsed once; its streams leave as one long table
+
+    subject_id, stream, ts, value, detail, pos
+
+with the bolus type as ``detail`` and the position inside the stream as ``pos``.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+
+from sugarline.functions import parsing
+from sugarline.operators.timeline import BASAL, BOLUS, GLUCOSE, MEAL
+
+ATTRIBUTES = {
+    "glucose_level": ("_ts", "_value"),
+    "bolus": ("_ts_begin", "_ts", "_dose", "_type"),
+    "basal": ("_ts", "_value"),
+    "meal": ("_ts", "_carbs"),
+}
+SCHEMA = ", ".join(
+    f"{stream} array<struct<event:array<struct<{','.join(f'{a}:string' for a in names)}>>>>"
+    for stream, names in ATTRIBUTES.items()
+)
+FILE_PATTERN = "*-ws-{split}.xml"
+
+
+def subject_of(file_name: Column) -> Column:
+    """Subject id: the file stem before its first dash."""
+    return F.split_part(F.regexp_replace(file_name, r"\.[^.]*$", ""), F.lit("-"), F.lit(1))
+
+
+def in_split(file_name: Column, split: str) -> Column:
+    return file_name.endswith(f"-ws-{split}.xml")
+
+
+def discover_split_files(spark: SparkSession, raw_dir: str, split: str) -> DataFrame:
+    """Files of the split with their subject, in name order; contents are not read."""
+    files = (
+        spark.read.format("binaryFile")
+        .option("pathGlobFilter", FILE_PATTERN.format(split=split))
+        .load(raw_dir)
+        .select(F.col("path"), F.col("_metadata.file_name").alias("file_name"))
+    )
+    return files.withColumn("subject_id", subject_of(F.col("file_name"))).orderBy("file_name")
+
+
+def split_files_exist(spark: SparkSession, raw_dir: str, split: str) -> bool:
+    return not discover_split_files(spark, raw_dir, split).isEmpty()
+
+
+def parse_xml_texts(docs: DataFrame) -> DataFrame:
+    """Documents held as (file_name, text) rows."""
+    parsed = docs.select(
+        subject_of(F.col("file_name")).alias("subject_id"),
+        F.from_xml("text", SCHEMA).alias("doc"),
+    )
+    return explode_streams(parsed.select("subject_id", "doc.*"))
+
+
+def read_split(
+    spark: SparkSession, raw_dir: str, split: str, row_tag: str = "patient"
+) -> DataFrame:
+    """Events of all subjects of a split; empty when no file matches."""
+    rows = (
+        spark.read.format("xml")
+        .option("rowTag", row_tag)
+        .option("pathGlobFilter", FILE_PATTERN.format(split=split))
+        .schema(SCHEMA)
+        .load(raw_dir)
+        .select(subject_of(F.col("_metadata.file_name")).alias("subject_id"), *ATTRIBUTES)
+    )
+    return explode_streams(rows)
+
+
+def raw_events(rows: DataFrame) -> DataFrame:
+    """All events as text: subject_id, stream, ts_text, value_text, detail, pos."""
+
+    def stream(tag: str, name: str, fields) -> Column:
+        events = F.flatten(F.filter(F.transform(tag, lambda s: s["event"]), F.isnotnull))
+
+        def to_row(event: Column, position: Column) -> Column:
+            ts, value, detail = fields(event)
+            return F.struct(
+                F.lit(name).alias("stream"),
+                ts.alias("ts_text"),
+                value.alias("value_text"),
+                detail.alias("detail"),
+                position.cast("bigint").alias("pos"),
+            )
+
+        empty = F.array().cast(
+            "array<struct<stream:string,ts_text:string,value_text:string,detail:string,pos:bigint>>"
+        )
+        return F.coalesce(F.transform(events, to_row), empty)
+
+    nothing = F.lit(None).cast("string")
+    streams = F.concat(
+        stream("glucose_level", GLUCOSE, lambda e: (e["_ts"], e["_value"], nothing)),
+        stream(
+            "bolus",
+            BOLUS,
+            lambda e: (
+                parsing.coalesce_bolus_ts(e["_ts_begin"], e["_ts"]),
+                e["_dose"],
+                parsing.default_bolus_type(e["_type"]),
+            ),
+        ),
+        stream("basal", BASAL, lambda e: (e["_ts"], e["_value"], nothing)),
+        stream("meal", MEAL, lambda e: (e["_ts"], e["_carbs"], nothing)),
+    )
+    return rows.select("subject_id", F.inline(streams))
+
+
+def drop_missing_attr(events: DataFrame) -> DataFrame:
+    """Events with both a time and a value, neither empty."""
+    return events.where((F.col("ts_text") != "") & (F.col("value_text") != ""))
+
+
+def explode_streams(rows: DataFrame) -> DataFrame:
+    events = drop_missing_attr(raw_events(rows)).select(
+        "subject_id",
+        "stream",
+        parsing.parse_xml_ts(F.col("ts_text")).alias("ts"),
+        parsing.parse_number(F.col("value_text")).alias("value"),
+        "detail",
+        "pos",
+    )
+    return events.where(F.col("ts").isNotNull() & F.col("value").isNotNull())
+
+
+def _stream(events: DataFrame, name: str, value: str, *more: Column) -> DataFrame:
+    return events.where(F.col("stream") == name).select(
+        "subject_id", F.col("ts").alias("timestamp"), F.col("value").alias(value), *more
+    )
+
+
+def glucose_events(events: DataFrame) -> DataFrame:
+    return _stream(events, GLUCOSE, "glucose_mg_dl")
+
+
+def bolus_events(events: DataFrame) -> DataFrame:
+    return _stream(events, BOLUS, "bolus_dose_u", F.col("detail").alias("bolus_type"))
+
+
+def basal_events(events: DataFrame) -> DataFrame:
+    return _stream(events, BASAL, "basal_rate_u_hr")
+
+
+def meal_events(events: DataFrame) -> DataFrame:
+    return _stream(events, MEAL, "carbs_g")
