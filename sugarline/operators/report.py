@@ -90,10 +90,11 @@ def correlation_matrix(features: DataFrame, columns: tuple[str, ...] = C.FEATURE
         .agg(F.try_divide(F.covar_pop("x", "y"), spread).alias("correlation"))
     )
     # Every cell of the matrix, also those whose pair has no rows
-    spark = features.sparkSession
     cells = [(x, y, i) for i, (x, y) in enumerate(pairs)]
     cells += [(y, x, i) for x, y, i in cells if x != y]
-    matrix = spark.createDataFrame(cells, "feature_x string, feature_y string, pair int")
+    names = ("feature_x", "feature_y", "pair")
+    entries = [F.struct(*[F.lit(v).alias(n) for n, v in zip(names, cell)]) for cell in cells]
+    matrix = features.sparkSession.range(1).select(F.inline(F.array(*entries)))
     exact = F.when(F.col("feature_x") == F.col("feature_y"), F.rint("correlation"))
     return matrix.join(upper, "pair", "left").select(
         "feature_x", "feature_y", exact.otherwise(F.col("correlation")).alias("correlation")
