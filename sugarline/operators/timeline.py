@@ -195,7 +195,7 @@ def fill_grid(bins: DataFrame, limit: int = C.FILL_LIMIT) -> DataFrame:
         *CHUNK,
         "grid_bin",
         F.when(steps == 0, F.col("_prev_glucose"))
-        .otherwise(F.col("_prev_glucose") + rise * steps / gap)
+        .otherwise(rise / gap * steps + F.col("_prev_glucose"))
         .alias("glucose"),
         (steps > 0).alias("filled"),
         F.coalesce(F.when(own, F.col("bolus")), F.lit(0.0)).alias("bolus"),

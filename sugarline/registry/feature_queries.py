@@ -26,8 +26,19 @@ def query(sql: str | None):
 BIN = "time_bucket(INTERVAL '6 hours', ts)"
 
 
+DOUBLES = (
+    "glucose_mg_dl glucose_delta_1 glucose_delta_3 bolus_last_1h basal_rate carbs_last_1h"
+    " hour_sin hour_cos dow_sin dow_cos"
+).split()
+
+
+def rounded_sql() -> str:
+    doubles = ", ".join(f"ROUND({c}, 7) AS {c}" for c in DOUBLES)
+    return f"ts, {doubles}, is_hypo, is_hyper, subject_id"
+
+
 def timeline_sql(source: str = "streams") -> str:
-    """CTEs ending in ``features``, built with one window per subject."""
+    """CTEs ending in ``exact_features`` and, rounded, ``features``; one window per subject."""
     lag_window = "PARTITION BY subject_id ORDER BY ts"
     return f"""first_seen AS (
   SELECT subject_id, ts, arg_min(value, pos) AS v FROM {source}
@@ -40,7 +51,7 @@ neighbours AS (
   FROM observed WINDOW w AS (PARTITION BY subject_id ORDER BY bin)),
 grid AS (
   SELECT subject_id, bin + k * INTERVAL 6 HOUR AS ts, k > 0 AS filled,
-         CASE WHEN k = 0 THEN v ELSE v + (next_v - v) * k / gap END AS glucose
+         CASE WHEN k = 0 THEN v ELSE (next_v - v) / gap * k + v END AS glucose
   FROM neighbours, (VALUES (0), (1), (2), (3)) steps(k)
   WHERE k = 0 OR k < gap),
 bolus_bins AS (
@@ -57,23 +68,24 @@ aligned AS (
   FROM grid LEFT JOIN bolus_bins USING (subject_id, ts)
             LEFT JOIN basal_bins USING (subject_id, ts)
             LEFT JOIN carb_bins USING (subject_id, ts)),
-features AS (
-  SELECT ts, ROUND(glucose, 7) AS glucose_mg_dl,
-         ROUND(glucose - LAG(glucose, 1) OVER w, 7) AS glucose_delta_1,
-         ROUND(glucose - LAG(glucose, 3) OVER w, 7) AS glucose_delta_3,
-         ROUND(SUM(bolus) OVER ({lag_window} ROWS BETWEEN 11 PRECEDING AND CURRENT ROW), 7)
+exact_features AS (
+  SELECT ts, glucose AS glucose_mg_dl,
+         glucose - LAG(glucose, 1) OVER w AS glucose_delta_1,
+         glucose - LAG(glucose, 3) OVER w AS glucose_delta_3,
+         SUM(bolus) OVER ({lag_window} ROWS BETWEEN 11 PRECEDING AND CURRENT ROW)
            AS bolus_last_1h,
-         ROUND(COALESCE(LAST_VALUE(basal IGNORE NULLS) OVER ({lag_window}
-           ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0.0), 7) AS basal_rate,
-         ROUND(SUM(carbs) OVER ({lag_window} ROWS BETWEEN 11 PRECEDING AND CURRENT ROW), 7)
+         COALESCE(LAST_VALUE(basal IGNORE NULLS) OVER ({lag_window}
+           ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0.0) AS basal_rate,
+         SUM(carbs) OVER ({lag_window} ROWS BETWEEN 11 PRECEDING AND CURRENT ROW)
            AS carbs_last_1h,
-         ROUND(SIN(2 * PI() * EXTRACT(hour FROM ts) / 24), 7) AS hour_sin,
-         ROUND(COS(2 * PI() * EXTRACT(hour FROM ts) / 24), 7) AS hour_cos,
-         ROUND(SIN(2 * PI() * (EXTRACT(isodow FROM ts) - 1) / 7), 7) AS dow_sin,
-         ROUND(COS(2 * PI() * (EXTRACT(isodow FROM ts) - 1) / 7), 7) AS dow_cos,
+         SIN(2 * PI() * EXTRACT(hour FROM ts) / 24) AS hour_sin,
+         COS(2 * PI() * EXTRACT(hour FROM ts) / 24) AS hour_cos,
+         SIN(2 * PI() * (EXTRACT(isodow FROM ts) - 1) / 7) AS dow_sin,
+         COS(2 * PI() * (EXTRACT(isodow FROM ts) - 1) / 7) AS dow_cos,
          CAST(glucose < 70 AS INTEGER) AS is_hypo, CAST(glucose > 180 AS INTEGER) AS is_hyper,
          subject_id
-  FROM aligned WINDOW w AS ({lag_window}))"""
+  FROM aligned WINDOW w AS ({lag_window})),
+features AS (SELECT {rounded_sql()} FROM exact_features)"""
 
 
 TIMELINE = f"WITH {fx.STREAMS_CTE}, {timeline_sql()}"

@@ -11,7 +11,7 @@ from sugarline.operators import report
 from sugarline.plans.features import build_feature_frame
 from sugarline.plans.report import eda_report as full_report
 from sugarline.registry import fixtures as fx
-from sugarline.registry.feature_queries import TIMELINE, rounded
+from sugarline.registry.feature_queries import TIMELINE, rounded, rounded_sql
 from sugarline.session import scratch_dir
 from sugarline.sources import features_table
 
@@ -38,7 +38,7 @@ def percent(condition: str) -> str:
 
 
 SPLIT = f"CASE WHEN ts < TIMESTAMP '{fx.SPLIT_AT}' THEN 'training' ELSE 'testing' END AS split"
-SPLIT_FEATURES = f"{TIMELINE}, parts AS (SELECT *, {SPLIT} FROM features)"
+SPLIT_FEATURES = f"{TIMELINE}, parts AS (SELECT *, {SPLIT} FROM exact_features)"
 
 
 def _features(spark, sf_dir):
@@ -107,13 +107,13 @@ counts AS (
          CAST(LEAST(FLOOR((glucose_mg_dl - low) / (high - low) * 60), 59) AS INTEGER) AS bin,
          COUNT(*) AS n
   FROM readings JOIN widened USING (subject_id) GROUP BY ALL)
-SELECT subject_id, bin, ROUND(low + bin * ((high - low) / 60), 6) AS bin_start,
-       COALESCE(n, 0) AS n, ROUND(mean_glucose, 6) AS mean_glucose
+SELECT subject_id, bin, ROUND(low + bin * ((high - low) / 60), 9) AS bin_start,
+       COALESCE(n, 0) AS n, ROUND(mean_glucose, 9) AS mean_glucose
 FROM widened CROSS JOIN (SELECT UNNEST(RANGE(60))::INTEGER AS bin) slots
 LEFT JOIN counts USING (subject_id, bin)"""
 )
 def glucose_histogram(spark, sf_dir):
-    return rounded(report.glucose_histogram(fx.readings(spark, sf_dir)), 6)
+    return rounded(report.glucose_histogram(fx.readings(spark, sf_dir)), 9)
 
 
 @query("SELECT DISTINCT CAST(user_id AS VARCHAR) AS subject_id FROM events ORDER BY subject_id")
@@ -184,12 +184,12 @@ def dataset_profile(spark, sf_dir):
     return report.dataset_profile(_features(spark, sf_dir))
 
 
-@query(f"{SPLIT_FEATURES} SELECT * FROM parts")
+@query(f"{SPLIT_FEATURES} SELECT {rounded_sql()}, split FROM parts")
 def write_features(spark, sf_dir):
     return rounded(_stored(spark, sf_dir))
 
 
-@query(f"{SPLIT_FEATURES} SELECT * FROM parts {TRAINING}")
+@query(f"{SPLIT_FEATURES} SELECT {rounded_sql()}, split FROM parts {TRAINING}")
 def read_features(spark, sf_dir):
     path = scratch_dir(spark, "features")
     features_table.write_all_splits(_features(spark, sf_dir), path)

@@ -27,7 +27,7 @@ def _grid(glucose, cadence, limit):
         if i + 1 < len(observed):
             nb, nvalue = observed[i + 1]
             for k in range(1, min(nb - b - 1, limit) + 1):
-                grid.append((b + k, value + (nvalue - value) * k / (nb - b)))
+                grid.append((b + k, (nvalue - value) / (nb - b) * k + value))
     return grid
 
 
