@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from itertools import combinations
-
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from sugarline import constants as C
 from sugarline.functions.clinical import in_range
+from sugarline.functions.exact import exact_avg
 from sugarline.functions.rounding import scaled_rint
 
 GLUCOSE = "glucose_mg_dl"
@@ -15,7 +14,7 @@ TOTAL = "total"
 
 
 def _percent(condition: Column) -> Column:
-    return F.avg(condition.cast("double")) * 100
+    return F.try_divide(F.count_if(condition), F.count(F.lit(1))) * 100
 
 
 def zone_breakdown(features: DataFrame) -> DataFrame:
@@ -53,7 +52,7 @@ def summary_by_subject(features: DataFrame) -> DataFrame:
     """Count, mean, sample deviation and extremes of a subject, one decimal."""
     v = F.col(GLUCOSE)
     figures = {
-        "mean": F.avg(v),
+        "mean": exact_avg(v),
         "std": F.stddev_samp(v),
         "min": F.min(v),
         "max": F.max(v),
@@ -67,37 +66,88 @@ def summary_by_subject(features: DataFrame) -> DataFrame:
 def correlation_matrix(features: DataFrame, columns: tuple[str, ...] = C.FEATURES) -> DataFrame:
     """Pearson correlation of every pair of columns over the rows where both are present.
 
-    A row contributes one record per column pair (a fixed number, 45 for ten columns), combined
-    on the map side into one buffer per pair; only those are shuffled. A constant column gives
-    NULL.
+    Rows are grouped by which columns they have; inside such a group every pair is complete.
+    A row gives one record per column, combined on the map side into means and co-moments, so
+    that only a few dozen buffers are shuffled. The groups of a pair are then merged exactly:
+    co-moments add up, plus the spread of the group means. A constant column gives NULL.
     """
-    pairs = list(combinations(columns, 2)) + [(c, c) for c in columns]
+    numbers = range(len(columns))
+    values = [F.col(c).cast("double") for c in columns]
+    present = F.lit(0)
+    for i, v in enumerate(values):
+        present = present + F.when(v.isNull(), 0).otherwise(1 << i)
     records = F.array(
+        *[F.struct(F.lit(i).alias("i"), v.alias("x")) for i, v in enumerate(values)]
+    )
+    moments = (
+        features.select(
+            present.alias("present"),
+            *[v.alias(f"y{j}") for j, v in enumerate(values)],
+            F.inline(records),
+        )
+        .where(F.col("x").isNotNull())
+        .groupBy("present", "i")
+        .agg(
+            F.count("x").alias("n"),
+            F.avg("x").alias("mean"),
+            F.min("x").alias("low"),
+            F.max("x").alias("high"),
+            F.array(*[F.covar_pop("x", f"y{j}") for j in numbers]).alias("covar"),
+        )
+    )
+    # At most one entry per column
+    by_column = moments.groupBy("present").agg(
+        F.map_from_entries(
+            F.collect_list(F.struct("i", F.struct("n", "mean", "low", "high", "covar")))
+        ).alias("by_column")
+    )
+    cells = F.array(
         *[
             F.struct(
-                F.lit(i).alias("pair"),
-                F.col(x).cast("double").alias("x"),
-                F.col(y).cast("double").alias("y"),
+                F.lit(x).alias("feature_x"),
+                F.lit(y).alias("feature_y"),
+                F.lit(i).alias("i"),
+                F.lit(j).alias("j"),
             )
-            for i, (x, y) in enumerate(pairs)
+            for i, x in enumerate(columns)
+            for j, y in enumerate(columns)
         ]
     )
-    spread = F.stddev_pop("x") * F.stddev_pop("y")
-    upper = (
-        features.select(F.inline(records))
-        .where(F.col("x").isNotNull() & F.col("y").isNotNull())
-        .groupBy("pair")
-        .agg(F.try_divide(F.covar_pop("x", "y"), spread).alias("correlation"))
-    )
-    # Every cell of the matrix, also those whose pair has no rows
-    cells = [(x, y, i) for i, (x, y) in enumerate(pairs)]
-    cells += [(y, x, i) for x, y, i in cells if x != y]
-    names = ("feature_x", "feature_y", "pair")
-    entries = [F.struct(*[F.lit(v).alias(n) for n, v in zip(names, cell)]) for cell in cells]
-    matrix = features.sparkSession.range(1).select(F.inline(F.array(*entries)))
-    exact = F.when(F.col("feature_x") == F.col("feature_y"), F.rint("correlation"))
-    return matrix.join(upper, "pair", "left").select(
-        "feature_x", "feature_y", exact.otherwise(F.col("correlation")).alias("correlation")
+    parts = (
+        by_column.select("by_column", F.inline(cells))
+        .withColumn("a", F.try_element_at("by_column", F.col("i")))
+        .withColumn("b", F.try_element_at("by_column", F.col("j")))
+    )
+    both = F.col("a").isNotNull() & F.col("b").isNotNull()
+    n = F.when(both, F.col("a.n"))
+    pair = Window.partitionBy("feature_x", "feature_y")
+    parts = parts.withColumn("n", n).withColumns(
+        {
+            f"mean_{s}": F.try_divide(
+                F.sum(F.col("n") * F.col(f"{s}.mean")).over(pair), F.sum("n").over(pair)
+            )
+            for s in ("a", "b")
+        }
+    )
+
+    def comoment(first: str, second: str, within: Column) -> Column:
+        between = (F.col(f"{first}.mean") - F.col(f"mean_{first}")) * (
+            F.col(f"{second}.mean") - F.col(f"mean_{second}")
+        )
+        return F.sum(F.col("n") * (within + between))
+
+    def varies(side: str) -> Column:
+        low, high = F.col(f"{side}.low"), F.col(f"{side}.high")
+        return F.min(F.when(both, low)) < F.max(F.when(both, high))
+
+    xy = comoment("a", "b", F.get(F.col("a.covar"), F.col("j")))
+    xx = comoment("a", "a", F.get(F.col("a.covar"), F.col("i")))
+    yy = comoment("b", "b", F.get(F.col("b.covar"), F.col("j")))
+    correlation = F.when(F.col("feature_x") == F.col("feature_y"), F.lit(1.0)).otherwise(
+        F.try_divide(xy, F.sqrt(xx * yy))
+    )
+    return parts.groupBy("feature_x", "feature_y").agg(
+        F.when(varies("a") & varies("b"), correlation).alias("correlation")
     )
 
 

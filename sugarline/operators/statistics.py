@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from sugarline import constants as C
 from sugarline.functions import clinical
+from sugarline.functions.exact import exact_avg
 from sugarline.functions.rounding import half_even, half_up
 
 GLUCOSE = "glucose_mg_dl"
@@ -29,7 +30,7 @@ def _moments(readings: DataFrame, groups: tuple[str, ...], value: str) -> DataFr
             F.count(v).alias("count"),
             F.min(v).alias("_min"),
             F.max(v).alias("_max"),
-            F.avg(v).alias("_avg"),
+            exact_avg(v).alias("_avg"),
             F.var_pop(v).alias("_var"),
             _share(clinical.in_range(v)).alias("_in_range"),
         )

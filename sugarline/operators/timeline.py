@@ -28,6 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from sugarline import constants as C
+from sugarline.functions.exact import exact_avg, exact_sum
 
 GLUCOSE, BOLUS, BASAL, MEAL = "glucose", "bolus", "basal", "meal"
 CHUNK_SECONDS = 7 * 86400
@@ -82,9 +83,9 @@ def merge_streams(events: DataFrame) -> DataFrame:
         .groupBy("subject_id", "ts")
         .agg(
             F.min_by(of(GLUCOSE, "value"), of(GLUCOSE, "pos")).alias("glucose"),
-            F.sum(of(BOLUS, "value")).alias("bolus"),
+            exact_sum(of(BOLUS, "value")).alias("bolus"),
             F.max_by(of(BASAL, "value"), of(BASAL, "pos")).alias("basal"),
-            F.sum(of(MEAL, "value")).alias("carbs"),
+            exact_sum(of(MEAL, "value")).alias("carbs"),
         )
     )
 
@@ -106,10 +107,10 @@ def resample(
         binned.withColumn("_chunk", chunk)
         .groupBy(*CHUNK, "bin")
         .agg(
-            F.avg("glucose").alias("glucose"),
-            F.sum("bolus").alias("bolus"),
+            exact_avg(F.col("glucose")).alias("glucose"),
+            exact_sum(F.col("bolus")).alias("bolus"),
             F.max_by("basal", F.when(F.col("basal").isNotNull(), F.col("ts"))).alias("basal"),
-            F.sum("carbs").alias("carbs"),
+            exact_sum(F.col("carbs")).alias("carbs"),
         )
         # Always true. It keeps all four columns alive in every branch of the plan, so that the
         # branches share one shuffle instead of each computing a narrower one.

@@ -32,8 +32,15 @@ DOUBLES = (
 ).split()
 
 
+
+
+def digits(column: str) -> int:
+    """Glucose is a short decimal cut by a gap length and needs more digits to stay off ties."""
+    return 9 if column.startswith("glucose") else 7
+
+
 def rounded_sql() -> str:
-    doubles = ", ".join(f"ROUND({c}, 7) AS {c}" for c in DOUBLES)
+    doubles = ", ".join(f"ROUND({c}, {digits(c)}) AS {c}" for c in DOUBLES)
     return f"ts, {doubles}, is_hypo, is_hyper, subject_id"
 
 
@@ -44,7 +51,7 @@ def timeline_sql(source: str = "streams") -> str:
   SELECT subject_id, ts, arg_min(value, pos) AS v FROM {source}
   WHERE stream = 'glucose' GROUP BY subject_id, ts),
 observed AS (
-  SELECT subject_id, {BIN} AS bin, AVG(v) AS v FROM first_seen GROUP BY subject_id, {BIN}),
+  SELECT subject_id, {BIN} AS bin, FAVG(v) AS v FROM first_seen GROUP BY subject_id, {BIN}),
 neighbours AS (
   SELECT *, LEAD(v) OVER w AS next_v,
          CAST((epoch(LEAD(bin) OVER w) - epoch(bin)) / 21600 AS BIGINT) AS gap
@@ -55,13 +62,13 @@ grid AS (
   FROM neighbours, (VALUES (0), (1), (2), (3)) steps(k)
   WHERE k = 0 OR k < gap),
 bolus_bins AS (
-  SELECT subject_id, {BIN} AS ts, SUM(value) AS bolus FROM {source}
+  SELECT subject_id, {BIN} AS ts, FSUM(value) AS bolus FROM {source}
   WHERE stream = 'bolus' GROUP BY subject_id, {BIN}),
 basal_bins AS (
   SELECT subject_id, {BIN} AS ts, arg_max(value, (ts, pos)) AS basal FROM {source}
   WHERE stream = 'basal' GROUP BY subject_id, {BIN}),
 carb_bins AS (
-  SELECT subject_id, {BIN} AS ts, SUM(value) AS carbs FROM {source}
+  SELECT subject_id, {BIN} AS ts, FSUM(value) AS carbs FROM {source}
   WHERE stream = 'meal' GROUP BY subject_id, {BIN}),
 aligned AS (
   SELECT grid.*, COALESCE(bolus, 0.0) AS bolus, basal, COALESCE(carbs, 0.0) AS carbs
@@ -91,11 +98,11 @@ features AS (SELECT {rounded_sql()} FROM exact_features)"""
 TIMELINE = f"WITH {fx.STREAMS_CTE}, {timeline_sql()}"
 
 
-def rounded(df: DataFrame, digits: int = 7) -> DataFrame:
+def rounded(df: DataFrame, places: int | None = None) -> DataFrame:
     """Doubles at a fixed number of decimals, for comparing with another engine."""
     return df.select(
         *[
-            F.round(name, digits).alias(name) if kind == "double" else F.col(name)
+            F.round(name, places or digits(name)).alias(name) if kind == "double" else F.col(name)
             for name, kind in df.dtypes
         ]
     )
@@ -138,7 +145,7 @@ def dedup_timestamp(spark, sf_dir):
     return timeline.dedup_timestamp(_hourly_glucose(spark, sf_dir))
 
 
-@query(f"{TIMELINE} SELECT subject_id, bin AS ts, ROUND(v, 7) AS glucose FROM observed")
+@query(f"{TIMELINE} SELECT subject_id, bin AS ts, ROUND(v, 9) AS glucose FROM observed")
 def resample_mean(spark, sf_dir):
     bins = _bins(spark, sf_dir).where(F.col("glucose").isNotNull())
     return _at(bins, "bin", "glucose")
@@ -162,7 +169,7 @@ def resample_last(spark, sf_dir):
 # --- grid and alignment ---------------------------------------------------------------------
 
 
-@query(f"{TIMELINE} SELECT subject_id, ts, ROUND(glucose, 7) AS glucose, filled FROM grid")
+@query(f"{TIMELINE} SELECT subject_id, ts, ROUND(glucose, 9) AS glucose, filled FROM grid")
 def interpolate_gaps(spark, sf_dir):
     return _at(_grid(spark, sf_dir), "grid_bin", "glucose", "filled")
 

@@ -73,7 +73,7 @@ FROM {source} GROUP BY subject_id"""
 
 def summary_sql(source: str, where: str = "") -> str:
     v = "glucose_mg_dl"
-    return f"""SELECT subject_id, COUNT({v}) AS n, {one_decimal(f"AVG({v})")} AS mean,
+    return f"""SELECT subject_id, COUNT({v}) AS n, {one_decimal(f"FAVG({v})")} AS mean,
   {one_decimal(f"STDDEV_SAMP({v})")} AS std, {one_decimal(f"MIN({v})")} AS min,
   {one_decimal(f"MAX({v})")} AS max
 FROM {source} {where} GROUP BY subject_id"""
@@ -98,7 +98,7 @@ def summary_by_subject(spark, sf_dir):
     f"""WITH {fx.READINGS_CTE},
 ranges AS (
   SELECT subject_id, MIN(glucose_mg_dl) AS mn, MAX(glucose_mg_dl) AS mx,
-         AVG(glucose_mg_dl) AS mean_glucose FROM readings GROUP BY subject_id),
+         FAVG(glucose_mg_dl) AS mean_glucose FROM readings GROUP BY subject_id),
 widened AS (
   SELECT subject_id, mean_glucose, CASE WHEN mn = mx THEN mn - 0.5 ELSE mn END AS low,
          CASE WHEN mn = mx THEN mx + 0.5 ELSE mx END AS high FROM ranges),
