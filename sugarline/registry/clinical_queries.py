@@ -29,11 +29,16 @@ def r2(x: str) -> str:
     return f"CAST(format('{{:.2f}}', {x}) AS DOUBLE)"
 
 
+def mean(x: str) -> str:
+    """Mean of values with at most four decimals, summed without error."""
+    return f"CAST(SUM(CAST({x} AS DECIMAL(18, 4))) AS DOUBLE) / COUNT({x})"
+
+
 def statistics_sql(source: str, group: str, value: str = "glucose_mg_dl") -> str:
     """CTEs ending in ``stats``: the chained statistics of ``source`` per ``group``."""
     return f"""means AS (
   SELECT {group}, COUNT({value}) AS n, MIN({value}) AS lo, MAX({value}) AS hi,
-         {r2(f"FAVG({value})")} AS a,
+         {r2(mean(value))} AS a,
          {r2(f"AVG(CASE WHEN {value} BETWEEN 70 AND 180 THEN 1.0 ELSE 0.0 END) * 100")} AS tir
   FROM {source} GROUP BY {group}),
 spreads AS (
@@ -51,13 +56,13 @@ stats AS (
 
 def client_statistics_sql(source: str, groups: str, value: str = "glucose_mg_dl") -> str:
     return f"""SELECT {groups}, COUNT(*) AS count, FLOOR(MIN({value}) + 0.5) AS min_glucose,
-  FLOOR(MAX({value}) + 0.5) AS max_glucose, FLOOR(FAVG({value}) + 0.5) AS avg_glucose,
+  FLOOR(MAX({value}) + 0.5) AS max_glucose, FLOOR({mean(value)} + 0.5) AS avg_glucose,
   FLOOR(STDDEV_POP({value}) * 10 + 0.5) / 10 AS std_dev,
   FLOOR(AVG(CASE WHEN {value} BETWEEN 70 AND 180 THEN 1.0 ELSE 0.0 END) * 1000 + 0.5) / 10
     AS time_in_range_percent,
-  FLOOR((3.31 + 0.02392 * FAVG({value})) * 100 + 0.5) / 100 AS gmi,
-  FLOOR(STDDEV_POP({value}) / FAVG({value}) * 1000 + 0.5) / 10 AS cv_percent,
-  STDDEV_POP({value}) / FAVG({value}) * 100 < 36 AS cv_is_stable
+  FLOOR((3.31 + 0.02392 * {mean(value)}) * 100 + 0.5) / 100 AS gmi,
+  FLOOR(STDDEV_POP({value}) / ({mean(value)}) * 1000 + 0.5) / 10 AS cv_percent,
+  STDDEV_POP({value}) / ({mean(value)}) * 100 < 36 AS cv_is_stable
 FROM {source} GROUP BY {groups}"""
 
 
@@ -276,7 +281,7 @@ def _stats(spark, sf_dir):
 
 
 @query(
-    f"""SELECT CAST(user_id AS VARCHAR) AS subject_id, {r2(f"3.31 + 0.02392 * {r2('FAVG(value)')}")}
+    f"""SELECT CAST(user_id AS VARCHAR) AS subject_id, {r2(f"3.31 + 0.02392 * {r2(mean('value'))}")}
           AS gmi FROM events GROUP BY user_id"""
 )
 def gmi(spark, sf_dir):

@@ -11,6 +11,7 @@ from sugarline.operators import report
 from sugarline.plans.features import build_feature_frame
 from sugarline.plans.report import eda_report as full_report
 from sugarline.registry import fixtures as fx
+from sugarline.registry.clinical_queries import mean
 from sugarline.registry.feature_queries import TIMELINE, rounded, rounded_sql
 from sugarline.session import scratch_dir
 from sugarline.sources import features_table
@@ -98,7 +99,7 @@ def summary_by_subject(spark, sf_dir):
     f"""WITH {fx.READINGS_CTE},
 ranges AS (
   SELECT subject_id, MIN(glucose_mg_dl) AS mn, MAX(glucose_mg_dl) AS mx,
-         FAVG(glucose_mg_dl) AS mean_glucose FROM readings GROUP BY subject_id),
+         {mean("glucose_mg_dl")} AS mean_glucose FROM readings GROUP BY subject_id),
 widened AS (
   SELECT subject_id, mean_glucose, CASE WHEN mn = mx THEN mn - 0.5 ELSE mn END AS low,
          CASE WHEN mn = mx THEN mx + 0.5 ELSE mx END AS high FROM ranges),

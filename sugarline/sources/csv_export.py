@@ -35,7 +35,7 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_sources(spark: SparkSession, path: str) -> DataFrame:
-    """Paths of all ``*.csv`` files, empty ones included, without reading them."""
+    """Paths of all ``*.csv`` files, without reading them. Spark passes over files of zero bytes."""
     return (
         spark.read.format("binaryFile")
         .option("pathGlobFilter", "*.csv")
