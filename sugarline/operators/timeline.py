@@ -16,11 +16,14 @@ subject into one task:
   number is the size bound of a window group;
 * what a chunk needs from its neighbours (the observed bins around it, the last rows and the
   last basal rate before it) is carried by one summary row per chunk. The summaries of a
-  subject are ordered in one window; timestamps end at year 9999, so with chunks of a week
-  there are at most about 520,000 of them. They are joined back on (subject, chunk) without a
-  broadcast hint: adaptive execution broadcasts them only when they are measured to be small.
-  Every chunk has its summary; the joins are left joins all the same, because an inner join
-  adds null filters to one branch only and so keeps the branches from sharing their shuffle.
+  subject are ordered in one window; timestamps end at year 9999, so at five minutes there are
+  at most about 260,000 of them. They are joined back on (subject, chunk) without a broadcast
+  hint: adaptive execution broadcasts them only when they are measured to be small. Every chunk
+  has its summary; the joins are left joins all the same, because an inner join adds null
+  filters to one branch only and so keeps the branches from sharing their shuffle.
+
+The main data is shuffled three times, smaller each time: by (subject, timestamp), by (subject,
+bin), by (subject, chunk).
 """
 
 from __future__ import annotations
@@ -31,8 +34,11 @@ from sugarline import constants as C
 from sugarline.functions.exact import exact_avg, exact_sum
 
 GLUCOSE, BOLUS, BASAL, MEAL = "glucose", "bolus", "basal", "meal"
-CHUNK_SECONDS = 7 * 86400
+# Bins per chunk: two weeks at five minutes
+CHUNK_BINS = 4096
 CHUNK = ["subject_id", "_chunk"]
+# Earlier rows that a look-back needs
+KEPT = C.ROLLING_ROWS - 1
 
 
 def epoch_second(ts: Column) -> Column:
@@ -91,7 +97,7 @@ def merge_streams(events: DataFrame) -> DataFrame:
 
 
 def resample(
-    events: DataFrame, cadence: int = C.CADENCE_SECONDS, chunk_seconds: int = CHUNK_SECONDS
+    events: DataFrame, cadence: int = C.CADENCE_SECONDS, chunk_bins: int = CHUNK_BINS
 ) -> DataFrame:
     """One row per (subject, bin) that holds any event.
 
@@ -99,10 +105,8 @@ def resample(
     nothing in the bin. ``_chunk`` numbers the chunk of the bin.
     """
     check_cadence(cadence)
-    chunk_bins = max(chunk_seconds // cadence, 1)
     binned = merge_streams(events).withColumn("bin", bin_number(F.col("ts"), cadence))
     chunk = ((F.col("bin") - F.pmod("bin", F.lit(chunk_bins))) / chunk_bins).cast("bigint")
-    streams = ["glucose", "bolus", "basal", "carbs"]
     return (
         binned.withColumn("_chunk", chunk)
         .groupBy(*CHUNK, "bin")
@@ -112,162 +116,204 @@ def resample(
             F.max_by("basal", F.when(F.col("basal").isNotNull(), F.col("ts"))).alias("basal"),
             exact_sum(F.col("carbs")).alias("carbs"),
         )
-        # Always true. It keeps all four columns alive in every branch of the plan, so that the
-        # branches share one shuffle instead of each computing a narrower one.
-        .where(F.coalesce(*streams).isNotNull())
     )
 
 
 # --- gap filling ----------------------------------------------------------------------------
 
 
-def _ordered(order: str) -> str:
-    return f"OVER (PARTITION BY subject_id, _chunk ORDER BY {order})"
+def _in_chunk(expression: str, frame: str = "") -> Column:
+    return F.expr(f"{expression} OVER (PARTITION BY subject_id, _chunk ORDER BY bin {frame})")
 
 
 def _across_chunks(expression: str) -> Column:
     return F.expr(f"{expression} OVER (PARTITION BY subject_id ORDER BY _chunk)")
 
 
-def fill_grid(bins: DataFrame, limit: int = C.FILL_LIMIT) -> DataFrame:
-    """The glucose grid: observed bins and up to ``limit`` interpolated bins after each.
+def locate_bins(bins: DataFrame, limit: int = C.FILL_LIMIT) -> DataFrame:
+    """Occupied bins that lie on the glucose grid, with the observed bins around them.
 
-    Every gap gets its first ``limit`` bins, on the straight line between the observed bins
-    around it; nothing is filled before the first or after the last observation. Doses,
-    carbohydrates and basal rates stay on their bin and are lost where the grid has no such
-    bin. A grid row is produced by the last occupied bin at or before it.
+    The grid holds the observed bins and the first ``limit`` bins of every gap; nothing lies
+    before the first or after the last observation. ``last`` is the last grid bin before the
+    next occupied one: the row stands for the grid bins from ``bin`` to ``last``. ``prev`` and
+    ``next`` are the observed bins the glucose of those is drawn between (``prev`` is the bin
+    itself where it is observed).
     """
-    observed = F.when(F.col("glucose").isNotNull(), F.col("bin"))
-    bins = bins.withColumn("_observed", observed)
-
-    around = bins.groupBy(*CHUNK).agg(
-        F.min("bin").alias("_first_bin"),
-        F.min("_observed").alias("_first_observed"),
-        F.min_by("glucose", "_observed").alias("_first_glucose"),
-        F.max("_observed").alias("_last_observed"),
-        F.max_by("glucose", "_observed").alias("_last_glucose"),
+    occupied = bins.repartition(*CHUNK).withColumn(
+        "observed", F.when(F.col("glucose").isNotNull(), F.col("bin"))
+    )
+
+    summary = occupied.groupBy(*CHUNK).agg(
+        F.min("bin").alias("first_bin"),
+        F.min("observed").alias("first_observed"),
+        F.min_by("glucose", "observed").alias("first_glucose"),
+        F.max("observed").alias("last_observed"),
+        F.max_by("glucose", "observed").alias("last_glucose"),
+        # Every bin counts here. The count keeps all columns alive in this branch, so that both
+        # branches read one shuffle of the same columns instead of each making its own.
+        F.count(F.coalesce("glucose", "bolus", "basal", "carbs")).alias("bins"),
     )
-    around = around.select(
+    around = summary.where(F.col("bins") > 0).select(
         *CHUNK,
-        _across_chunks("lag(_last_observed) IGNORE NULLS").alias("_before_bin"),
-        _across_chunks("lag(_last_glucose) IGNORE NULLS").alias("_before_glucose"),
-        _across_chunks("lead(_first_observed) IGNORE NULLS").alias("_after_bin"),
-        _across_chunks("lead(_first_glucose) IGNORE NULLS").alias("_after_glucose"),
-        _across_chunks("lead(_first_bin)").alias("_after_any"),
+        _across_chunks("lag(last_observed) IGNORE NULLS").alias("before_bin"),
+        _across_chunks("lag(last_glucose) IGNORE NULLS").alias("before_glucose"),
+        _across_chunks("lead(first_observed) IGNORE NULLS").alias("after_bin"),
+        _across_chunks("lead(first_glucose) IGNORE NULLS").alias("after_glucose"),
+        _across_chunks("lead(first_bin)").alias("after_any"),
     )
 
-    over = _ordered("bin")
-    upto = "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
-    inside = bins.select(
-        "*",
-        F.expr(f"last(_observed, true) {over[:-1]} {upto}").alias("_prev_bin"),
-        F.expr(f"last(glucose, true) {over[:-1]} {upto}").alias("_prev_glucose"),
-        F.expr(f"lead(_observed) IGNORE NULLS {over}").alias("_next_bin"),
-        F.expr(f"lead(glucose) IGNORE NULLS {over}").alias("_next_glucose"),
-        F.expr(f"lead(bin) {over}").alias("_next_any"),
+    so_far = "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
+    inside = occupied.select(
+        *CHUNK,
+        "bin",
+        "bolus",
+        "basal",
+        "carbs",
+        _in_chunk("last(observed, true)", so_far).alias("in_prev"),
+        _in_chunk("last(glucose, true)", so_far).alias("in_prev_glucose"),
+        _in_chunk("lead(observed) IGNORE NULLS").alias("in_next"),
+        _in_chunk("lead(glucose) IGNORE NULLS").alias("in_next_glucose"),
+        _in_chunk("lead(bin)").alias("in_any"),
+        _in_chunk(f"lead(observed, {KEPT}) IGNORE NULLS").isNull().alias("near_end"),
     )
-    full = inside.join(around, CHUNK, "left").select(
+    located = inside.join(around, CHUNK, "left").select(
         *CHUNK,
         "bin",
         "bolus",
         "basal",
         "carbs",
-        F.coalesce("_prev_bin", "_before_bin").alias("_prev_bin"),
-        F.coalesce("_prev_glucose", "_before_glucose").alias("_prev_glucose"),
-        F.coalesce("_next_bin", "_after_bin").alias("_next_bin"),
-        F.coalesce("_next_glucose", "_after_glucose").alias("_next_glucose"),
-        F.coalesce("_next_any", "_after_any").alias("_next_any"),
+        "near_end",
+        F.coalesce("in_prev", "before_bin").alias("prev"),
+        F.coalesce("in_prev_glucose", "before_glucose").alias("prev_glucose"),
+        F.coalesce("in_next", "after_bin").alias("next"),
+        F.coalesce("in_next_glucose", "after_glucose").alias("next_glucose"),
+        F.coalesce("in_any", "after_any").alias("next_any"),
+    )
+    last = F.when(
+        F.col("next").isNotNull(), F.least(F.col("next_any") - 1, F.col("prev") + limit)
+    ).when(F.col("bin") == F.col("prev"), F.col("bin"))
+    return located.withColumn("last", last).where(
+        F.col("prev").isNotNull() & (F.col("last") >= F.col("bin"))
     )
 
-    last_produced = F.when(
-        F.col("_next_bin").isNotNull(),
-        F.least(F.col("_next_any") - 1, F.col("_prev_bin") + limit),
-    ).when(F.col("bin") == F.col("_prev_bin"), F.col("bin"))
-    full = full.withColumn("_last", last_produced).where(
-        F.col("_prev_bin").isNotNull() & (F.col("_last") >= F.col("bin"))
+
+def _grid_glucose(row, grid_bin: Column) -> Column:
+    """Glucose of a grid bin on the line between the observed bins around it."""
+    slope = (row("next_glucose") - row("prev_glucose")) / (row("next") - row("prev"))
+    return F.when(grid_bin == row("prev"), row("prev_glucose")).otherwise(
+        slope * (grid_bin - row("prev")) + row("prev_glucose")
     )
-    grid = full.select("*", F.explode(F.sequence("bin", "_last")).alias("grid_bin"))
 
-    own = F.col("grid_bin") == F.col("bin")
-    steps = F.col("grid_bin") - F.col("_prev_bin")
-    gap = F.col("_next_bin") - F.col("_prev_bin")
-    rise = F.col("_next_glucose") - F.col("_prev_glucose")
+
+def _on_own_bin(row, grid_bin: Column, name: str) -> Column:
+    return F.when(grid_bin == row("bin"), row(name))
+
+
+def expand_grid(located: DataFrame) -> DataFrame:
+    """One row per grid bin. Doses, carbohydrates and basal rates stay on their own bin."""
+    grid = located.select("*", F.explode(F.sequence("bin", "last")).alias("grid_bin"))
+    grid_bin = F.col("grid_bin")
     return grid.select(
         *CHUNK,
         "grid_bin",
-        F.when(steps == 0, F.col("_prev_glucose"))
-        .otherwise(rise / gap * steps + F.col("_prev_glucose"))
-        .alias("glucose"),
-        (steps > 0).alias("filled"),
-        F.coalesce(F.when(own, F.col("bolus")), F.lit(0.0)).alias("bolus"),
-        F.when(own, F.col("basal")).alias("basal"),
-        F.coalesce(F.when(own, F.col("carbs")), F.lit(0.0)).alias("carbs"),
+        _grid_glucose(F.col, grid_bin).alias("glucose"),
+        (grid_bin > F.col("prev")).alias("filled"),
+        F.coalesce(_on_own_bin(F.col, grid_bin, "bolus"), F.lit(0.0)).alias("bolus"),
+        _on_own_bin(F.col, grid_bin, "basal").alias("basal"),
+        F.coalesce(_on_own_bin(F.col, grid_bin, "carbs"), F.lit(0.0)).alias("carbs"),
     )
 
 
+def fill_grid(bins: DataFrame, limit: int = C.FILL_LIMIT) -> DataFrame:
+    """The glucose grid: observed bins and the first ``limit`` interpolated bins of every gap.
+
+    Values of the other streams are lost where the grid has no such bin.
+    """
+    return expand_grid(locate_bins(bins, limit))
+
+
 # --- look-back features ---------------------------------------------------------------------
 
 
-def look_back(grid: DataFrame, rows: int = C.ROLLING_ROWS) -> DataFrame:
+def _tail_rows(rows: Column) -> Column:
+    """The last grid rows of a chunk from its last located bins, all in one array."""
+
+    def expand(row: Column) -> Column:
+        def grid_row(grid_bin: Column) -> Column:
+            return F.struct(
+                _grid_glucose(row.getField, grid_bin).alias("glucose"),
+                F.coalesce(_on_own_bin(row.getField, grid_bin, "bolus"), F.lit(0.0)).alias("bolus"),
+                F.coalesce(_on_own_bin(row.getField, grid_bin, "carbs"), F.lit(0.0)).alias("carbs"),
+            )
+
+        return F.transform(F.sequence(row["bin"], row["last"]), grid_row)
+
+    return _last_items(F.flatten(F.transform(F.array_sort(rows), expand)))
+
+
+def _last_items(items: Column) -> Column:
+    kept = F.least(F.size(items), F.lit(KEPT))
+    return F.slice(items, F.size(items) - kept + 1, kept)
+
+
+def look_back(located: DataFrame) -> DataFrame:
     """Deltas, rolling sums and the carried basal rate, by grid row and not by clock.
 
     Rows on both sides of a dropped gap are neighbours. The first rows of a chunk take what
     they miss from the last rows of the chunks before it.
     """
-    kept = max(rows - 1, 3)
-    window = Window.partitionBy(*CHUNK).orderBy("grid_bin")
-    rolling = window.rowsBetween(1 - rows, 0)
-    so_far = window.rowsBetween(Window.unboundedPreceding, 0)
-
-    row = F.struct("grid_bin", "glucose", "bolus", "carbs")
+    fields = ["bin", "last", "prev", "next", "prev_glucose", "next_glucose", "bolus", "carbs"]
     tails = (
-        grid.withColumn("_is_tail", F.lead("grid_bin", kept).over(window).isNull())
-        .groupBy(*CHUNK)
+        located.groupBy(*CHUNK)
         .agg(
-            # At most `kept` rows of a chunk pass the condition
-            F.array_sort(F.collect_list(F.when(F.col("_is_tail"), row))).alias("_tail"),
-            F.max_by("basal", F.when(F.col("basal").isNotNull(), F.col("grid_bin"))).alias(
-                "_last_basal"
-            ),
+            # The last KEPT + 1 observed bins at most, and 3 other located bins after each
+            F.collect_list(F.when(F.col("near_end"), F.struct(*fields))).alias("rows"),
+            F.max_by("basal", F.when(F.col("basal").isNotNull(), F.col("bin"))).alias("basal"),
         )
+        .select(*CHUNK, _tail_rows(F.col("rows")).alias("tail"), "basal")
     )
-    # A chunk has at least one row, so `kept` chunks hold enough of them
-    earlier = Window.partitionBy("subject_id").orderBy("_chunk").rowsBetween(-kept, -1)
+    # A chunk has at least one row, so KEPT chunks hold enough of them
+    earlier = Window.partitionBy("subject_id").orderBy("_chunk").rowsBetween(-KEPT, -1)
     carried = tails.select(
         *CHUNK,
-        F.flatten(F.collect_list("_tail").over(earlier)).alias("_tail"),
-        _across_chunks("lag(_last_basal) IGNORE NULLS").alias("_carried_basal"),
+        F.flatten(F.collect_list("tail").over(earlier)).alias("tail"),
+        _across_chunks("lag(basal) IGNORE NULLS").alias("before_basal"),
     )
 
-    inside = grid.select(
-        "*",
-        F.row_number().over(window).alias("_row"),
-        F.lag("glucose", 1).over(window).alias("_lag_1"),
-        F.lag("glucose", 3).over(window).alias("_lag_3"),
-        F.sum("bolus").over(rolling).alias("_bolus"),
-        F.sum("carbs").over(rolling).alias("_carbs"),
-        F.last("basal", ignorenulls=True).over(so_far).alias("_basal"),
+    window = Window.partitionBy(*CHUNK).orderBy("grid_bin")
+    rolling = window.rowsBetween(1 - C.ROLLING_ROWS, 0)
+    so_far = window.rowsBetween(Window.unboundedPreceding, 0)
+    inside = expand_grid(located).select(
+        *CHUNK,
+        "grid_bin",
+        "glucose",
+        F.row_number().over(window).alias("row"),
+        F.lag("glucose", 1).over(window).alias("lag_1"),
+        F.lag("glucose", 3).over(window).alias("lag_3"),
+        F.sum("bolus").over(rolling).alias("bolus"),
+        F.sum("carbs").over(rolling).alias("carbs"),
+        F.last("basal", ignorenulls=True).over(so_far).alias("basal"),
     )
     full = inside.join(carried, CHUNK, "left")
 
     def lagged(n: int) -> Column:
-        from_end = F.when(F.col("_row") <= n, F.col("_row") - (n + 1)).cast("int")
-        return F.coalesce(f"_lag_{n}", F.try_element_at("_tail", from_end)["glucose"])
+        from_end = F.when(F.col("row") <= n, F.col("row") - (n + 1)).cast("int")
+        return F.coalesce(f"lag_{n}", F.try_element_at("tail", from_end)["glucose"])
 
     def rolled(name: str) -> Column:
-        missing = F.greatest(F.least(F.lit(rows) - F.col("_row"), F.size("_tail")), F.lit(0))
-        before = F.slice("_tail", F.size("_tail") - missing + 1, missing)
+        missing = F.least(F.lit(C.ROLLING_ROWS) - F.col("row"), F.size("tail"))
+        missing = F.greatest(missing, F.lit(0))
+        before = F.slice("tail", F.size("tail") - missing + 1, missing)
         total = F.aggregate(before, F.lit(0.0), lambda total, x: total + x[name])
-        return F.when(missing > 0, total + F.col(f"_{name}")).otherwise(F.col(f"_{name}"))
+        return F.when(missing > 0, total + F.col(name)).otherwise(F.col(name))
 
     return full.select(
         "subject_id",
         "grid_bin",
         "glucose",
-        "filled",
         (F.col("glucose") - lagged(1)).alias("glucose_delta_1"),
         (F.col("glucose") - lagged(3)).alias("glucose_delta_3"),
         rolled("bolus").alias("bolus_last_1h"),
-        F.coalesce("_basal", "_carried_basal", F.lit(0.0)).alias("basal_rate"),
+        F.coalesce("basal", "before_basal", F.lit(0.0)).alias("basal_rate"),
         rolled("carbs").alias("carbs_last_1h"),
     )

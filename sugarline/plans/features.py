@@ -30,20 +30,23 @@ COLUMNS = (
 def build_feature_frame(
     events: DataFrame,
     cadence: int = C.CADENCE_SECONDS,
-    chunk_seconds: int = timeline.CHUNK_SECONDS,
+    chunk_bins: int = timeline.CHUNK_BINS,
 ) -> DataFrame:
     """Feature rows of all subjects of a long event table (see ``operators.timeline``).
 
     A subject without glucose yields no rows; an absent stream yields 0.0.
     """
-    bins = timeline.resample(events, cadence, chunk_seconds)
-    rows = timeline.look_back(timeline.fill_grid(bins))
-    rows = rows.withColumn("ts", timeline.bin_start(F.col("grid_bin"), cadence))
-    rows = rows.withColumnRenamed("glucose", "glucose_mg_dl")
-    rows = rows.withColumns(clinical.cyclical_time(F.col("ts")))
-    rows = rows.withColumn("is_hypo", clinical.is_hypo(F.col("glucose_mg_dl")))
-    rows = rows.withColumn("is_hyper", clinical.is_hyper(F.col("glucose_mg_dl")))
-    return rows.select(*COLUMNS)
+    bins = timeline.resample(events, cadence, chunk_bins)
+    rows = timeline.look_back(timeline.locate_bins(bins))
+    glucose, ts = F.col("glucose"), timeline.bin_start(F.col("grid_bin"), cadence)
+    derived = {
+        "ts": ts,
+        "glucose_mg_dl": glucose,
+        **clinical.cyclical_time(ts),
+        "is_hypo": clinical.is_hypo(glucose),
+        "is_hyper": clinical.is_hyper(glucose),
+    }
+    return rows.select(*[derived[c].alias(c) if c in derived else c for c in COLUMNS])
 
 
 def process_split(

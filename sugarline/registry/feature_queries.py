@@ -114,7 +114,8 @@ def _at(df: DataFrame, number: str, *columns: str) -> DataFrame:
 
 
 def _bins(spark, sf_dir):
-    return timeline.resample(fx.streams(spark, sf_dir), fx.CADENCE)
+    # A week per chunk, so that subjects span several of them
+    return timeline.resample(fx.streams(spark, sf_dir), fx.CADENCE, 28)
 
 
 def _grid(spark, sf_dir):
@@ -210,7 +211,7 @@ def align_carbs(spark, sf_dir):
 
 def _look_back(name: str, *columns: str) -> None:
     def run(spark, sf_dir):
-        return _at(timeline.look_back(_grid(spark, sf_dir)), "grid_bin", *columns)
+        return _at(timeline.look_back(timeline.locate_bins(_bins(spark, sf_dir))), "grid_bin", *columns)
 
     run.__name__ = name
     query(f"{TIMELINE} SELECT subject_id, ts, {', '.join(columns)} FROM features")(run)
