@@ -6,20 +6,21 @@ from pyspark.sql import Column, functions as F
 
 # Values below the bound are cut into whole 1/1024ths, summed as integers without any error,
 # and a rest below 1/2048. The bound keeps the integer sum of 10^12 rows inside 64 bits.
-SCALE = 1024.0
-BOUND = 4096.0
+SCALE = "1024D"
+BOUND = "4096D"
 
 
-def exact_sum(x: Column) -> Column:
-    """Sum of doubles, correctly rounded but for rare last-bit cases.
+def exact_sum(x: str) -> Column:
+    """Sum of a double expression, correctly rounded but for rare last-bit cases.
 
     A plain sum differs in its last bits with the partitioning, which shows where the mean is
     rounded half-even. NULL without values.
     """
-    whole = F.when(F.abs(x) < BOUND, F.rint(x * SCALE)).when(x.isNotNull(), F.lit(0.0))
-    rest = x - whole / SCALE
-    return F.sum(whole.cast("bigint")).cast("double") / SCALE + F.sum(rest)
+    whole = f"CASE WHEN abs({x}) < {BOUND} THEN rint({x} * {SCALE}) WHEN {x} IS NOT NULL THEN 0D END"
+    return F.expr(
+        f"CAST(sum(CAST({whole} AS BIGINT)) AS DOUBLE) / {SCALE} + sum({x} - {whole} / {SCALE})"
+    )
 
 
-def exact_avg(x: Column) -> Column:
-    return F.try_divide(exact_sum(x), F.count(x))
+def exact_avg(x: str) -> Column:
+    return F.try_divide(exact_sum(x), F.count(F.expr(x)))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from sugarline import constants as C
 from sugarline.functions.clinical import in_range
@@ -52,7 +52,7 @@ def summary_by_subject(features: DataFrame) -> DataFrame:
     """Count, mean, sample deviation and extremes of a subject, one decimal."""
     v = F.col(GLUCOSE)
     figures = {
-        "mean": exact_avg(v),
+        "mean": exact_avg(GLUCOSE),
         "std": F.stddev_samp(v),
         "min": F.min(v),
         "max": F.max(v),
@@ -71,83 +71,64 @@ def correlation_matrix(features: DataFrame, columns: tuple[str, ...] = C.FEATURE
     that only a few dozen buffers are shuffled. The groups of a pair are then merged exactly:
     co-moments add up, plus the spread of the group means. A constant column gives NULL.
     """
-    numbers = range(len(columns))
-    values = [F.col(c).cast("double") for c in columns]
-    present = F.lit(0)
-    for i, v in enumerate(values):
-        present = present + F.when(v.isNull(), 0).otherwise(1 << i)
-    records = F.array(
-        *[F.struct(F.lit(i).alias("i"), v.alias("x")) for i, v in enumerate(values)]
-    )
+    doubles = [f"CAST({c} AS DOUBLE)" for c in columns]
+    present = " + ".join(f"IF({c} IS NULL, 0, {1 << i})" for i, c in enumerate(columns))
+    records = ", ".join(f"named_struct('i', {i}, 'x', {x})" for i, x in enumerate(doubles))
+    covar = ", ".join(f"covar_pop(x, y{j})" for j in range(len(columns)))
     moments = (
-        features.select(
-            present.alias("present"),
-            *[v.alias(f"y{j}") for j, v in enumerate(values)],
-            F.inline(records),
+        features.selectExpr(
+            f"{present} AS present",
+            *[f"{y} AS y{j}" for j, y in enumerate(doubles)],
+            f"inline(array({records}))",
         )
-        .where(F.col("x").isNotNull())
+        .where("x IS NOT NULL")
         .groupBy("present", "i")
         .agg(
-            F.count("x").alias("n"),
-            F.avg("x").alias("mean"),
-            F.min("x").alias("low"),
-            F.max("x").alias("high"),
-            F.array(*[F.covar_pop("x", f"y{j}") for j in numbers]).alias("covar"),
+            F.expr("count(x) AS n"),
+            F.expr("avg(x) AS mean"),
+            F.expr("min(x) AS low"),
+            F.expr("max(x) AS high"),
+            F.expr(f"array({covar}) AS covar"),
         )
     )
     # At most one entry per column
+    entry = "struct(i, struct(n, mean, low, high, covar))"
     by_column = moments.groupBy("present").agg(
-        F.map_from_entries(
-            F.collect_list(F.struct("i", F.struct("n", "mean", "low", "high", "covar")))
-        ).alias("by_column")
-    )
-    cells = F.array(
-        *[
-            F.struct(
-                F.lit(x).alias("feature_x"),
-                F.lit(y).alias("feature_y"),
-                F.lit(i).alias("i"),
-                F.lit(j).alias("j"),
-            )
-            for i, x in enumerate(columns)
-            for j, y in enumerate(columns)
-        ]
-    )
-    parts = (
-        by_column.select("by_column", F.inline(cells))
-        .withColumn("a", F.try_element_at("by_column", F.col("i")))
-        .withColumn("b", F.try_element_at("by_column", F.col("j")))
-    )
-    both = F.col("a").isNotNull() & F.col("b").isNotNull()
-    n = F.when(both, F.col("a.n"))
-    pair = Window.partitionBy("feature_x", "feature_y")
-    parts = parts.withColumn("n", n).withColumns(
-        {
-            f"mean_{s}": F.try_divide(
-                F.sum(F.col("n") * F.col(f"{s}.mean")).over(pair), F.sum("n").over(pair)
-            )
-            for s in ("a", "b")
-        }
-    )
-
-    def comoment(first: str, second: str, within: Column) -> Column:
-        between = (F.col(f"{first}.mean") - F.col(f"mean_{first}")) * (
-            F.col(f"{second}.mean") - F.col(f"mean_{second}")
+        F.expr(f"map_from_entries(collect_list({entry})) AS by_column")
+    )
+    names = ", ".join(f"'{c}'" for c in columns)
+    cells = (
+        by_column.selectExpr("by_column", f"posexplode(array({names})) AS (i, feature_x)")
+        .selectExpr("*", f"posexplode(array({names})) AS (j, feature_y)")
+        .selectExpr("*", "by_column[i] AS a", "by_column[j] AS b")
+        .selectExpr(
+            "feature_x",
+            "feature_y",
+            "i",
+            "j",
+            "a",
+            "b",
+            "IF(a IS NOT NULL AND b IS NOT NULL, a.n, NULL) AS n",
         )
-        return F.sum(F.col("n") * (within + between))
-
-    def varies(side: str) -> Column:
-        low, high = F.col(f"{side}.low"), F.col(f"{side}.high")
-        return F.min(F.when(both, low)) < F.max(F.when(both, high))
-
-    xy = comoment("a", "b", F.get(F.col("a.covar"), F.col("j")))
-    xx = comoment("a", "a", F.get(F.col("a.covar"), F.col("i")))
-    yy = comoment("b", "b", F.get(F.col("b.covar"), F.col("j")))
-    correlation = F.when(F.col("feature_x") == F.col("feature_y"), F.lit(1.0)).otherwise(
-        F.try_divide(xy, F.sqrt(xx * yy))
     )
-    return parts.groupBy("feature_x", "feature_y").agg(
-        F.when(varies("a") & varies("b"), correlation).alias("correlation")
+    over = "OVER (PARTITION BY feature_x, feature_y)"
+    cells = cells.selectExpr(
+        "*",
+        f"try_divide(sum(n * a.mean) {over}, sum(n) {over}) AS mean_a",
+        f"try_divide(sum(n * b.mean) {over}, sum(n) {over}) AS mean_b",
+    )
+    xy = "sum(n * (a.covar[j] + (a.mean - mean_a) * (b.mean - mean_b)))"
+    xx = "sum(n * (a.covar[i] + (a.mean - mean_a) * (a.mean - mean_a)))"
+    yy = "sum(n * (b.covar[j] + (b.mean - mean_b) * (b.mean - mean_b)))"
+    varies = " AND ".join(
+        f"min(IF(n IS NULL, NULL, {side}.low)) < max(IF(n IS NULL, NULL, {side}.high))"
+        for side in ("a", "b")
+    )
+    return cells.groupBy("feature_x", "feature_y").agg(
+        F.expr(
+            f"CASE WHEN NOT ({varies}) THEN NULL WHEN feature_x = feature_y THEN 1D"
+            f" ELSE try_divide({xy}, sqrt({xx} * {yy})) END AS correlation"
+        )
     )
 
 

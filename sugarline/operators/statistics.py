@@ -30,7 +30,7 @@ def _moments(readings: DataFrame, groups: tuple[str, ...], value: str) -> DataFr
             F.count(v).alias("count"),
             F.min(v).alias("_min"),
             F.max(v).alias("_max"),
-            exact_avg(v).alias("_avg"),
+            exact_avg(value).alias("_avg"),
             F.var_pop(v).alias("_var"),
             _share(clinical.in_range(v)).alias("_in_range"),
         )

@@ -28,7 +28,7 @@ bin), by (subject, chunk).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from sugarline import constants as C
 from sugarline.functions.exact import exact_avg, exact_sum
@@ -47,8 +47,7 @@ def epoch_second(ts: Column) -> Column:
 
 def bin_number(ts: Column, cadence: int) -> Column:
     """Number of the left-closed bin since the epoch, for times before it too."""
-    second = epoch_second(ts)
-    return ((second - F.pmod(second, F.lit(cadence))) / cadence).cast("bigint")
+    return F.floor(epoch_second(ts) / cadence)
 
 
 def bin_start(number: Column, cadence: int) -> Column:
@@ -79,18 +78,16 @@ def merge_streams(events: DataFrame) -> DataFrame:
     rate keeps the last one.
     """
 
-    def of(stream: str, column: str) -> Column:
-        return F.when(F.col("stream") == stream, F.col(column))
+    def of(stream: str, column: str) -> str:
+        return f"IF(stream = '{stream}', {column}, NULL)"
 
     return (
-        events.where(
-            F.col("subject_id").isNotNull() & F.col("ts").isNotNull() & F.col("value").isNotNull()
-        )
+        events.where("subject_id IS NOT NULL AND ts IS NOT NULL AND value IS NOT NULL")
         .groupBy("subject_id", "ts")
         .agg(
-            F.min_by(of(GLUCOSE, "value"), of(GLUCOSE, "pos")).alias("glucose"),
+            F.expr(f"min_by({of(GLUCOSE, 'value')}, {of(GLUCOSE, 'pos')}) AS glucose"),
             exact_sum(of(BOLUS, "value")).alias("bolus"),
-            F.max_by(of(BASAL, "value"), of(BASAL, "pos")).alias("basal"),
+            F.expr(f"max_by({of(BASAL, 'value')}, {of(BASAL, 'pos')}) AS basal"),
             exact_sum(of(MEAL, "value")).alias("carbs"),
         )
     )
@@ -105,16 +102,16 @@ def resample(
     nothing in the bin. ``_chunk`` numbers the chunk of the bin.
     """
     check_cadence(cadence)
-    binned = merge_streams(events).withColumn("bin", bin_number(F.col("ts"), cadence))
-    chunk = ((F.col("bin") - F.pmod("bin", F.lit(chunk_bins))) / chunk_bins).cast("bigint")
     return (
-        binned.withColumn("_chunk", chunk)
+        merge_streams(events)
+        .withColumn("bin", bin_number(F.col("ts"), cadence))
+        .withColumn("_chunk", F.expr(f"(bin - pmod(bin, {chunk_bins})) div {chunk_bins}"))
         .groupBy(*CHUNK, "bin")
         .agg(
-            exact_avg(F.col("glucose")).alias("glucose"),
-            exact_sum(F.col("bolus")).alias("bolus"),
-            F.max_by("basal", F.when(F.col("basal").isNotNull(), F.col("ts"))).alias("basal"),
-            exact_sum(F.col("carbs")).alias("carbs"),
+            exact_avg("glucose").alias("glucose"),
+            exact_sum("bolus").alias("bolus"),
+            F.expr("max_by(basal, IF(basal IS NULL, NULL, ts)) AS basal"),
+            exact_sum("carbs").alias("carbs"),
         )
     )
 
@@ -122,12 +119,12 @@ def resample(
 # --- gap filling ----------------------------------------------------------------------------
 
 
-def _in_chunk(expression: str, frame: str = "") -> Column:
-    return F.expr(f"{expression} OVER (PARTITION BY subject_id, _chunk ORDER BY bin {frame})")
-
-
-def _across_chunks(expression: str) -> Column:
-    return F.expr(f"{expression} OVER (PARTITION BY subject_id ORDER BY _chunk)")
+ACROSS_CHUNKS = "OVER (PARTITION BY subject_id ORDER BY _chunk)"
+IN_CHUNK = "OVER (PARTITION BY subject_id, _chunk ORDER BY bin)"
+IN_CHUNK_SO_FAR = (
+    "OVER (PARTITION BY subject_id, _chunk ORDER BY bin"
+    " ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+)
 
 
 def locate_bins(bins: DataFrame, limit: int = C.FILL_LIMIT) -> DataFrame:
@@ -139,89 +136,78 @@ def locate_bins(bins: DataFrame, limit: int = C.FILL_LIMIT) -> DataFrame:
     ``next`` are the observed bins the glucose of those is drawn between (``prev`` is the bin
     itself where it is observed).
     """
-    occupied = bins.repartition(*CHUNK).withColumn(
-        "observed", F.when(F.col("glucose").isNotNull(), F.col("bin"))
+    occupied = bins.repartition(*CHUNK).selectExpr(
+        "*", "IF(glucose IS NULL, NULL, bin) AS observed"
     )
 
     summary = occupied.groupBy(*CHUNK).agg(
-        F.min("bin").alias("first_bin"),
-        F.min("observed").alias("first_observed"),
-        F.min_by("glucose", "observed").alias("first_glucose"),
-        F.max("observed").alias("last_observed"),
-        F.max_by("glucose", "observed").alias("last_glucose"),
+        F.expr("min(bin) AS first_bin"),
+        F.expr("min(observed) AS first_observed"),
+        F.expr("min_by(glucose, observed) AS first_glucose"),
+        F.expr("max(observed) AS last_observed"),
+        F.expr("max_by(glucose, observed) AS last_glucose"),
         # Every bin counts here. The count keeps all columns alive in this branch, so that both
         # branches read one shuffle of the same columns instead of each making its own.
-        F.count(F.coalesce("glucose", "bolus", "basal", "carbs")).alias("bins"),
+        F.expr("count(coalesce(glucose, bolus, basal, carbs)) AS bins"),
     )
-    around = summary.where(F.col("bins") > 0).select(
+    around = summary.where("bins > 0").selectExpr(
         *CHUNK,
-        _across_chunks("lag(last_observed) IGNORE NULLS").alias("before_bin"),
-        _across_chunks("lag(last_glucose) IGNORE NULLS").alias("before_glucose"),
-        _across_chunks("lead(first_observed) IGNORE NULLS").alias("after_bin"),
-        _across_chunks("lead(first_glucose) IGNORE NULLS").alias("after_glucose"),
-        _across_chunks("lead(first_bin)").alias("after_any"),
+        f"lag(last_observed) IGNORE NULLS {ACROSS_CHUNKS} AS before_bin",
+        f"lag(last_glucose) IGNORE NULLS {ACROSS_CHUNKS} AS before_glucose",
+        f"lead(first_observed) IGNORE NULLS {ACROSS_CHUNKS} AS after_bin",
+        f"lead(first_glucose) IGNORE NULLS {ACROSS_CHUNKS} AS after_glucose",
+        f"lead(first_bin) {ACROSS_CHUNKS} AS after_any",
     )
 
-    so_far = "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
-    inside = occupied.select(
+    inside = occupied.selectExpr(
         *CHUNK,
         "bin",
         "bolus",
         "basal",
         "carbs",
-        _in_chunk("last(observed, true)", so_far).alias("in_prev"),
-        _in_chunk("last(glucose, true)", so_far).alias("in_prev_glucose"),
-        _in_chunk("lead(observed) IGNORE NULLS").alias("in_next"),
-        _in_chunk("lead(glucose) IGNORE NULLS").alias("in_next_glucose"),
-        _in_chunk("lead(bin)").alias("in_any"),
-        _in_chunk(f"lead(observed, {KEPT}) IGNORE NULLS").isNull().alias("near_end"),
+        f"last(observed, true) {IN_CHUNK_SO_FAR} AS in_prev",
+        f"last(glucose, true) {IN_CHUNK_SO_FAR} AS in_prev_glucose",
+        f"lead(observed) IGNORE NULLS {IN_CHUNK} AS in_next",
+        f"lead(glucose) IGNORE NULLS {IN_CHUNK} AS in_next_glucose",
+        f"lead(bin) {IN_CHUNK} AS in_any",
+        f"lead(observed, {KEPT}) IGNORE NULLS {IN_CHUNK} IS NULL AS near_end",
     )
-    located = inside.join(around, CHUNK, "left").select(
+    located = inside.join(around, CHUNK, "left").selectExpr(
         *CHUNK,
         "bin",
         "bolus",
         "basal",
         "carbs",
         "near_end",
-        F.coalesce("in_prev", "before_bin").alias("prev"),
-        F.coalesce("in_prev_glucose", "before_glucose").alias("prev_glucose"),
-        F.coalesce("in_next", "after_bin").alias("next"),
-        F.coalesce("in_next_glucose", "after_glucose").alias("next_glucose"),
-        F.coalesce("in_any", "after_any").alias("next_any"),
-    )
-    last = F.when(
-        F.col("next").isNotNull(), F.least(F.col("next_any") - 1, F.col("prev") + limit)
-    ).when(F.col("bin") == F.col("prev"), F.col("bin"))
-    return located.withColumn("last", last).where(
-        F.col("prev").isNotNull() & (F.col("last") >= F.col("bin"))
+        "coalesce(in_prev, before_bin) AS prev",
+        "coalesce(in_prev_glucose, before_glucose) AS prev_glucose",
+        "coalesce(in_next, after_bin) AS next",
+        "coalesce(in_next_glucose, after_glucose) AS next_glucose",
+        "coalesce(in_any, after_any) AS next_any",
     )
+    last = f"CASE WHEN next IS NOT NULL THEN least(next_any - 1, prev + {limit})"
+    last += " WHEN bin = prev THEN bin END"
+    return located.selectExpr("*", f"{last} AS last").where("prev IS NOT NULL AND last >= bin")
 
 
-def _grid_glucose(row, grid_bin: Column) -> Column:
-    """Glucose of a grid bin on the line between the observed bins around it."""
-    slope = (row("next_glucose") - row("prev_glucose")) / (row("next") - row("prev"))
-    return F.when(grid_bin == row("prev"), row("prev_glucose")).otherwise(
-        slope * (grid_bin - row("prev")) + row("prev_glucose")
-    )
-
-
-def _on_own_bin(row, grid_bin: Column, name: str) -> Column:
-    return F.when(grid_bin == row("bin"), row(name))
+def _grid_values(grid_bin: str, row: str = "") -> dict[str, str]:
+    """Values of a grid bin: glucose on the line between the observed bins around it; doses,
+    carbohydrates and basal rates on their own bin only. ``row`` prefixes the located row."""
+    slope = f"({row}next_glucose - {row}prev_glucose) / ({row}next - {row}prev)"
+    return {
+        "glucose": f"IF({grid_bin} = {row}prev, {row}prev_glucose,"
+        f" {slope} * ({grid_bin} - {row}prev) + {row}prev_glucose)",
+        "bolus": f"coalesce(IF({grid_bin} = {row}bin, {row}bolus, NULL), 0D)",
+        "basal": f"IF({grid_bin} = {row}bin, {row}basal, NULL)",
+        "carbs": f"coalesce(IF({grid_bin} = {row}bin, {row}carbs, NULL), 0D)",
+    }
 
 
 def expand_grid(located: DataFrame) -> DataFrame:
-    """One row per grid bin. Doses, carbohydrates and basal rates stay on their own bin."""
-    grid = located.select("*", F.explode(F.sequence("bin", "last")).alias("grid_bin"))
-    grid_bin = F.col("grid_bin")
-    return grid.select(
-        *CHUNK,
-        "grid_bin",
-        _grid_glucose(F.col, grid_bin).alias("glucose"),
-        (grid_bin > F.col("prev")).alias("filled"),
-        F.coalesce(_on_own_bin(F.col, grid_bin, "bolus"), F.lit(0.0)).alias("bolus"),
-        _on_own_bin(F.col, grid_bin, "basal").alias("basal"),
-        F.coalesce(_on_own_bin(F.col, grid_bin, "carbs"), F.lit(0.0)).alias("carbs"),
-    )
+    """One row per grid bin."""
+    grid = located.selectExpr("*", "explode(sequence(bin, last)) AS grid_bin")
+    values = [f"{sql} AS {name}" for name, sql in _grid_values("grid_bin").items()]
+    return grid.selectExpr(*CHUNK, "grid_bin", "grid_bin > prev AS filled", *values)
 
 
 def fill_grid(bins: DataFrame, limit: int = C.FILL_LIMIT) -> DataFrame:
@@ -235,85 +221,67 @@ def fill_grid(bins: DataFrame, limit: int = C.FILL_LIMIT) -> DataFrame:
 # --- look-back features ---------------------------------------------------------------------
 
 
-def _tail_rows(rows: Column) -> Column:
-    """The last grid rows of a chunk from its last located bins, all in one array."""
-
-    def expand(row: Column) -> Column:
-        def grid_row(grid_bin: Column) -> Column:
-            return F.struct(
-                _grid_glucose(row.getField, grid_bin).alias("glucose"),
-                F.coalesce(_on_own_bin(row.getField, grid_bin, "bolus"), F.lit(0.0)).alias("bolus"),
-                F.coalesce(_on_own_bin(row.getField, grid_bin, "carbs"), F.lit(0.0)).alias("carbs"),
-            )
-
-        return F.transform(F.sequence(row["bin"], row["last"]), grid_row)
-
-    return _last_items(F.flatten(F.transform(F.array_sort(rows), expand)))
-
-
-def _last_items(items: Column) -> Column:
-    kept = F.least(F.size(items), F.lit(KEPT))
-    return F.slice(items, F.size(items) - kept + 1, kept)
-
-
 def look_back(located: DataFrame) -> DataFrame:
     """Deltas, rolling sums and the carried basal rate, by grid row and not by clock.
 
     Rows on both sides of a dropped gap are neighbours. The first rows of a chunk take what
     they miss from the last rows of the chunks before it.
     """
-    fields = ["bin", "last", "prev", "next", "prev_glucose", "next_glucose", "bolus", "carbs"]
+    values = _grid_values("g", "r.")
+    row = ", ".join(f"{values[name]} AS {name}" for name in ("glucose", "bolus", "carbs"))
+    tail = f"flatten(transform(rows, r -> transform(sequence(r.bin, r.last), g -> struct({row}))))"
+    fields = "bin, last, prev, next, prev_glucose, next_glucose, bolus, carbs"
     tails = (
         located.groupBy(*CHUNK)
         .agg(
             # The last KEPT + 1 observed bins at most, and 3 other located bins after each
-            F.collect_list(F.when(F.col("near_end"), F.struct(*fields))).alias("rows"),
-            F.max_by("basal", F.when(F.col("basal").isNotNull(), F.col("bin"))).alias("basal"),
+            F.expr(f"array_sort(collect_list(IF(near_end, struct({fields}), NULL))) AS rows"),
+            F.expr("max_by(basal, IF(basal IS NULL, NULL, bin)) AS basal"),
         )
-        .select(*CHUNK, _tail_rows(F.col("rows")).alias("tail"), "basal")
+        .selectExpr(*CHUNK, f"{tail} AS tail", "basal")
+        .selectExpr(*CHUNK, f"slice(tail, greatest(size(tail) - {KEPT - 1}, 1), {KEPT}) AS tail", "basal")
     )
     # A chunk has at least one row, so KEPT chunks hold enough of them
-    earlier = Window.partitionBy("subject_id").orderBy("_chunk").rowsBetween(-KEPT, -1)
-    carried = tails.select(
+    earlier = f"{ACROSS_CHUNKS[:-1]} ROWS BETWEEN {KEPT} PRECEDING AND 1 PRECEDING)"
+    carried = tails.selectExpr(
         *CHUNK,
-        F.flatten(F.collect_list("tail").over(earlier)).alias("tail"),
-        _across_chunks("lag(basal) IGNORE NULLS").alias("before_basal"),
+        f"flatten(collect_list(tail) {earlier}) AS tail",
+        f"lag(basal) IGNORE NULLS {ACROSS_CHUNKS} AS before_basal",
     )
 
-    window = Window.partitionBy(*CHUNK).orderBy("grid_bin")
-    rolling = window.rowsBetween(1 - C.ROLLING_ROWS, 0)
-    so_far = window.rowsBetween(Window.unboundedPreceding, 0)
-    inside = expand_grid(located).select(
+    over = "OVER (PARTITION BY subject_id, _chunk ORDER BY grid_bin"
+    rolling = f"{over} ROWS BETWEEN {KEPT} PRECEDING AND CURRENT ROW)"
+    inside = expand_grid(located).selectExpr(
         *CHUNK,
         "grid_bin",
         "glucose",
-        F.row_number().over(window).alias("row"),
-        F.lag("glucose", 1).over(window).alias("lag_1"),
-        F.lag("glucose", 3).over(window).alias("lag_3"),
-        F.sum("bolus").over(rolling).alias("bolus"),
-        F.sum("carbs").over(rolling).alias("carbs"),
-        F.last("basal", ignorenulls=True).over(so_far).alias("basal"),
+        f"row_number() {over}) AS row",
+        f"lag(glucose, 1) {over}) AS lag_1",
+        f"lag(glucose, 3) {over}) AS lag_3",
+        f"sum(bolus) {rolling} AS bolus",
+        f"sum(carbs) {rolling} AS carbs",
+        f"last(basal, true) {over} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS basal",
+    )
+    full = inside.join(carried, CHUNK, "left").selectExpr(
+        "*", f"greatest(least({C.ROLLING_ROWS} - row, size(tail)), 0) AS missing"
     )
-    full = inside.join(carried, CHUNK, "left")
 
-    def lagged(n: int) -> Column:
-        from_end = F.when(F.col("row") <= n, F.col("row") - (n + 1)).cast("int")
-        return F.coalesce(f"lag_{n}", F.try_element_at("tail", from_end)["glucose"])
+    def delta(n: int) -> str:
+        before = f"try_element_at(tail, IF(row <= {n}, row - {n + 1}, NULL)).glucose"
+        return f"glucose - coalesce(lag_{n}, {before}) AS glucose_delta_{n}"
 
-    def rolled(name: str) -> Column:
-        missing = F.least(F.lit(C.ROLLING_ROWS) - F.col("row"), F.size("tail"))
-        missing = F.greatest(missing, F.lit(0))
-        before = F.slice("tail", F.size("tail") - missing + 1, missing)
-        total = F.aggregate(before, F.lit(0.0), lambda total, x: total + x[name])
-        return F.when(missing > 0, total + F.col(name)).otherwise(F.col(name))
+    def rolled(name: str) -> str:
+        before = "slice(tail, size(tail) - missing + 1, missing)"
+        total = f"aggregate({before}, 0D, (total, r) -> total + r.{name}) + {name}"
+        return f"IF(missing > 0, {total}, {name})"
 
-    return full.select(
+    return full.selectExpr(
         "subject_id",
         "grid_bin",
         "glucose",
-        (F.col("glucose") - lagged(1)).alias("glucose_delta_1"),
-        (F.col("glucose") - lagged(3)).alias("glucose_delta_3"),
-        rolled("bolus").alias("bolus_last_1h"),
-        F.coalesce("basal", "before_basal", F.lit(0.0)).alias("basal_rate"),
-        rolled("carbs").alias("carbs_last_1h"),
+        delta(1),
+        delta(3),
+        f"{rolled('bolus')} AS bolus_last_1h",
+        "coalesce(basal, before_basal, 0D) AS basal_rate",
+        f"{rolled('carbs')} AS carbs_last_1h",
     )

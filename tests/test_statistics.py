@@ -122,10 +122,10 @@ def test_exact_sum_does_not_depend_on_order_or_size(spark):
     numbers = [rng.uniform(0, 500) for _ in range(5000)] + [1e300, -1e300, 1e7 + 0.1]
     df = values(spark, *numbers, None).repartition(5)
     small = [v for v in numbers if abs(v) < 1e6]
-    total = df.where(F.abs("glucose_mg_dl") < 1e6).agg(exact_sum(F.col("glucose_mg_dl"))).first()[0]
+    total = df.where(F.abs("glucose_mg_dl") < 1e6).agg(exact_sum("glucose_mg_dl")).first()[0]
     assert total == math.fsum(small)
-    assert df.agg(exact_sum(F.col("glucose_mg_dl"))).first()[0] is not None
-    assert df.limit(0).agg(exact_sum(F.col("glucose_mg_dl"))).first()[0] is None
+    assert df.agg(exact_sum("glucose_mg_dl")).first()[0] is not None
+    assert df.limit(0).agg(exact_sum("glucose_mg_dl")).first()[0] is None
 
 
 @pytest.mark.parametrize(
