@@ -98,7 +98,8 @@ def micros(ts: Column) -> Column:
 
 
 def csv_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two lines of preamble, a header from day two, another layout from day sixteen.
+    """Two lines of preamble, a header from day two, another layout from day sixteen; an hour
+    per block.
 
     Lines of day one stand above the header. ``error`` rows hold no number, ``signup`` rows a
     blank, ``purchase`` rows end before the last cell; extreme values are sentinels.
@@ -137,8 +138,8 @@ def csv_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     sources = events(spark, sf_dir).select(source.alias("source")).distinct()
     lines = data.unionByName(sources.select("source", F.inline(fixed)))
-    day = F.floor(F.col("pos") / F.lit(86_400_000_000))
-    return lines.select("source", day.cast("bigint").alias("block"), "pos", "line")
+    hour = F.floor(F.col("pos") / F.lit(3_600_000_000))
+    return lines.select("source", hour.cast("bigint").alias("block"), "pos", "line")
 
 
 CSV_CTE = f"""located AS (

@@ -307,28 +307,26 @@ def reject_empty_input(spark, sf_dir):
 
 
 def _stream(spark, sf_dir, after_batch=None):
-    """Documents as a file stream in several batches, all of them delivered twice."""
+    """Documents as a file stream, all of them delivered a second time."""
     arrived = scratch_dir(spark, "documents")
-    docs = fx.json_documents(spark, sf_dir)
-    for part in ("first", "again"):
-        docs.repartition(2).write.parquet(f"{arrived}/part={part}")
-    schema = "source string, subject_id string, text string"
-    incoming = spark.readStream.schema(schema).option("maxFilesPerTrigger", 2)
+    checkpoint = scratch_dir(spark, "stream")
     store = scratch_dir(spark, "readings")
     # The document's own subject travels in its source
-    named = incoming.parquet(f"{arrived}/part=*").select(
+    docs = fx.json_documents(spark, sf_dir).select(
         F.concat_ws("/", "subject_id", "source").alias("source"), "text"
     )
-    stream = continuous.stream_ingest(
-        named,
-        store,
-        scratch_dir(spark, "stream"),
-        F.split_part("source", F.lit("/"), F.lit(1)),
-        available_now=True,
-        seq=lambda batch_id: batch_id,
-        after_batch=(lambda s: after_batch(s, store)) if after_batch else None,
-    )
-    stream.awaitTermination()
+    for _ in range(2):
+        docs.write.mode("append").parquet(arrived)
+        stream = continuous.stream_ingest(
+            spark.readStream.schema(docs.schema).parquet(arrived),
+            store,
+            checkpoint,
+            F.split_part("source", F.lit("/"), F.lit(1)),
+            available_now=True,
+            seq=lambda batch_id: batch_id,
+            after_batch=(lambda s: after_batch(s, store)) if after_batch else None,
+        )
+        stream.awaitTermination()
     return store
 
 

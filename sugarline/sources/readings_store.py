@@ -96,6 +96,19 @@ def latest_readings(
     return points.where(clinical.is_valid(F.col("glucose_mg_dl"))).orderBy("subject_id", "ts")
 
 
+def latest_documents(readings: DataFrame, hours: int) -> DataFrame:
+    """Latest readings as one nested row per subject: hours requested, count, readings by time.
+
+    A subject has one reading per second and unit at most, so the longest window holds 604,800.
+    """
+    entry = F.struct("ts", "glucose_mg_dl", "units")
+    return readings.groupBy("subject_id").agg(
+        F.lit(hours).alias("hours_requested"),
+        F.count(F.lit(1)).alias("count"),
+        F.array_sort(F.collect_list(entry)).alias("readings"),
+    )
+
+
 def compact(spark: SparkSession, path: str, out_path: str) -> None:
     """Write the current points, without superseded rows, as a new table."""
     order = F.struct("ingest_seq", "source", "pos")

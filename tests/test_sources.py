@@ -183,6 +183,9 @@ def test_latest_readings(spark, tmp_path):
     latest = readings_store.latest_readings(spark, path, now)
     assert [r.glucose_mg_dl for r in latest.collect()] == [124.0, 101.0]
     assert readings_store.latest_readings(spark, path, now, 72).count() == 4
+    document = readings_store.latest_documents(latest, 24).first()
+    assert (document.hours_requested, document["count"]) == (24, 2)
+    assert [r.glucose_mg_dl for r in document.readings] == [124.0, 101.0]
     plan = latest._jdf.queryExecution().toString()
     assert "PartitionFilters: [isnotnull(date" in plan
     for hours in (0, 169):
