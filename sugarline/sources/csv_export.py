@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from sugarline import constants as C
 from sugarline.functions import parsing
+from sugarline.functions.once import once
 
 BLOCK = ["source", "block"]
 LINES_PER_BLOCK = 100_000
@@ -147,17 +148,19 @@ def drop_before_header(located: DataFrame) -> DataFrame:
 def drop_short_or_blank(data: DataFrame) -> DataFrame:
     """Cells of the lines that reach the glucose column and hold something there."""
 
-    def cell(name: str) -> Column:
-        position = F.nullif(F.col(name), F.lit(0)).cast("int")
-        return F.try_element_at(F.col("cells"), position)
+    def cell(cells: Column, name: str) -> Column:
+        return F.try_element_at(cells, F.nullif(F.col(name), F.lit(0)).cast("int"))
 
-    cells = data.withColumn("cells", split_cells(F.col("line"))).select(
-        "source",
-        "row",
-        cell("h_glucose").alias("glucose_cell"),
-        cell("h_date").alias("date_cell"),
-        cell("h_time").alias("time_cell"),
-    )
+    def three(cells: Column) -> Column:
+        return F.struct(
+            cell(cells, "h_glucose").alias("glucose_cell"),
+            cell(cells, "h_date").alias("date_cell"),
+            cell(cells, "h_time").alias("time_cell"),
+        )
+
+    # The lambda binds the cells, so that a line is split once
+    extracted = F.inline(F.transform(F.array(split_cells(F.col("line"))), three))
+    cells = data.select("source", "row", extracted)
     return cells.where(parsing.strip(F.col("glucose_cell")) != "")
 
 
@@ -165,8 +168,10 @@ def drop_unparsable(cells: DataFrame) -> DataFrame:
     parsed = cells.select(
         "source",
         F.col("row").alias("pos"),
-        parsing.parse_csv_ts(F.col("date_cell"), F.col("time_cell")).alias("ts"),
-        parsing.decode_sentinel(F.col("glucose_cell")).alias("glucose_mg_dl"),
+        once(
+            ts=parsing.parse_csv_ts(F.col("date_cell"), F.col("time_cell")),
+            glucose_mg_dl=parsing.decode_sentinel(F.col("glucose_cell")),
+        ),
     )
     return parsed.where(F.col("ts").isNotNull() & F.col("glucose_mg_dl").isNotNull())
 

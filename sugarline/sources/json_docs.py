@@ -22,20 +22,16 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
 
 def explode_entries(docs: DataFrame) -> DataFrame:
     """One row per entry: type and number of the timestamp, type, text and number of the value."""
-    entries = docs.select(
-        "source",
-        F.posexplode(F.expr("from_json(text, 'sgs array<variant>').sgs")).alias("pos", "entry"),
-    )
-    return entries.select(
-        "source",
-        F.col("pos").cast("bigint").alias("pos"),
-        F.expr("schema_of_variant(try_variant_get(entry, '$.timestamp', 'variant'))").alias(
-            "ts_type"
-        ),
-        F.expr("try_variant_get(entry, '$.timestamp', 'double')").alias("ts_number"),
-        F.expr("schema_of_variant(try_variant_get(entry, '$.sg', 'variant'))").alias("sg_type"),
-        F.expr("try_variant_get(entry, '$.sg', 'string')").alias("sg_text"),
-        F.expr("try_variant_get(entry, '$.sg', 'double')").alias("sg_number"),
+    fields = """
+        schema_of_variant(try_variant_get(e, '$.timestamp', 'variant')) AS ts_type,
+        try_variant_get(e, '$.timestamp', 'double') AS ts_number,
+        schema_of_variant(try_variant_get(e, '$.sg', 'variant')) AS sg_type,
+        try_variant_get(e, '$.sg', 'string') AS sg_text,
+        try_variant_get(e, '$.sg', 'double') AS sg_number"""
+    # Looked up before the rows are made: filters above then do not repeat the lookups
+    entries = f"transform(from_json(text, 'sgs array<variant>').sgs, e -> struct({fields}))"
+    return docs.selectExpr("source", f"posexplode({entries}) AS (pos, entry)").selectExpr(
+        "source", "CAST(pos AS BIGINT) AS pos", "entry.*"
     )
 
 

@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from sugarline.functions import parsing
+from sugarline.functions.once import once
 from sugarline.operators.timeline import BASAL, BOLUS, GLUCOSE, MEAL
 
 ATTRIBUTES = {
@@ -123,10 +124,12 @@ def explode_streams(rows: DataFrame) -> DataFrame:
     events = drop_missing_attr(raw_events(rows)).select(
         "subject_id",
         "stream",
-        parsing.parse_xml_ts(F.col("ts_text")).alias("ts"),
-        parsing.parse_number(F.col("value_text")).alias("value"),
         "detail",
         "pos",
+        once(
+            ts=parsing.parse_xml_ts(F.col("ts_text")),
+            value=parsing.parse_number(F.col("value_text")),
+        ),
     )
     return events.where(F.col("ts").isNotNull() & F.col("value").isNotNull())
 
