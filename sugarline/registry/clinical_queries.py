@@ -30,8 +30,11 @@ def r2(x: str) -> str:
 
 
 def mean(x: str) -> str:
-    """Mean of values with at most four decimals, summed without error."""
-    return f"CAST(SUM(CAST({x} AS DECIMAL(18, 4))) AS DOUBLE) / COUNT({x})"
+    """Mean from an error-free sum of the binary values, as Python's compensated ``sum`` has it;
+    neither a plain, a Kahan nor a decimal sum gives the same last bit at rounding ties."""
+    whole = f"round_even({x} * 1024, 0)"
+    total = f"CAST(SUM(CAST({whole} AS BIGINT)) AS DOUBLE) / 1024 + SUM({x} - {whole} / 1024)"
+    return f"({total}) / COUNT({x})"
 
 
 def statistics_sql(source: str, group: str, value: str = "glucose_mg_dl") -> str:
