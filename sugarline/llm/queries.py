@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sugarline.llm import fingerprints, mixing, quality_rules
+from sugarline.llm import fingerprints, language, mixing, quality_model, quality_rules
 from sugarline.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -18,6 +18,11 @@ def query(run: Callable[[SparkSession, str], DataFrame]):
     return run
 
 
+@query
+def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.predicted(documents(spark, sf_dir, "doc_id", "text", "lang"))
+
+
 @query
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir, "doc_id", "text", "source"))
@@ -101,6 +106,12 @@ FROM all_figures
 """
 
 
+@query
+def op8_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
+    return quality_model.predicted(documents(spark, sf_dir, "doc_id", "text"), labels)
+
+
 @query
 def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compared(documents(spark, sf_dir, "doc_id", "text"))
