@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sugarline.llm import fingerprints, language, mixing, packing, quality_model, quality_rules, secrets, tokens
+from sugarline.llm import fingerprints, language, mixing, near_duplicates, packing, quality_model, quality_rules, secrets, tokens
 from sugarline.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,6 +23,11 @@ def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predicted(documents(spark, sf_dir, "doc_id", "text", "lang"))
 
 
+@query
+def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.near_duplicates(documents(spark, sf_dir, "doc_id", "text"))
+
+
 @query
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scanned(documents(spark, sf_dir, "doc_id", "text"))
