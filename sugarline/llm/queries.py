@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from sugarline.llm import fingerprints, language, mixing, near_duplicates, packing, quality_model, quality_rules, secrets, tokens
+from sugarline.llm import fingerprints, language, mixing, near_duplicates, packing, quality_model, quality_rules, repeats, secrets, tokens
 from sugarline.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -135,3 +136,10 @@ def op8_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compared(documents(spark, sf_dir, "doc_id", "text"))
+
+
+@query
+def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.without_repeats(documents(spark, sf_dir, "doc_id", "text")).select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256")
+    )
