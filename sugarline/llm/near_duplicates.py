@@ -21,6 +21,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -37,6 +38,17 @@ def _class_key(text: bytes) -> int:
     return int.from_bytes(hashlib.blake2b(text, digest_size=8).digest(), "little", signed=True)
 
 
+def class_key(text: Column) -> Column:
+    """The class of a text, null without words."""
+
+    @F.pandas_udf("bigint")
+    def compute(texts: pd.Series) -> pd.Series:
+        words = [canonical(t) for t in texts]
+        return pd.Series([_class_key(w) if w else None for w in words], dtype="Int64")
+
+    return compute(text)
+
+
 def _needed(n: int, percent: int) -> int:
     """Least overlap of a set of n with any set that is similar enough."""
     return -(-percent * n // 100)
@@ -295,14 +307,8 @@ def _relabel(links: DataFrame, postings: DataFrame) -> DataFrame:
     return stored(labelled.join(mixed_tokens, "token"), "labelled")
 
 
-def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
-    """doc_id, n_shingles and component_id for each row of ``docs`` (doc_id, text).
-
-    Null texts and texts without words have no shingles, link with nothing and are their own
-    component. Rows without doc_id take part; their component_id is the smallest doc_id that they
-    reach, null if there is none. Rows that share a doc_id are one node. Ids must lie below 2^62.
-    Extra columns are ignored; no rows give no result.
-    """
+def labelled(docs: DataFrame, percent: int) -> DataFrame:
+    """doc_id, n_shingles, class and root (node id of the component) of each row."""
     docs = docs.select("doc_id", "text")
     known = stored(classes_of(docs), "classes")
     nameless = F.lit(NAMELESS) + F.pmod(F.col("class"), F.lit(1 << 61))
@@ -320,7 +326,18 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     roots = linked_components(sets, percent)
     root = F.coalesce(F.col("root"), F.col("id"))
     labels = heads.join(roots, F.col("id") == F.col("node"), "left").select("class", root.alias("root"))
-    return known.join(labels, "class", "left").select(
+    return known.join(labels, "class", "left").select("doc_id", "n_shingles", "class", "root")
+
+
+def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
+    """doc_id, n_shingles and component_id for each row of ``docs`` (doc_id, text).
+
+    Null texts and texts without words have no shingles, link with nothing and are their own
+    component. Rows without doc_id take part; their component_id is the smallest doc_id that they
+    reach, null if there is none. Rows that share a doc_id are one node. Ids must lie below 2^62.
+    Extra columns are ignored; no rows give no result.
+    """
+    return labelled(docs, percent).select(
         "doc_id",
         "n_shingles",
         F.when(F.col("root") < NAMELESS, F.col("root")).when(F.col("root").isNull(), F.col("doc_id")).alias("component_id"),
@@ -328,7 +345,24 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
 
 
 def representatives(docs: DataFrame, percent: int = 75) -> DataFrame:
-    """One row of ``docs`` of each component, with all its columns: the one whose doc_id is the
-    component's id. Rows without doc_id or without words stay."""
-    gone = near_duplicates(docs, percent).where("doc_id <> component_id").select("doc_id")
-    return docs.join(stored(gone, "duplicates"), "doc_id", "left_anti").select(docs.columns)
+    """One row of ``docs`` of each component, with all its columns: one whose doc_id is the
+    component's smallest. Rows without words stay. Of repeated rows, and of a component without any
+    doc_id, one row stays.
+    """
+    found = stored(labelled(docs, percent), "labelled")
+    named = docs.where("doc_id IS NOT NULL")
+    named = named.join(stored(found.where("doc_id <> root").select("doc_id").distinct(), "duplicates"), "doc_id", "left_anti")
+    named = named.select(docs.columns)
+    worded = found.where("root IS NOT NULL AND doc_id IS NOT NULL")
+    repeated = stored(worded.groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
+    if not repeated.isEmpty():
+        once = named.join(repeated, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id"])
+        named = named.join(repeated, "doc_id", "left_anti").select(docs.columns).unionByName(once)
+    nameless = found.where("doc_id IS NULL").select("class", "root").distinct()
+    if nameless.isEmpty():
+        return named
+    roots = nameless.where(F.col("root").isNotNull()).select(F.col("class").alias("__class"), F.col("root").alias("__root"))
+    keyed = docs.where("doc_id IS NULL").withColumn("__class", class_key(F.col("text")))
+    keyed = keyed.join(roots, "__class", "left")
+    kept = keyed.where("__root IS NULL").unionByName(keyed.where(F.col("__root") >= NAMELESS).dropDuplicates(["__root"]))
+    return named.unionByName(kept.select(docs.columns))
