@@ -4,22 +4,25 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-# Values below the bound are cut into whole 1/1024ths, summed as integers without any error,
-# and a rest below 1/2048. The bound keeps the integer sum of 10^12 rows inside 64 bits.
+# Values are cut into whole 1/1024ths, summed as integers without any error, and a rest below
+# 1/2048. The integers are summed in two halves, so that neither sum leaves 64 bits.
 SCALE = "1024D"
-BOUND = "4096D"
+HALF = "2147483648D"
+BOUND = "1125899906842624D"
 
 
 def exact_sum(x: str) -> Column:
     """Sum of a double expression, correctly rounded but for rare last-bit cases.
 
     A plain sum differs in its last bits with the partitioning, which shows where the mean is
-    rounded half-even. NULL without values.
+    rounded half-even. NULL without values. Values from 2^50 (10^15) on, where a double has no
+    decimals left, are outside of the promise and are summed plainly, as are NaN and infinity.
     """
     whole = f"CASE WHEN abs({x}) < {BOUND} THEN rint({x} * {SCALE}) WHEN {x} IS NOT NULL THEN 0D END"
-    return F.expr(
-        f"CAST(sum(CAST({whole} AS BIGINT)) AS DOUBLE) / {SCALE} + sum({x} - {whole} / {SCALE})"
-    )
+    high = f"CAST(({whole}) / {HALF} AS BIGINT)"
+    low = f"CAST(({whole}) - {high} * {HALF} AS BIGINT)"
+    halves = f"CAST(sum({high}) AS DOUBLE) * {HALF} + CAST(sum({low}) AS DOUBLE)"
+    return F.expr(f"({halves}) / {SCALE} + sum({x} - ({whole}) / {SCALE})")
 
 
 def exact_avg(x: str) -> Column:

@@ -66,36 +66,30 @@ def summary_by_subject(features: DataFrame) -> DataFrame:
 def correlation_matrix(features: DataFrame, columns: tuple[str, ...] = C.FEATURES) -> DataFrame:
     """Pearson correlation of every pair of columns over the rows where both are present.
 
-    Rows are grouped by which columns they have; inside such a group every pair is complete.
-    A row gives one record per column, combined on the map side into means and co-moments, so
-    that only a few dozen buffers are shuffled. The groups of a pair are then merged exactly:
-    co-moments add up, plus the spread of the group means. A constant column gives NULL.
+    Rows are grouped by which columns they have; inside such a group every pair is complete, and
+    one aggregate with map-side partials takes its means, extremes and the co-moments of the upper
+    triangle. The groups of a pair are then merged exactly: co-moments add up, plus the spread of
+    the group means. A constant column gives NULL.
     """
     doubles = [f"CAST({c} AS DOUBLE)" for c in columns]
     present = " + ".join(f"IF({c} IS NULL, 0, {1 << i})" for i, c in enumerate(columns))
-    records = ", ".join(f"named_struct('i', {i}, 'x', {x})" for i, x in enumerate(doubles))
-    covar = ", ".join(f"covar_pop(x, y{j})" for j in range(len(columns)))
+    places = range(len(columns))
+    aggregates = ["count(1) AS n"]
+    for i in places:
+        aggregates += [f"avg(y{i}) AS mean{i}", f"min(y{i}) AS low{i}", f"max(y{i}) AS high{i}"]
+        aggregates += [f"covar_pop(y{i}, y{j}) AS covar{i}_{j}" for j in places if j >= i]
     moments = (
-        features.selectExpr(
-            f"{present} AS present",
-            *[f"{y} AS y{j}" for j, y in enumerate(doubles)],
-            f"inline(array({records}))",
-        )
-        .where("x IS NOT NULL")
-        .groupBy("present", "i")
-        .agg(
-            F.expr("count(x) AS n"),
-            F.expr("avg(x) AS mean"),
-            F.expr("min(x) AS low"),
-            F.expr("max(x) AS high"),
-            F.expr(f"array({covar}) AS covar"),
-        )
-    )
-    # At most one entry per column
-    entry = "struct(i, struct(n, mean, low, high, covar))"
-    by_column = moments.groupBy("present").agg(
-        F.expr(f"map_from_entries(collect_list({entry})) AS by_column")
+        features.selectExpr(f"{present} AS present", *[f"{y} AS y{j}" for j, y in enumerate(doubles)])
+        .groupBy("present")
+        .agg(*[F.expr(a) for a in aggregates])
     )
+
+    def column(i: int) -> str:
+        covar = ", ".join(f"covar{min(i, j)}_{max(i, j)}" for j in places)
+        figures = f"struct(n, mean{i} AS mean, low{i} AS low, high{i} AS high, array({covar}) AS covar)"
+        return f"IF((present & {1 << i}) = 0, NULL, {figures})"
+
+    by_column = moments.selectExpr(f"array({', '.join(column(i) for i in places)}) AS by_column")
     names = ", ".join(f"'{c}'" for c in columns)
     cells = (
         by_column.selectExpr("by_column", f"posexplode(array({names})) AS (i, feature_x)")
@@ -147,19 +141,15 @@ def missing_percent(features: DataFrame, columns: tuple[str, ...] = C.FEATURES)
 def glucose_histogram(features: DataFrame, bins: int = C.HISTOGRAM_BINS) -> DataFrame:
     """Equal-width histogram per subject from its minimum to its maximum, empty bins included.
 
-    The last bin is closed; equal extremes widen the range by 0.5 on both sides. Readings are
-    first reduced to (subject, value) counts. The range of a subject comes back by a join that
-    adaptive execution broadcasts when the ranges are measured to be small, and otherwise runs
-    as a sort-merge join whose oversized partitions it splits.
+    The last bin is closed; equal extremes widen the range by 0.5 on both sides. One scan gives the
+    range of each subject, a second one counts by bin; both combine on the map side, so a task
+    sends one row, or one per bin, for a subject. The range comes back by a join that adaptive
+    execution broadcasts when the ranges are measured to be small, and otherwise runs as a
+    sort-merge join whose oversized partitions it splits.
     """
-    v = F.col(GLUCOSE)
-    values = features.where(v.isNotNull()).groupBy("subject_id", v.alias("value")).agg(
-        F.count(F.lit(1)).alias("n")
-    )
-    ranges = values.groupBy("subject_id").agg(
-        F.min("value").alias("low"),
-        F.max("value").alias("high"),
-        (F.sum(F.col("value") * F.col("n")) / F.sum("n")).alias("mean_glucose"),
+    readings = features.where(F.col(GLUCOSE).isNotNull()).select("subject_id", F.col(GLUCOSE).alias("value"))
+    ranges = readings.groupBy("subject_id").agg(
+        F.min("value").alias("low"), F.max("value").alias("high"), exact_avg("value").alias("mean_glucose")
     )
     flat = F.col("low") == F.col("high")
     ranges = ranges.select(
@@ -171,9 +161,9 @@ def glucose_histogram(features: DataFrame, bins: int = C.HISTOGRAM_BINS) -> Data
     position = (F.col("value") - F.col("low")) / (F.col("high") - F.col("low")) * bins
     keys = ["subject_id", "low", "high", "mean_glucose"]
     counted = (
-        values.join(ranges, "subject_id")
+        readings.join(ranges, "subject_id")
         .groupBy(*keys, F.least(F.floor(position), F.lit(bins - 1)).cast("int").alias("bin"))
-        .agg(F.sum("n").alias("n"))
+        .agg(F.count(F.lit(1)).alias("n"))
     )
     # At most `bins` entries per subject
     filled = counted.groupBy(*keys).agg(

@@ -64,6 +64,16 @@ def check_cadence(cadence: int) -> int:
 # --- binning --------------------------------------------------------------------------------
 
 
+def filter_series(events: DataFrame, stream: str) -> DataFrame:
+    """Events of one stream."""
+    return events.where(F.col("stream") == stream)
+
+
+def sort_by_time(events: DataFrame) -> DataFrame:
+    """Events of each subject in time order."""
+    return events.orderBy("subject_id", "ts")
+
+
 def dedup_timestamp(readings: DataFrame, value: str = "value") -> DataFrame:
     """One reading per (subject, timestamp): the first in source order."""
     return readings.groupBy("subject_id", "ts").agg(

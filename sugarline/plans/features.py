@@ -52,8 +52,12 @@ def build_feature_frame(
 def process_split(
     spark: SparkSession, raw_dir: str, split: str, cadence: int = C.CADENCE_SECONDS
 ) -> DataFrame:
-    """Features of all subjects whose files belong to the split; empty when there are none."""
-    return build_feature_frame(xml_events.read_split(spark, raw_dir, split), cadence)
+    """Features of all subjects whose files belong to the split; empty when there are none.
+
+    Each file has a grid of its own; the rows of a subject's files are stacked.
+    """
+    features = build_feature_frame(xml_events.read_split(spark, raw_dir, split, by_file=True), cadence)
+    return features.withColumn("subject_id", xml_events.subject_of(F.col("subject_id")))
 
 
 def process_raw(

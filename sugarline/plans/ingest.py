@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from sugarline.operators.statistics import glycemic_statistics
-from sugarline.session import scratch_dir
+from sugarline.session import remove, scratch_dir
 from sugarline.sources import csv_export, json_docs, readings_store
 
 NO_READINGS = "no valid readings"
@@ -15,11 +15,26 @@ NO_READINGS = "no valid readings"
 
 @dataclass
 class IngestResult:
-    """``results`` has a row per accepted source, ``rejected`` one per source without readings."""
+    """``results`` has a row per accepted source, ``rejected`` one per source without readings,
+    ``counts`` the number of readings per source.
+
+    They are computed from the staged rows, which ``close`` (or the end of a ``with``) removes.
+    """
 
     readings_saved: int
     results: DataFrame
     rejected: DataFrame
+    counts: DataFrame
+    staged: str
+
+    def close(self) -> None:
+        remove(self.results.sparkSession, self.staged)
+
+    def __enter__(self) -> IngestResult:
+        return self
+
+    def __exit__(self, *error) -> None:
+        self.close()
 
 
 def reject_empty_input(sources: DataFrame, readings: DataFrame) -> DataFrame:
@@ -52,8 +67,15 @@ def ingest(
     staged_path = scratch_dir(spark, "parsed")
     readings.write.parquet(staged_path)
     staged = spark.read.schema(readings.schema).parquet(staged_path)
-    saved = readings_store.write_readings(staged, store_path, ingest_seq)
-    return IngestResult(saved, ingest_statistics(staged), reject_empty_input(sources, staged))
+    readings_store.write_readings(staged, store_path, ingest_seq)
+    # The number comes from the footers of what was staged, which no repeated task can change
+    return IngestResult(
+        staged.count(),
+        ingest_statistics(staged),
+        reject_empty_input(sources, staged),
+        ingest_counts(staged),
+        staged_path,
+    )
 
 
 def ingest_csv(
@@ -63,18 +85,22 @@ def ingest_csv(
     return ingest(readings, csv_export.read_sources(spark, path), store_path, ingest_seq)
 
 
-def csv_statistics(spark: SparkSession, path: str) -> DataFrame:
-    """Statistics per CSV file, nothing stored; files without readings have no row."""
-    return glycemic_statistics(csv_export.read_cgm_csv(spark, path), "source")
+def csv_statistics(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Statistics per CSV file, nothing stored, and the files without a valid reading."""
+    readings = csv_export.read_cgm_csv(spark, path)
+    statistics = glycemic_statistics(readings, "source")
+    return statistics, reject_empty_input(csv_export.read_sources(spark, path), readings)
 
 
 def ingest_json(
     spark: SparkSession,
     path: str,
     store_path: str,
-    subject_id: str,
+    subject: str | Column,
     ingest_seq: int | None = None,
 ) -> IngestResult:
+    """``subject`` is one subject's id, or an expression over ``source`` for a folder of many."""
     docs = json_docs.read_documents(spark, path)
-    readings = json_docs.parse_documents(docs).withColumn("subject_id", F.lit(subject_id))
+    subject = F.lit(subject) if isinstance(subject, str) else subject
+    readings = json_docs.parse_documents(docs).withColumn("subject_id", subject)
     return ingest(readings, docs.select("source"), store_path, ingest_seq)

@@ -27,7 +27,7 @@ def eda_tables(features: DataFrame) -> dict[str, DataFrame]:
 
 
 def eda_report(features: DataFrame) -> DataFrame:
-    """The numeric tables as one long table: section, item, metric, value."""
+    """All tables as one long table: section, item, metric, value; times are seconds of the epoch."""
 
     def long(table: DataFrame, section: str, item: Column, metrics: list[str]) -> DataFrame:
         rows = F.array(
@@ -39,10 +39,17 @@ def eda_report(features: DataFrame) -> DataFrame:
         return table.select(F.lit(section).alias("section"), item.alias("item"), F.inline(rows))
 
     tables = eda_tables(features)
+    epoch = lambda c: F.unix_micros(F.col(c).cast("timestamp")) / 1_000_000
+    profile = tables["profile"].withColumns({"first_ts": epoch("first_ts"), "last_ts": epoch("last_ts")})
+    subjects = tables["subjects"].withColumn("present", F.lit(1))
+    histogram = tables["histogram"]
+    slot = F.concat_ws(" ", "subject_id", "bin")
     pair = F.concat_ws(" ~ ", "feature_x", "feature_y")
     zones = [c for c in tables["zones"].columns if c != "subject_id"]
     parts = [
-        long(tables["profile"], "profile", F.col("part"), ["rows", "columns", "subjects"]),
+        long(profile, "profile", F.col("part"), ["rows", "columns", "subjects", "first_ts", "last_ts"]),
+        long(subjects, "subjects", F.col("subject_id"), ["present"]),
+        long(histogram, "histogram", slot, ["bin_start", "n", "mean_glucose"]),
         long(tables["zones"], "zones", F.col("subject_id"), zones),
         long(tables["correlation"], "correlation", pair, ["correlation"]),
         long(tables["missing"], "missing", F.col("feature"), ["missing_percent"]),

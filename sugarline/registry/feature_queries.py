@@ -282,5 +282,5 @@ def union_splits(spark, sf_dir):
 WHERE stream = 'glucose' ORDER BY subject_id, ts"""
 )
 def sort_by_time(spark, sf_dir):
-    glucose = fx.streams(spark, sf_dir).where(F.col("stream") == timeline.GLUCOSE)
-    return glucose.select("subject_id", "ts", "value").orderBy("subject_id", "ts")
+    glucose = timeline.filter_series(fx.streams(spark, sf_dir), timeline.GLUCOSE)
+    return timeline.sort_by_time(glucose.select("subject_id", "ts", "value"))

@@ -47,9 +47,12 @@ def _features(spark, sf_dir):
 
 
 def _stored(spark, sf_dir):
-    """The feature table written by split to the shared scratch folder and read back."""
+    """The feature table written split by split to the shared scratch folder and read back."""
     path = scratch_dir(spark, "features")
-    features_table.write_all_splits(_features(spark, sf_dir), path)
+    features = _features(spark, sf_dir)
+    for split in C.SPLITS:
+        part = features.where(F.col("split") == split).drop("split")
+        features_table.write_features(part, path, split)
     return features_table.read_features(spark, path)
 
 
@@ -95,11 +98,11 @@ def summary_by_subject(spark, sf_dir):
     return report.summary_by_subject(fx.readings(spark, sf_dir))
 
 
-@query(
-    f"""WITH {fx.READINGS_CTE},
+def histogram_sql(source: str) -> str:
+    return f"""WITH values_of AS (SELECT * FROM {source} WHERE glucose_mg_dl IS NOT NULL),
 ranges AS (
   SELECT subject_id, MIN(glucose_mg_dl) AS mn, MAX(glucose_mg_dl) AS mx,
-         {mean("glucose_mg_dl")} AS mean_glucose FROM readings GROUP BY subject_id),
+         {mean("glucose_mg_dl")} AS mean_glucose FROM values_of GROUP BY subject_id),
 widened AS (
   SELECT subject_id, mean_glucose, CASE WHEN mn = mx THEN mn - 0.5 ELSE mn END AS low,
          CASE WHEN mn = mx THEN mx + 0.5 ELSE mx END AS high FROM ranges),
@@ -107,12 +110,14 @@ counts AS (
   SELECT subject_id,
          CAST(LEAST(FLOOR((glucose_mg_dl - low) / (high - low) * 60), 59) AS INTEGER) AS bin,
          COUNT(*) AS n
-  FROM readings JOIN widened USING (subject_id) GROUP BY ALL)
+  FROM values_of JOIN widened USING (subject_id) GROUP BY ALL)
 SELECT subject_id, bin, ROUND(low + bin * ((high - low) / 60), 9) AS bin_start,
        COALESCE(n, 0) AS n, ROUND(mean_glucose, 9) AS mean_glucose
 FROM widened CROSS JOIN (SELECT UNNEST(RANGE(60))::INTEGER AS bin) slots
 LEFT JOIN counts USING (subject_id, bin)"""
-)
+
+
+@query(f"WITH {fx.READINGS_CTE}, bars AS ({histogram_sql('readings')}) SELECT * FROM bars")
 def glucose_histogram(spark, sf_dir):
     return rounded(report.glucose_histogram(fx.readings(spark, sf_dir)), 9)
 
@@ -190,11 +195,12 @@ def write_features(spark, sf_dir):
     return rounded(_stored(spark, sf_dir))
 
 
-@query(f"{SPLIT_FEATURES} SELECT {rounded_sql()}, split FROM parts {TRAINING}")
+@query(f"{SPLIT_FEATURES} SELECT {rounded_sql()}, split FROM parts")
 def read_features(spark, sf_dir):
-    path = scratch_dir(spark, "features")
-    features_table.write_all_splits(_features(spark, sf_dir), path)
-    return rounded(features_table.read_features(spark, path, "training"))
+    """Both splits, each read by its name."""
+    stored = _stored(spark, sf_dir)
+    parts = [stored.where(F.col("split") == split) for split in C.SPLITS]
+    return rounded(features_table.union_splits(*parts))
 
 
 def _long(source: str, section: str, item: str, metrics: list[str]) -> str:
@@ -216,12 +222,18 @@ ZONE_COLUMNS = [
 
 @query(
     f"""{SPLIT_FEATURES}, {correlation_sql('parts', TRAINING)},
-profile AS ({PROFILE_SQL.format(label='split')} GROUP BY split
+spans AS ({PROFILE_SQL.format(label='split')} GROUP BY split
             UNION ALL {PROFILE_SQL.format(label="'total'")}),
+profile AS (SELECT part, rows, columns, subjects, epoch_us(first_ts) / 1000000.0 AS first_ts,
+                   epoch_us(last_ts) / 1000000.0 AS last_ts FROM spans),
+listed AS (SELECT DISTINCT subject_id, 1 AS present FROM parts),
+bars AS ({histogram_sql('parts')}),
 zones AS ({zones_sql('parts')}), hypo AS ({hypo_sql('parts')}),
 summary AS ({summary_sql('parts', TRAINING)}), missing AS ({missing_sql('parts', TRAINING)})
 SELECT section, item, metric, ROUND(value, 6) AS value FROM (
-{_long('profile', 'profile', 'part', ['rows', 'columns', 'subjects'])} UNION ALL
+{_long('profile', 'profile', 'part', ['rows', 'columns', 'subjects', 'first_ts', 'last_ts'])} UNION ALL
+{_long('listed', 'subjects', 'subject_id', ['present'])} UNION ALL
+{_long('bars', 'histogram', "subject_id || ' ' || bin", ['bin_start', 'n', 'mean_glucose'])} UNION ALL
 {_long('zones', 'zones', 'subject_id', ZONE_COLUMNS)} UNION ALL
 {_long('matrix', 'correlation', "feature_x || ' ~ ' || feature_y", ['correlation'])} UNION ALL
 {_long('missing', 'missing', 'feature', ['missing_percent'])} UNION ALL

@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from sugarline.operators.statistics import glycemic_statistics
-from sugarline.operators.timeline import GLUCOSE
+from sugarline.operators import timeline
 from sugarline.plans import ingest
 from sugarline.registry import fixtures as fx
 from sugarline.registry.clinical_queries import client_statistics_sql, statistics_sql
@@ -187,6 +187,7 @@ def _points(spark, sf_dir):
         "glucose_mg_dl",
         F.lit("mg/dL").alias("units"),
         F.lit("batch").alias("source"),
+        F.lit(None).cast("timestamp").alias("written_at"),
         seq.alias("ingest_seq"),
         "pos",
     )
@@ -243,15 +244,15 @@ ORDER BY subject_id, ts"""
 )
 def sort_latest(spark, sf_dir):
     latest = readings_store.dedup_latest_wins(_points(spark, sf_dir))
-    return latest.select("subject_id", "ts", "glucose_mg_dl").orderBy("subject_id", "ts")
+    return readings_store.sort_latest(latest.select("subject_id", "ts", "glucose_mg_dl"))
 
 
 @query(
     f"WITH {fx.STREAMS_CTE} SELECT subject_id, ts, value FROM streams WHERE stream = 'glucose'"
 )
 def filter_series(spark, sf_dir):
-    long = fx.streams(spark, sf_dir)
-    return long.where(F.col("stream") == GLUCOSE).select("subject_id", "ts", "value")
+    glucose = timeline.filter_series(fx.streams(spark, sf_dir), timeline.GLUCOSE)
+    return glucose.select("subject_id", "ts", "value")
 
 
 # --- ingest plans ---------------------------------------------------------------------------
@@ -282,8 +283,7 @@ def csv_statistics(spark, sf_dir):
 
 def _json_readings(spark, sf_dir):
     docs = fx.json_documents(spark, sf_dir)
-    subjects = docs.select("source", "subject_id")
-    return docs, json_docs.parse_documents(docs).join(subjects, "source")
+    return docs, json_docs.parse_documents(docs)
 
 
 @query(_ingest_sql(fx.JSON_CTE, "json_readings"))

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -31,9 +33,55 @@ def build_session(app_name: str = "sugarline", master: str | None = None, **conf
 def scratch_dir(spark: SparkSession, label: str) -> str:
     """A new path below the cluster's shared folder (``spark.checkpoint.dir``).
 
-    Only where that setting is missing, as in a bare local session, a temporary folder is used.
+    A local session without that setting uses a temporary folder. On a cluster each executor would
+    write its own copy of such a folder, so there the setting is required.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        master = spark.conf.get("spark.master", "")
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="sugarline-")
     return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+@contextmanager
+def scratch(spark: SparkSession, label: str) -> Iterator[str]:
+    """A scratch path that is removed at the end of the block."""
+    path = scratch_dir(spark, label)
+    try:
+        yield path
+    finally:
+        remove(spark, path)
+
+
+def _path(spark: SparkSession, path: str):
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, target = _path(spark, path)
+    return fs.exists(target)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    fs, target = _path(spark, path)
+    fs.delete(target, True)
+
+
+def rename(spark: SparkSession, source: str, target: str) -> None:
+    """Move a folder to a path that does not exist."""
+    fs, old = _path(spark, source)
+    _, new = _path(spark, target)
+    fs.mkdirs(new.getParent())
+    if not fs.rename(old, new):
+        raise OSError(f"cannot move {source} to {target}")
+
+
+def list_files(spark: SparkSession, folder: str) -> list[tuple[str, int, int]]:
+    """(path, bytes, modification time in ms) of the files directly in a folder, by path."""
+    fs, target = _path(spark, folder)
+    found = [s for s in fs.listStatus(target) if s.isFile()] if fs.exists(target) else []
+    return sorted((s.getPath().toString(), s.getLen(), s.getModificationTime()) for s in found)

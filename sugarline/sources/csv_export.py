@@ -8,11 +8,14 @@ doubled quotes, not line breaks.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from sugarline import constants as C
 from sugarline.functions import parsing
 from sugarline.functions.once import once
+from sugarline.session import list_files
 
 BLOCK = ["source", "block"]
 LINES_PER_BLOCK = 100_000
@@ -36,13 +39,27 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_sources(spark: SparkSession, path: str) -> DataFrame:
-    """Paths of all ``*.csv`` files, without reading them. Spark passes over files of zero bytes."""
-    return (
+    """Paths of all ``*.csv`` files, without reading them.
+
+    Spark passes over files of zero bytes, so those are added from the folder's listing.
+    """
+    found = (
         spark.read.format("binaryFile")
         .option("pathGlobFilter", "*.csv")
         .load(path)
         .select(F.col("_metadata.file_path").alias("source"))
     )
+    empty = [(_as_url(p),) for p, size, _ in list_files(spark, path) if size == 0]
+    return found.union(csv_only(spark.createDataFrame(empty, "source string")))
+
+
+def csv_only(names: DataFrame, column: str = "source") -> DataFrame:
+    return names.where(F.col(column).endswith(".csv"))
+
+
+def _as_url(path: str) -> str:
+    """A path as scans give it."""
+    return re.sub("^file:/(?!/)", "file:///", path)
 
 
 def document_lines(documents: DataFrame) -> DataFrame:
@@ -57,10 +74,6 @@ def document_lines(documents: DataFrame) -> DataFrame:
     )
 
 
-def csv_only(names: DataFrame, column: str = "source") -> DataFrame:
-    return names.where(F.col(column).endswith(".csv"))
-
-
 def file_stem(source: Column) -> Column:
     return F.regexp_replace(F.element_at(F.split(source, "/"), -1), r"\.[^.]*$", "")
 

@@ -2,24 +2,29 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from sugarline.session import remove, rename
+
 
 def write_features(features: DataFrame, path: str, split: str) -> bool:
-    """Replace one split; tells whether it has rows.
+    """Replace one split if there are rows for it; tells whether there are.
 
+    The rows are written beside the stored ones and take their place only if there are any.
     Rebalancing evens out file sizes and splits a subject that is too big for one file.
     """
+    spark = features.sparkSession
     folder = f"{path.rstrip('/')}/split={split}"
-    features.hint("rebalance", "subject_id").write.mode("overwrite").parquet(folder)
-    return not features.sparkSession.read.schema(features.schema).parquet(folder).isEmpty()
-
-
-def write_all_splits(features: DataFrame, path: str) -> None:
-    """Write a table that carries its ``split`` column."""
-    features.hint("rebalance", "split", "subject_id").write.mode("overwrite").partitionBy(
-        "split"
-    ).parquet(path)
+    staged = f"{path.rstrip('/')}/_new-{uuid.uuid4().hex}"
+    features.hint("rebalance", "subject_id").write.parquet(staged)
+    if spark.read.schema(features.schema).parquet(staged).isEmpty():
+        remove(spark, staged)
+        return False
+    remove(spark, folder)
+    rename(spark, staged, folder)
+    return True
 
 
 def read_features(spark: SparkSession, path: str, *splits: str) -> DataFrame:

@@ -6,13 +6,18 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from sugarline import constants as C
 from sugarline.functions import parsing
+from sugarline.functions.once import once
 
 NUMERIC_TYPE = "^(TINYINT|SMALLINT|INT|BIGINT|FLOAT|DOUBLE|DECIMAL)"
 
 
 def documents(files: DataFrame) -> DataFrame:
-    """(source, text) of a whole-text scan, batch or stream."""
-    return files.select(F.col("_metadata.file_path").alias("source"), F.col("value").alias("text"))
+    """(source, written_at, text) of a whole-text scan, batch or stream."""
+    return files.select(
+        F.col("_metadata.file_path").alias("source"),
+        F.col("_metadata.file_modification_time").alias("written_at"),
+        F.col("value").alias("text"),
+    )
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
@@ -21,17 +26,22 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
 
 
 def explode_entries(docs: DataFrame) -> DataFrame:
-    """One row per entry: type and number of the timestamp, type, text and number of the value."""
+    """One row per entry: type and number of the timestamp, type, text and number of the value.
+
+    Columns of the document other than its text stay.
+    """
+    kept = [c for c in docs.columns if c != "text"]
     fields = """
-        schema_of_variant(try_variant_get(e, '$.timestamp', 'variant')) AS ts_type,
-        try_variant_get(e, '$.timestamp', 'double') AS ts_number,
-        schema_of_variant(try_variant_get(e, '$.sg', 'variant')) AS sg_type,
-        try_variant_get(e, '$.sg', 'string') AS sg_text,
-        try_variant_get(e, '$.sg', 'double') AS sg_number"""
-    # Looked up before the rows are made: filters above then do not repeat the lookups
-    entries = f"transform(from_json(text, 'sgs array<variant>').sgs, e -> struct({fields}))"
-    return docs.selectExpr("source", f"posexplode({entries}) AS (pos, entry)").selectExpr(
-        "source", "CAST(pos AS BIGINT) AS pos", "entry.*"
+        schema_of_variant(p.t) AS ts_type, try_variant_get(p.t, '$', 'double') AS ts_number,
+        schema_of_variant(p.v) AS sg_type, try_variant_get(p.v, '$', 'string') AS sg_text,
+        try_variant_get(p.v, '$', 'double') AS sg_number"""
+    # Each member is looked up once, and before the rows are made: filters above do not repeat it
+    members = """struct(try_variant_get(e, '$.timestamp', 'variant') AS t,
+        try_variant_get(e, '$.sg', 'variant') AS v)"""
+    pairs = f"transform(from_json(text, 'sgs array<variant>').sgs, e -> {members})"
+    rows = docs.selectExpr(*kept, f"posexplode({pairs}) AS (pos, pair)")
+    return rows.selectExpr(
+        *kept, "CAST(pos AS BIGINT) AS pos", f"inline(transform(array(pair), p -> struct({fields})))"
     )
 
 
@@ -42,10 +52,11 @@ def drop_empty_json(entries: DataFrame) -> DataFrame:
     """
     quoted = F.col("sg_type") == "STRING"
     value = F.when(quoted, parsing.parse_number(F.col("sg_text"))).otherwise(F.col("sg_number"))
+    kept = [c for c in entries.columns if c not in ("ts_type", "sg_type", "sg_text", "sg_number")]
     return (
         entries.where(F.col("ts_type").rlike(NUMERIC_TYPE) & (F.col("ts_number") != 0))
         .where(F.when(quoted, F.col("sg_text") != "").otherwise(F.col("sg_number") != 0))
-        .select("source", "pos", "ts_number", value.alias("glucose_mg_dl"))
+        .select(*kept, once(glucose_mg_dl=value))
     )
 
 
@@ -54,15 +65,14 @@ def drop_nonpositive(readings: DataFrame, value: str = "glucose_mg_dl") -> DataF
 
 
 def parse_documents(docs: DataFrame) -> DataFrame:
-    """Readings: source, pos, ts, glucose_mg_dl, units. Bad entries and documents give none."""
-    kept = drop_nonpositive(drop_empty_json(explode_entries(docs)))
-    return kept.select(
-        "source",
-        "pos",
-        parsing.epoch_ms_to_ts(F.col("ts_number")).alias("ts"),
-        "glucose_mg_dl",
-        F.lit(C.UNITS).alias("units"),
-    ).where(F.col("ts").isNotNull())
+    """Readings: the document's columns but its text, pos, ts, glucose_mg_dl, units.
+
+    Bad entries and documents give none.
+    """
+    valid = drop_nonpositive(drop_empty_json(explode_entries(docs)))
+    kept = [c for c in valid.columns if c != "ts_number"]
+    timed = valid.select(*kept, once(ts=parsing.epoch_ms_to_ts(F.col("ts_number"))))
+    return timed.where(F.col("ts").isNotNull()).withColumn("units", F.lit(C.UNITS))
 
 
 def read_cgm_json(spark: SparkSession, path: str) -> DataFrame:

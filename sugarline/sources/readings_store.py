@@ -1,67 +1,79 @@
 """The readings table: append-only parquet by date, last write wins on read.
 
 A point is (subject, units, second). Writing one again appends a row; readers keep the row of
-the latest write, and inside one write the last in source order. A repeated write of the same
-rows therefore changes nothing.
+the latest write: by write number, then by the time its document was written, then by source and
+position. A repeated write of the same rows therefore changes nothing. ``compact`` rewrites the
+dates that hold superseded rows.
 """
 
 from __future__ import annotations
 
 import datetime as dt
 import time
+import uuid
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from sugarline import constants as C
 from sugarline.functions import clinical
+from sugarline.session import exists, remove, rename
 
 SCHEMA = (
     "subject_id string, ts timestamp_ntz, glucose_mg_dl double, units string, source string, "
-    "ingest_seq bigint, pos bigint, date date"
+    "written_at timestamp, ingest_seq bigint, pos bigint, date date"
 )
 KEY = ("subject_id", "units", "ts")
+WRITE_ORDER = ("ingest_seq", "written_at", "source", "pos")
 
 
-def next_seq() -> int:
-    """Default order of writes: wall-clock microseconds."""
-    return time.time_ns() // 1000
+def next_seq(spark: SparkSession | None = None, path: str | None = None) -> int:
+    """Default order of writes: wall-clock microseconds, but never below the last stored one."""
+    clock = time.time_ns() // 1000
+    if spark is None or path is None:
+        return clock
+    last = read_points(spark, path).agg(F.max("ingest_seq").alias("last")).first()["last"]
+    return max(clock, (last or 0) + 1)
 
 
 def to_points(readings: DataFrame, ingest_seq: int) -> DataFrame:
+    """Readings as rows of the table. ``written_at`` is the document's time, where it is known."""
     ts = F.date_trunc("second", "ts").cast("timestamp_ntz")
+    written = F.col("written_at") if "written_at" in readings.columns else F.lit(None)
     return readings.select(
         "subject_id",
         ts.alias("ts"),
         "glucose_mg_dl",
         "units",
         "source",
+        written.cast("timestamp").alias("written_at"),
         F.lit(ingest_seq).cast("bigint").alias("ingest_seq"),
         "pos",
         F.to_date("ts").alias("date"),
     )
 
 
-def write_readings(readings: DataFrame, path: str, ingest_seq: int | None = None) -> int:
-    """Append readings; returns how many were handed in, copies included.
+def write_readings(readings: DataFrame, path: str, ingest_seq: int | None = None) -> None:
+    """Append readings.
 
     Rebalancing by date makes one or few files per date and splits a date that is too big.
     """
-    seen = Observation()
-    points = to_points(readings, next_seq() if ingest_seq is None else ingest_seq)
-    points = points.observe(seen, F.count(F.lit(1)).alias("n"))
+    seq = next_seq(readings.sparkSession, path) if ingest_seq is None else ingest_seq
+    points = to_points(readings, seq)
     points.hint("rebalance", "date").write.mode("append").partitionBy("date").parquet(path)
-    return seen.get["n"]
 
 
 def read_points(spark: SparkSession, path: str) -> DataFrame:
-    """All written rows, superseded ones included."""
+    """All written rows, superseded ones included; none if the table was never written."""
+    if not exists(spark, path):
+        return spark.createDataFrame([], SCHEMA)
     return spark.read.schema(SCHEMA).parquet(path)
 
 
 def dedup_latest_wins(points: DataFrame) -> DataFrame:
     """One row per point. Partial results combine before the shuffle, so copies never pile up."""
-    order = F.struct("ingest_seq", "source", "pos")
-    return points.groupBy(*KEY).agg(F.max_by("glucose_mg_dl", order).alias("glucose_mg_dl"))
+    return points.groupBy(*KEY).agg(
+        F.max_by("glucose_mg_dl", F.struct(*WRITE_ORDER)).alias("glucose_mg_dl")
+    )
 
 
 def read_readings(spark: SparkSession, path: str) -> DataFrame:
@@ -84,16 +96,27 @@ def last_hours(points: DataFrame, now: dt.datetime, hours: int) -> DataFrame:
     )
 
 
+def current_readings(
+    spark: SparkSession, path: str, now: dt.datetime | None = None, hours: int = C.DEFAULT_HOURS
+) -> DataFrame:
+    """Current readings of the last hours in no order; invalid values are left out."""
+    now = now or dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
+    points = dedup_latest_wins(last_hours(read_points(spark, path), now, hours))
+    return points.where(clinical.is_valid(F.col("glucose_mg_dl")))
+
+
+def sort_latest(readings: DataFrame) -> DataFrame:
+    return readings.orderBy("subject_id", "ts")
+
+
 def latest_readings(
     spark: SparkSession,
     path: str,
     now: dt.datetime | None = None,
     hours: int = C.DEFAULT_HOURS,
 ) -> DataFrame:
-    """Current readings of the last hours, by subject and time; invalid values are left out."""
-    now = now or dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
-    points = dedup_latest_wins(last_hours(read_points(spark, path), now, hours))
-    return points.where(clinical.is_valid(F.col("glucose_mg_dl"))).orderBy("subject_id", "ts")
+    """Current readings of the last hours, by subject and time."""
+    return sort_latest(current_readings(spark, path, now, hours))
 
 
 def latest_documents(readings: DataFrame, hours: int) -> DataFrame:
@@ -109,13 +132,34 @@ def latest_documents(readings: DataFrame, hours: int) -> DataFrame:
     )
 
 
-def compact(spark: SparkSession, path: str, out_path: str) -> None:
-    """Write the current points, without superseded rows, as a new table."""
-    order = F.struct("ingest_seq", "source", "pos")
+def compact(spark: SparkSession, path: str) -> list[dt.date]:
+    """Rewrite the dates that hold superseded rows; returns them.
+
+    The new files of a date are written beside the table and then put in the place of its folder.
+    A reader that opened the old files meanwhile fails and has to start again. Only one writer may
+    use the table at that time.
+    """
+    points = read_points(spark, path)
+    counts = points.groupBy("date", *KEY).agg(F.count(F.lit(1)).alias("n"))
+    stale = counts.where("n > 1").select("date").distinct().orderBy("date")
+    dates = [row.date for row in stale.collect()]  # one value per stored day at most
+    if not dates:
+        return []
     latest = (
-        read_points(spark, path)
-        .groupBy(*KEY)
-        .agg(F.max_by(F.struct("glucose_mg_dl", "source", "ingest_seq", "pos"), order).alias("p"))
-        .select(*KEY, "p.*", F.to_date("ts").alias("date"))
+        points.where(F.col("date").isin(dates))
+        .groupBy("date", *KEY)
+        .agg(
+            F.max_by(
+                F.struct("glucose_mg_dl", "source", "written_at", "ingest_seq", "pos"),
+                F.struct(*WRITE_ORDER),
+            ).alias("p")
+        )
+        .select(*KEY, "p.*", "date")
     )
-    latest.hint("rebalance", "date").write.mode("overwrite").partitionBy("date").parquet(out_path)
+    staged = f"{path}/_compacted-{uuid.uuid4().hex}"  # Spark reads no folder that starts with _
+    latest.hint("rebalance", "date").write.partitionBy("date").parquet(staged)
+    for date in dates:
+        remove(spark, f"{path}/date={date}")
+        rename(spark, f"{staged}/date={date}", f"{path}/date={date}")
+    remove(spark, staged)
+    return dates

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from sugarline.functions import parsing
 from sugarline.functions.once import once
-from sugarline.operators.timeline import BASAL, BOLUS, GLUCOSE, MEAL
+from sugarline.operators.timeline import BASAL, BOLUS, GLUCOSE, MEAL, filter_series
 
 ATTRIBUTES = {
     "glucose_level": ("_ts", "_value"),
@@ -52,28 +52,26 @@ def split_files_exist(spark: SparkSession, raw_dir: str, split: str) -> bool:
     return not discover_split_files(spark, raw_dir, split).isEmpty()
 
 
-def parse_xml_texts(docs: DataFrame) -> DataFrame:
-    """Documents held as (file_name, text) rows."""
+def parse_xml_texts(docs: DataFrame, by_file: bool = False) -> DataFrame:
+    """Documents held as (file_name, text) rows; the root element may have any name.
+
+    With ``by_file`` the file's name stands for the subject, so that files stay apart.
+    """
+    name = F.col("file_name")
     parsed = docs.select(
-        subject_of(F.col("file_name")).alias("subject_id"),
+        (name if by_file else subject_of(name)).alias("subject_id"),
         F.from_xml("text", SCHEMA).alias("doc"),
     )
     return explode_streams(parsed.select("subject_id", "doc.*"))
 
 
-def read_split(
-    spark: SparkSession, raw_dir: str, split: str, row_tag: str = "patient"
-) -> DataFrame:
+def read_split(spark: SparkSession, raw_dir: str, split: str, by_file: bool = False) -> DataFrame:
     """Events of all subjects of a split; empty when no file matches."""
-    rows = (
-        spark.read.format("xml")
-        .option("rowTag", row_tag)
-        .option("pathGlobFilter", FILE_PATTERN.format(split=split))
-        .schema(SCHEMA)
-        .load(raw_dir)
-        .select(subject_of(F.col("_metadata.file_name")).alias("subject_id"), *ATTRIBUTES)
+    files = spark.read.option("pathGlobFilter", FILE_PATTERN.format(split=split))
+    docs = files.text(raw_dir, wholetext=True).select(
+        F.col("_metadata.file_name").alias("file_name"), F.col("value").alias("text")
     )
-    return explode_streams(rows)
+    return parse_xml_texts(docs, by_file)
 
 
 def raw_events(rows: DataFrame) -> DataFrame:
@@ -135,7 +133,7 @@ def explode_streams(rows: DataFrame) -> DataFrame:
 
 
 def _stream(events: DataFrame, name: str, value: str, *more: Column) -> DataFrame:
-    return events.where(F.col("stream") == name).select(
+    return filter_series(events, name).select(
         "subject_id", F.col("ts").alias("timestamp"), F.col("value").alias(value), *more
     )
 

@@ -3,22 +3,30 @@
 from __future__ import annotations
 
 import datetime as dt
+import time
+import uuid
 from collections.abc import Callable
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from sugarline import constants as C
 from sugarline.operators.statistics import client_statistics
+from sugarline.session import exists, remove
 from sugarline.sources import json_docs, readings_store
 
+#: Documents of one micro-batch; a backlog is worked off in batches of this size.
+FILES_PER_BATCH = 10_000
 
-def document_stream(spark: SparkSession, path: str) -> DataFrame:
-    """New JSON documents of a folder, each a whole text."""
+
+def document_stream(spark: SparkSession, path: str, files_per_batch: int = FILES_PER_BATCH) -> DataFrame:
+    """New JSON documents of a folder, each a whole text, oldest first."""
     files = (
         spark.readStream.format("text")
         .option("wholetext", "true")
         .option("pathGlobFilter", "*.json")
+        .option("maxFilesPerTrigger", files_per_batch)
         .load(path)
     )
     return json_docs.documents(files)
@@ -32,19 +40,22 @@ def stream_ingest(
     available_now: bool = False,
     seq: Callable[[int], int] | None = None,
     after_batch: Callable[[SparkSession], None] | None = None,
+    compact: bool = True,
 ) -> StreamingQuery:
     """Upsert the readings of every new document into the readings table.
 
     Documents may overlap and arrive late: a reading is an upsert at its own time, so there is
-    no watermark and nothing is dropped. A batch that is replayed after a failure appends its
-    rows again and changes no result. Bad documents and entries give no rows; other errors end
-    the query, which resumes from its checkpoint.
+    no watermark and nothing is dropped. Within a batch the document that was written last wins.
+    A batch that is replayed after a failure appends its rows again and changes no result;
+    ``compact`` removes superseded rows after each batch. Bad documents and entries give no rows;
+    other errors end the query, which resumes from its checkpoint (see :func:`supervise`).
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         readings = json_docs.parse_documents(batch).withColumn("subject_id", subject)
-        order = seq(batch_id) if seq else readings_store.next_seq()
-        readings_store.write_readings(readings, store_path, order)
+        readings_store.write_readings(readings, store_path, seq(batch_id) if seq else None)
+        if compact:
+            readings_store.compact(batch.sparkSession, store_path)
         if after_batch:
             after_batch(batch.sparkSession)
 
@@ -54,6 +65,25 @@ def stream_ingest(
     return writer.trigger(processingTime=C.REFRESH_INTERVAL).start()
 
 
+def supervise(
+    start: Callable[[], StreamingQuery], most_failures: int = 10, first_wait: float = 1.0, longest_wait: float = 300.0
+) -> int:
+    """Run a query until it stops by itself, starting it again after errors; returns the restarts.
+
+    The wait doubles with each failure. The last error is raised after ``most_failures``.
+    """
+    failures = 0
+    while True:
+        try:
+            start().awaitTermination()
+            return failures
+        except StreamingQueryException:
+            failures += 1
+            if failures >= most_failures:
+                raise
+            time.sleep(min(longest_wait, first_wait * 2 ** (failures - 1)))
+
+
 def refresh_view(
     spark: SparkSession,
     store_path: str,
@@ -61,16 +91,30 @@ def refresh_view(
     now: dt.datetime | None = None,
     hours: tuple[int, ...] = C.VIEW_HOURS,
 ) -> None:
-    """Rewrite the latest readings and their statistics for every offered window.
+    """Write the latest readings and their statistics for every offered window as a new version.
 
-    The widest window is resolved once; the narrower ones are cut out of what was written.
+    The widest window is resolved once; the narrower ones are cut out of what was written. Readers
+    find the version in a pointer that is written last; the version before the last one is removed.
     """
     now = now or dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
-    readings_path = f"{view_path}/readings"
-    latest = readings_store.latest_readings(spark, store_path, now, max(hours))
-    latest.write.mode("overwrite").parquet(readings_path)
-    stats = view_statistics(spark.read.schema(latest.schema).parquet(readings_path), now, hours)
-    stats.write.mode("overwrite").parquet(f"{view_path}/statistics")
+    version = f"{time.time_ns()}-{uuid.uuid4().hex[:8]}"
+    folder = f"{view_path}/versions/{version}"
+    latest = readings_store.current_readings(spark, store_path, now, max(hours))
+    latest.write.parquet(f"{folder}/readings")
+    readings = spark.read.schema(latest.schema).parquet(f"{folder}/readings")
+    view_statistics(readings, now, hours).write.parquet(f"{folder}/statistics")
+    before = _versions(spark, view_path)
+    spark.createDataFrame([(version,)], "version string").coalesce(1).write.mode("append").json(f"{view_path}/current")
+    for old in sorted(before)[:-1]:
+        remove(spark, f"{view_path}/versions/{old}")
+
+
+def _versions(spark: SparkSession, view_path: str) -> list[str]:
+    """Versions that were finished; one short row per refresh."""
+    if not exists(spark, f"{view_path}/current"):
+        return []
+    rows = spark.read.schema("version string").json(f"{view_path}/current")
+    return [r.version for r in rows.orderBy(F.desc("version")).limit(20).collect()]
 
 
 def view_statistics(
@@ -87,8 +131,6 @@ def view_statistics(
 
 
 def latest_view(spark: SparkSession, view_path: str) -> tuple[DataFrame, DataFrame]:
-    """Readings and statistics as of the last refresh."""
-    return (
-        spark.read.parquet(f"{view_path}/readings"),
-        spark.read.parquet(f"{view_path}/statistics"),
-    )
+    """Readings and statistics as of the last finished refresh."""
+    folder = f"{view_path}/versions/{max(_versions(spark, view_path))}"
+    return spark.read.parquet(f"{folder}/readings"), spark.read.parquet(f"{folder}/statistics")

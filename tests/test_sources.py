@@ -161,17 +161,26 @@ def test_store_counts_and_last_write_wins(spark, tmp_path):
     path = str(tmp_path / "store")
     t = dt.datetime(2024, 1, 1, 10, 0, 0, 250000)
     first = readings(spark, ("a", t, 100.0, 0), ("a", t.replace(microsecond=900000), 101.0, 1), ("b", t, 90.0, 2))
-    assert readings_store.write_readings(first, path, 1) == 3
-    assert readings_store.write_readings(first.limit(0), path, 2) == 0
+    assert readings_store.read_readings(spark, path).count() == 0
+    assert readings_store.latest_readings(spark, path, t).count() == 0
+    readings_store.write_readings(first, path, 1)
+    assert readings_store.read_points(spark, path).count() == 3
+    readings_store.write_readings(first.limit(0), path, 2)
+    assert readings_store.read_points(spark, path).count() == 3
     second = readings(spark, ("b", t, 95.0, 0), ("a", t + dt.timedelta(days=1), 700.0, 1))
-    assert readings_store.write_readings(second, path, 3) == 2
+    readings_store.write_readings(second, path, 3)
     for _ in range(2):  # a repeated write changes nothing
         got = {(r.subject_id, r.ts.day): r.glucose_mg_dl for r in readings_store.read_readings(spark, path).collect()}
         assert got == {("a", 1): 101.0, ("b", 1): 95.0, ("a", 2): 700.0}
         readings_store.write_readings(second, path, 3)
-    readings_store.compact(spark, path, str(tmp_path / "compact"))
-    assert readings_store.read_points(spark, str(tmp_path / "compact")).count() == 3
-    assert readings_store.read_readings(spark, str(tmp_path / "compact")).count() == 3
+    before = sorted(readings_store.read_readings(spark, path).collect())
+    assert [d.day for d in readings_store.compact(spark, path)] == [1, 2]
+    assert readings_store.compact(spark, path) == []
+    assert readings_store.read_points(spark, path).count() == 3
+    assert sorted(readings_store.read_readings(spark, path).collect()) == before
+    assert readings_store.next_seq(spark, path) > 3
+    readings_store.write_readings(second.limit(1), path, 2**62)
+    assert readings_store.next_seq(spark, path) == 2**62 + 1
 
 
 def test_latest_readings(spark, tmp_path):
@@ -200,6 +209,7 @@ def test_ingest_csv_folder(spark, tmp_path):
     write(folder, "one.csv", HEADER + four)
     write(folder, "empty.csv", HEADER)
     write(folder, "nothing.csv", "\n")
+    write(folder, "zero.csv", "")
     write(folder, "notes.txt", HEADER + four)
     store = str(tmp_path / "store")
     result = ingest.ingest_csv(spark, str(folder), store, 1)
@@ -208,9 +218,13 @@ def test_ingest_csv_folder(spark, tmp_path):
     assert (row.status, row.readings_saved, row.min_glucose, row.max_glucose) == ("success", 4, 50.0, 200.0)
     assert row.time_in_range_percent == 50.0
     rejected = {os.path.basename(r.source) for r in result.rejected.collect()}
-    assert rejected == {"empty.csv", "nothing.csv"}
+    assert rejected == {"empty.csv", "nothing.csv", "zero.csv"}
+    assert [r.readings_saved for r in result.counts.collect()] == [4]
     assert readings_store.read_readings(spark, store).count() == 4
-    assert ingest.csv_statistics(spark, str(folder)).count() == 1
+    statistics, refused = ingest.csv_statistics(spark, str(folder))
+    assert statistics.count() == 1 and {os.path.basename(r.source) for r in refused.collect()} == rejected
+    result.close()
+    assert not os.path.exists(result.staged)
 
 
 def test_ingest_json_folder(spark, tmp_path):
@@ -221,3 +235,7 @@ def test_ingest_json_folder(spark, tmp_path):
     result = ingest.ingest_json(spark, str(folder), str(tmp_path / "store"), "me", 1)
     assert result.readings_saved == 1 and result.results.count() == 1
     assert [os.path.basename(r.source) for r in result.rejected.collect()] == ["b.json"]
+    by_file = F.regexp_extract("source", "([a-z])\\.json$", 1)
+    with ingest.ingest_json(spark, str(folder), str(tmp_path / "many"), by_file, 1) as many:
+        assert many.readings_saved == 1
+    assert [r.subject_id for r in readings_store.read_readings(spark, str(tmp_path / "many")).collect()] == ["a"]

@@ -1,4 +1,5 @@
 import datetime as dt
+import os
 
 from pyspark.sql import functions as F
 
@@ -60,5 +61,36 @@ def test_replayed_batch_changes_nothing(spark, tmp_path):
     for checkpoint in ("one", "two"):
         run(spark, inbox, tmp_path / "store", tmp_path / checkpoint, seq=lambda batch_id: batch_id)
     rows = readings_store.read_points(spark, str(tmp_path / "store"))
-    assert rows.count() == 2
+    assert rows.count() == 1
     assert readings_store.dedup_latest_wins(rows).count() == 1
+
+
+def test_the_document_written_last_wins(spark, tmp_path):
+    inbox = tmp_path / "in"
+    inbox.mkdir()
+    for name, value, when in (("z", 111, 1_700_000_000), ("m", 150, 1_700_000_100), ("a", 222, 1_700_000_200)):
+        (inbox / f"{name}.json").write_text(document((1741500000000, value)))
+        os.utime(inbox / f"{name}.json", (when, when))
+    run(spark, inbox, tmp_path / "store", tmp_path / "cp")
+    assert [r.glucose_mg_dl for r in readings_store.read_readings(spark, str(tmp_path / "store")).collect()] == [222.0]
+
+
+def test_a_failed_cycle_is_started_again(spark, tmp_path):
+    inbox = tmp_path / "in"
+    inbox.mkdir()
+    (inbox / "a.json").write_text(document((1741500000000, 120)))
+    left = [2]
+
+    def fail_twice(_):
+        left[0] -= 1
+        if left[0] >= 0:
+            raise RuntimeError("a failure")
+
+    def start():
+        docs = continuous.document_stream(spark, str(inbox))
+        return continuous.stream_ingest(
+            docs, str(tmp_path / "store"), str(tmp_path / "cp"), F.lit("me"), available_now=True, after_batch=fail_twice
+        )
+
+    assert continuous.supervise(start, first_wait=0.01) == 2
+    assert readings_store.read_readings(spark, str(tmp_path / "store")).count() == 1
