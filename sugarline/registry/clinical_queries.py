@@ -4,24 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from sugarline.registry.base import registry
 from sugarline.functions import clinical, parsing
 from sugarline.operators import statistics as st
 from sugarline.plans import ingest
 from sugarline.registry import fixtures as fx
 from sugarline.sources import csv_export, xml_events
 
-QUERIES = {}
-ORACLE = {}
-
-
-def query(sql: str | None):
-    def register(function):
-        QUERIES[function.__name__] = function
-        if sql:
-            ORACLE[function.__name__] = sql
-        return function
-
-    return register
+QUERIES, ORACLE, query = registry()
 
 
 def r2(x: str) -> str:

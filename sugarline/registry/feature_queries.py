@@ -4,23 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from sugarline.registry.base import registry
 from sugarline.operators import timeline
 from sugarline.plans.features import build_feature_frame as build
 from sugarline.registry import fixtures as fx
 from sugarline.sources import features_table, xml_events
 
-QUERIES = {}
-ORACLE = {}
-
-
-def query(sql: str | None):
-    def register(function):
-        QUERIES[function.__name__] = function
-        if sql:
-            ORACLE[function.__name__] = sql
-        return function
-
-    return register
+QUERIES, ORACLE, query = registry()
 
 
 BIN = "time_bucket(INTERVAL '6 hours', ts)"

@@ -7,6 +7,7 @@ from itertools import combinations
 from pyspark.sql import functions as F
 
 from sugarline import constants as C
+from sugarline.registry.base import registry
 from sugarline.operators import report
 from sugarline.plans.features import build_feature_frame
 from sugarline.plans.report import eda_report as full_report
@@ -16,18 +17,7 @@ from sugarline.registry.feature_queries import TIMELINE, rounded, rounded_sql
 from sugarline.session import scratch_dir
 from sugarline.sources import features_table
 
-QUERIES = {}
-ORACLE = {}
-
-
-def query(sql: str | None):
-    def register(function):
-        QUERIES[function.__name__] = function
-        if sql:
-            ORACLE[function.__name__] = sql
-        return function
-
-    return register
+QUERIES, ORACLE, query = registry()
 
 
 def one_decimal(x: str) -> str:

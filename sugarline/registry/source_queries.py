@@ -6,6 +6,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
+from sugarline.registry.base import registry
 from sugarline.operators.statistics import glycemic_statistics
 from sugarline.operators import timeline
 from sugarline.plans import ingest
@@ -15,21 +16,10 @@ from sugarline.session import scratch_dir
 from sugarline.sources import csv_export, json_docs, readings_store, xml_events
 from sugarline.streaming import continuous
 
-QUERIES = {}
-ORACLE = {}
+QUERIES, ORACLE, query = registry()
 NOW = dt.datetime(2024, 1, 20, 12)
 
 
-def query(sql: str | None):
-    def register(function):
-        QUERIES[function.__name__] = function
-        if sql:
-            ORACLE[function.__name__] = sql
-        return function
-
-    return register
-
-
 # --- CSV ------------------------------------------------------------------------------------
 
 
