@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from sugarline.registry.base import registry
 from sugarline.operators import timeline
+from sugarline.plans import features
 from sugarline.plans.features import build_feature_frame as build
 from sugarline.registry import fixtures as fx
-from sugarline.sources import features_table, xml_events
+from sugarline.registry.base import registry
+from sugarline.sources import features_table
 
 QUERIES, ORACLE, query = registry()
 
@@ -226,10 +227,8 @@ def build_feature_frame(spark, sf_dir):
 {timeline_sql('source')} SELECT * FROM features"""
 )
 def process_split(spark, sf_dir):
-    """The training split from its documents to features."""
-    docs = fx.xml_documents(spark, sf_dir)
-    training = docs.where(xml_events.in_split(F.col("file_name"), "training"))
-    return rounded(build(xml_events.parse_xml_texts(training), fx.CADENCE))
+    """The training split from its files to features."""
+    return rounded(features.process_split(spark, fx.xml_files(spark, sf_dir), "training", fx.CADENCE))
 
 
 @query(

@@ -7,6 +7,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from sugarline.session import list_files, rename, scratch, scratch_dir, touch
+
 CADENCE = 6 * 3600
 SPLIT_AT = "2024-01-21"
 HEADER_FROM = "2024-01-02"
@@ -90,6 +92,30 @@ def by_split(df: DataFrame) -> DataFrame:
     )
 
 
+# --- files ----------------------------------------------------------------------------------
+
+
+def write_files(docs: DataFrame, label: str) -> str:
+    """Write (file_name, text) rows as files of these names in a new shared folder; its path.
+
+    The names are few (one or two per subject of the test tables), so the driver moves the files.
+    """
+    spark = docs.sparkSession
+    folder = scratch_dir(spark, label)
+    with scratch(spark, f"{label}-parts") as parts:
+        docs.repartition("file_name").write.partitionBy("file_name").text(parts)
+        for row in docs.select("file_name").distinct().collect():
+            (part, _, _), *_ = [f for f in list_files(spark, f"{parts}/file_name={row.file_name}") if "/part-" in f[0]]
+            rename(spark, part, f"{folder}/{row.file_name}")
+    return folder
+
+
+def joined(rows: DataFrame, column: str, separator: str) -> DataFrame:
+    """One text per file_name: its pieces in the order of ``pos``."""
+    pieces = F.sort_array(F.collect_list(F.struct("pos", column)))
+    return rows.groupBy("file_name").agg(F.array_join(pieces[column], separator).alias("text"))
+
+
 # --- CSV lines ------------------------------------------------------------------------------
 
 
@@ -142,6 +168,17 @@ def csv_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.select("source", hour.cast("bigint").alias("block"), "pos", "line")
 
 
+def csv_files(spark: SparkSession, sf_dir: str) -> str:
+    """A folder with one export per subject, and three files without a reading."""
+    name = F.element_at(F.split("source", "/"), -1).alias("file_name")
+    exports = joined(csv_lines(spark, sf_dir).select(name, "pos", "line"), "line", "\n")
+    header = "Index,Date,Time,BG Source,Sensor Glucose (mg/dL)"
+    more = spark.createDataFrame([("header.csv", header), ("blank.csv", " ")], exports.schema)
+    folder = write_files(exports.unionByName(more), "exports")
+    touch(spark, f"{folder}/zero.csv")
+    return folder
+
+
 CSV_CTE = f"""located AS (
   SELECT '/exports/' || user_id || '.csv' AS source, CAST(user_id AS VARCHAR) AS subject_id,
          ts, value, event_type,
@@ -241,9 +278,18 @@ def xml_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events(spark, sf_dir).select(
         F.concat(F.col("user_id"), F.lit("-ws-"), split, F.lit(".xml")).alias("file_name"),
         F.format_string('<patient id="%d">%s</patient>', "user_id", element).alias("text"),
+        F.col("event_id").alias("pos"),
+        element.alias("element"),
     )
 
 
+def xml_files(spark: SparkSession, sf_dir: str) -> str:
+    """A folder with one file per subject and split; its streams come in many elements."""
+    docs = joined(xml_documents(spark, sf_dir), "element", "\n")
+    text = F.concat(F.lit("<export>\n"), F.col("text"), F.lit("\n</export>"))
+    return write_files(docs.withColumn("text", text), "events")
+
+
 XML_CTE = f"""xml_events AS (
   SELECT CAST(user_id AS VARCHAR) AS subject_id, event_id AS pos,
          CASE WHEN event_type = 'view' THEN 'glucose' WHEN event_type = 'purchase' THEN 'bolus'

@@ -6,11 +6,11 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from sugarline.registry.base import registry
-from sugarline.operators.statistics import glycemic_statistics
+from sugarline import constants as C
 from sugarline.operators import timeline
 from sugarline.plans import ingest
 from sugarline.registry import fixtures as fx
+from sugarline.registry.base import registry
 from sugarline.registry.clinical_queries import client_statistics_sql, statistics_sql
 from sugarline.session import scratch_dir
 from sugarline.sources import csv_export, json_docs, readings_store, xml_events
@@ -149,20 +149,18 @@ def drop_missing_attr(spark, sf_dir):
 
 
 @query(
-    f"""SELECT DISTINCT user_id || '-ws-training.xml' AS file_name,
-       CAST(user_id AS VARCHAR) AS subject_id
-FROM events WHERE ts < TIMESTAMP '{fx.SPLIT_AT}' ORDER BY file_name"""
+    f"""SELECT DISTINCT user_id || '-ws-' || split || '.xml' AS file_name,
+       CAST(user_id AS VARCHAR) AS subject_id, split
+FROM (SELECT user_id, CASE WHEN ts < TIMESTAMP '{fx.SPLIT_AT}' THEN 'training' ELSE 'testing' END AS split
+      FROM events) ORDER BY file_name"""
 )
 def discover_split_files(spark, sf_dir):
-    """Names of the training documents and their subjects."""
-    names = fx.xml_documents(spark, sf_dir).select("file_name")
-    name = F.col("file_name")
-    return (
-        names.where(xml_events.in_split(name, "training"))
-        .distinct()
-        .withColumn("subject_id", xml_events.subject_of(name))
-        .orderBy("file_name")
-    )
+    """Names of the files of each split and their subjects."""
+    folder = fx.xml_files(spark, sf_dir)
+    found = [
+        xml_events.discover_split_files(spark, folder, split).withColumn("split", F.lit(split)) for split in C.SPLITS
+    ]
+    return found[0].unionByName(found[1]).select("file_name", "subject_id", "split").orderBy("file_name")
 
 
 # --- readings table -------------------------------------------------------------------------
@@ -253,22 +251,22 @@ def _ingest_sql(cte: str, source: str) -> str:
 SELECT source, 'success' AS status, count AS readings_saved, * EXCLUDE (source, count) FROM stats"""
 
 
-def _csv_readings(spark, sf_dir):
-    parsed = csv_export.parse_lines(fx.csv_lines(spark, sf_dir))
-    return parsed.withColumn("subject_id", csv_export.file_stem(F.col("source")))
-
-
 @query(_ingest_sql(fx.CSV_CTE, "csv_readings"))
 def ingest_csv(spark, sf_dir):
-    """Parse, store, and report per source."""
-    sources = fx.csv_lines(spark, sf_dir).select("source").distinct()
-    store = scratch_dir(spark, "readings")
-    return ingest.ingest(_csv_readings(spark, sf_dir), sources, store, 1).results
+    """Files of a folder, stored and reported on."""
+    result = ingest.ingest_csv(spark, fx.csv_files(spark, sf_dir), scratch_dir(spark, "readings"), 1)
+    return result.results.withColumn("source", _export_name())
+
+
+def _export_name():
+    return F.concat(F.lit("/exports/"), F.element_at(F.split("source", "/"), -1))
 
 
 @query(f"WITH {fx.CSV_CTE}, {statistics_sql('csv_readings', 'source')} SELECT * FROM stats")
 def csv_statistics(spark, sf_dir):
-    return glycemic_statistics(_csv_readings(spark, sf_dir), "source")
+    """Statistics of the files of a folder."""
+    statistics, _ = ingest.csv_statistics(spark, fx.csv_files(spark, sf_dir))
+    return statistics.withColumn("source", _export_name())
 
 
 def _json_readings(spark, sf_dir):
@@ -284,13 +282,21 @@ def ingest_json(spark, sf_dir):
 
 
 @query(
-    f"""WITH {fx.JSON_CTE}
+    f"""WITH {fx.JSON_CTE}, {fx.CSV_CTE}
 SELECT source, 'no valid readings' AS reason FROM documents_used
-WHERE NOT readable OR shown <= 0"""
+WHERE NOT readable OR shown <= 0
+UNION ALL SELECT '/exports/' || name || '.csv', 'no valid readings'
+FROM (SELECT UNNEST(['header', 'blank', 'zero']) AS name)
+UNION ALL SELECT DISTINCT '/exports/' || user_id || '.csv', 'no valid readings' FROM events
+WHERE '/exports/' || user_id || '.csv' NOT IN (SELECT source FROM csv_readings)"""
 )
 def reject_empty_input(spark, sf_dir):
+    """JSON documents without a reading, and CSV files of a folder: one without data, one blank,
+    one of no bytes."""
     docs = fx.json_documents(spark, sf_dir)
-    return ingest.reject_empty_input(docs.select("source"), json_docs.parse_documents(docs))
+    rejected = ingest.reject_empty_input(docs.select("source"), json_docs.parse_documents(docs))
+    _, files = ingest.csv_statistics(spark, fx.csv_files(spark, sf_dir))
+    return rejected.unionByName(files.withColumn("source", _export_name()))
 
 
 # --- streaming ------------------------------------------------------------------------------
