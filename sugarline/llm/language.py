@@ -141,15 +141,16 @@ def fit(texts: list[str], labels: list[str], rounds: int = 150) -> Model:
 
 
 def train(docs: DataFrame, per_language: int = 300, most_chars: int = 20_000) -> Model:
-    """Fit on at most ``per_language`` texts of each language of ``docs`` (text, lang).
+    """Fit on at most ``per_language`` texts of each language of ``docs`` (doc_id, text, lang).
 
-    The texts are those with the smallest hashes, so the choice does not depend on the partitioning;
-    texts over ``most_chars`` are not used for learning. Null texts and languages are passed over.
+    The texts are those with the smallest hashes of id and text, so the choice does not depend on the
+    partitioning and copies do not crowd it; texts over ``most_chars`` are not used for learning.
+    Null texts and languages are passed over.
     """
-    usable = docs.select("text", "lang").where(
+    usable = docs.select("doc_id", "text", "lang").where(
         F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") <= most_chars)
     )
-    order = [F.xxhash64("text"), F.col("text")]
+    order = [F.xxhash64("doc_id", "text"), F.col("text")]
     rows = bound_rows(usable, order, per_language, by=["lang"]).toPandas()
     rows = rows.sort_values(["lang", "text"])
     return fit(rows["text"].tolist(), rows["lang"].tolist())
