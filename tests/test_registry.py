@@ -4,6 +4,7 @@ A choice by default; all of them with ALL_QUERIES=1, or with ``python -m tests.o
 """
 
 import os
+import re
 
 import pytest
 
@@ -26,7 +27,7 @@ CHOICE = (
     "latest_readings",
     "stream_latest_view",
 )
-NAMES = tuple(queries()) if os.environ.get("ALL_QUERIES") else CHOICE
+NAMES = tuple(n for n in queries() if n in oracle_sql()) if os.environ.get("ALL_QUERIES") else CHOICE
 
 needs_data = pytest.mark.skipif(not os.path.isdir(SF_SMALL), reason="test tables not present")
 
@@ -47,4 +48,6 @@ def test_entry(spark):
 
 
 def test_every_query_has_sql():
-    assert set(queries()) == set(oracle_sql())
+    """Those of the training-data operators may have none (see their own tests)."""
+    own = {name for name in queries() if not re.match(r"op\d+_|pipeline$", name)}
+    assert own <= set(oracle_sql()) <= set(queries())
