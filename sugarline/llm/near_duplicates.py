@@ -6,32 +6,37 @@ pass under several different orders before its whole sets are compared:
 
 1. Under the order of hash values, with the prefix made longer by a share of n; a set then shares
    that many more tokens with other sets. Most texts fail here and their sets are never shipped.
-2. Under an order that puts frequent shingles last, ties by hash. It makes the candidates.
-3. Under two more orders of that kind with other ties. All three must agree.
+2. Under the order of document frequencies among the texts that are left, rare tokens first, ties
+   by hash. A token that no other set has fills a place of the prefix and makes no candidates.
+3. Under the descending order of hash values, for the pairs that order 2 leaves.
 
 Texts with the same words form a class, and only classes are compared. The join wants components:
-a set is first compared with one pivot per shared token, components are merged, and only pairs of
-different components are left for the next pass. The last pass joins whatever is left, so no link
-between components is lost, while groups of many near copies never meet pair by pair.
+a set is first compared with one pivot of its shared tokens, components are merged, and only pairs
+of different components are left for the next pass. The last pass joins whatever is left, so no
+link between components is lost, while groups of many near copies never meet pair by pair.
+
+Tokens travel packed: a batch of texts sends each range of hash values (bucket) one row with the
+tokens in it, in a few bytes each, and the tasks that count them work on whole arrays.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sugarline.llm.common import stored
 from sugarline.llm.shingles import canonical, mixed, shingle_sets
 
-#: Ids of classes without any doc_id start here.
-NAMELESS = 1 << 62
-ORDERS = 3
+#: Ids of classes without any doc_id start here; counts of frequent tokens lie below the other value.
+NAMELESS, COUNTS = 1 << 62, -(1 << 62)
 
 
 def _class_key(text: bytes) -> int:
@@ -77,117 +82,148 @@ def classes_of(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(describe, "doc_id bigint, n_shingles bigint, class bigint")
 
 
-def prefix_postings(docs: DataFrame, percent: int, longer: float) -> DataFrame:
-    """Prefix tokens under the order of hash values, as rows (token, class, shared, needed).
+def _buckets(spark: SparkSession) -> int:
+    """Bits of a token that name its bucket: four buckets or more for each shuffle partition."""
+    return (4 * int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length()
+
+
+def _pack(tokens: np.ndarray, owners: np.ndarray, wide: int) -> np.ndarray:
+    """Rows of bytes: five of each token, then ``wide`` of each owner."""
+    out = np.empty((len(tokens), 5 + wide), np.uint8)
+    out[:, :5] = tokens.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
+    out[:, 5:] = owners.astype("<i8").view(np.uint8).reshape(-1, 8)[:, :wide]
+    return out
+
+
+def _unpack(data: bytes, wide: int) -> tuple[np.ndarray, np.ndarray]:
+    packed = np.frombuffer(data, np.uint8).reshape(-1, 5 + wide)
+    tokens, owners = np.zeros((len(packed), 8), np.uint8), np.zeros((len(packed), 8), np.uint8)
+    tokens[:, :5] = packed[:, :5]
+    owners[:, :wide] = packed[:, 5:]
+    return tokens.view("<u8").ravel(), owners.view("<i8").ravel()
+
+
+def _bucket_rows(tokens: np.ndarray, owners: np.ndarray, bits: int, wide: int) -> Iterator[tuple[int, bytes]]:
+    """(bucket, packed tokens and owners); tokens are ascending. A packed token is the 40 bits below
+    the bucket's, which is exact enough to say which texts may share something."""
+    bucket = (tokens >> np.uint64(64 - bits)).astype(np.int64)
+    packed = _pack((tokens >> np.uint64(24 - bits)) & np.uint64((1 << 40) - 1), owners, wide)
+    cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else []
+    for a, b in zip(cuts, [*cuts[1:], len(bucket)], strict=True):
+        yield int(bucket[a]), packed[a:b].tobytes()
+
+
+def _by_bucket(batches: Iterator[pa.RecordBatch], passed: list[pa.RecordBatch]) -> Iterator[tuple[int, bytes]]:
+    """All packed bytes of one bucket at a time; rows without any go to ``passed``."""
+    bucket, held = None, []
+    for batch in batches:
+        alone = pc.is_null(batch.column("data"))
+        passed.append(batch.filter(alone))
+        packed = batch.filter(pc.invert(alone))
+        for name, data in zip(packed.column("bucket").to_pylist(), packed.column("data").to_pylist(), strict=True):
+            if name != bucket:
+                if held:
+                    yield bucket, b"".join(held)
+                bucket, held = name, []
+            held.append(data)
+    if held:
+        yield bucket, b"".join(held)
 
-    A batch sends each token once: with its class if one class has it, else without a class. How
-    many of its prefix tokens a class has found shared within the batch goes into a row of its own,
-    together with the number it needs. So a token of very many texts makes a row per batch.
+
+def _groups(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Order of the tokens, starts of equal ones in it, and the group of each place in it."""
+    order = np.argsort(tokens, kind="stable")
+    ordered = tokens[order]
+    first = np.concatenate([[True], ordered[1:] != ordered[:-1]])
+    return order, np.flatnonzero(first), np.cumsum(first) - 1
+
+
+#: Low bits of a class that travel with its tokens, and the owner of a token of several classes.
+_KEY_BITS = 47
+_SEVERAL = (1 << _KEY_BITS) - 1
+
+
+def prefix_rows(docs: DataFrame, percent: int, longer: float, bits: int) -> DataFrame:
+    """Prefix tokens under the order of hash values: rows (bucket, data), and for each class of a
+    batch (class, found, needed): the prefix tokens that it shares within the batch, and how many it
+    has to share in all.
+
+    A batch sends a token once: with its class if one class has it, else as a token of several. So
+    a token of very many texts travels once for each batch.
     """
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = list(dict.fromkeys(canonical(t) for t in batch.column(0).to_pylist()))
-            texts = [t for t in texts if t]
-            keys = np.array([_class_key(t) for t in texts], np.int64)
+            texts = [t for t in dict.fromkeys(canonical(t) for t in batch.column(0).to_pylist()) if t]
+            if not texts:
+                continue
+            keys = np.array([_class_key(t) & _SEVERAL for t in texts], np.int64)
             prefixes, needed = [], []
             for tokens in shingle_sets(texts):
                 n = len(tokens)
                 extra = int(longer * n)
-                size = min(n, n - _needed(n, percent) + 1 + extra)
-                prefixes.append(tokens[:size])
+                prefixes.append(tokens[: min(n, n - _needed(n, percent) + 1 + extra)])
                 needed.append(extra + 1)
-            if not prefixes:
-                continue
             owner = np.repeat(np.arange(len(texts)), [len(p) for p in prefixes])
-            tokens = np.concatenate(prefixes).view(np.int64)
-            order = np.argsort(tokens, kind="stable")
+            tokens = np.concatenate(prefixes)
+            order, starts, group = _groups(tokens)
             tokens, owner = tokens[order], owner[order]
-            first = np.concatenate([[True], tokens[1:] != tokens[:-1]])
-            alone = first & np.concatenate([first[1:], [True]])
-            here = np.bincount(owner[~alone], minlength=len(texts))
-            marker = first & ~alone
-            yield _batches({"token": tokens[alone], "class": keys[owner[alone]], "shared": np.zeros(alone.sum(), np.int32), "needed": np.zeros(alone.sum(), np.int32)})
-            m = int(marker.sum())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(tokens[marker]), pa.nulls(m, pa.int64()), pa.array(np.zeros(m, np.int32)), pa.array(np.zeros(m, np.int32))],
-                names=["token", "class", "shared", "needed"],
+            several = np.diff(np.append(starts, len(tokens))) > 1
+            here = np.bincount(owner[several[group]], minlength=len(texts))
+            sent = np.where(several, _SEVERAL, keys[owner[starts]])
+            rows = list(_bucket_rows(tokens[starts], sent, bits, 6))
+            yield pa.RecordBatch.from_pydict(
+                {
+                    "bucket": pa.array([r[0] for r in rows], pa.int32()),
+                    "data": pa.array([r[1] for r in rows], pa.binary()),
+                    "class": pa.nulls(len(rows), pa.int64()),
+                    "found": pa.nulls(len(rows), pa.int64()),
+                    "needed": pa.nulls(len(rows), pa.int64()),
+                }
+            )
+            yield pa.RecordBatch.from_pydict(
+                {
+                    "bucket": pa.array((keys & ((1 << bits) - 1)).astype(np.int32)),
+                    "data": pa.nulls(len(texts), pa.binary()),
+                    "class": pa.array(keys),
+                    "found": pa.array(here.astype(np.int64)),
+                    "needed": pa.array(np.array(needed, np.int64)),
+                }
             )
-            yield _batches({"token": mixed(keys.view(np.uint64)).view(np.int64), "class": keys, "shared": here.astype(np.int32), "needed": np.array(needed, np.int32)})
 
-    return docs.select("text").mapInArrow(post, "token bigint, class bigint, shared int, needed int")
+    schema = "bucket int, data binary, class bigint, found bigint, needed bigint"
+    return docs.select("text").mapInArrow(post, schema)
 
 
 def surviving_classes(docs: DataFrame, percent: int, longer: float = 0.15) -> DataFrame:
-    """Classes that share enough prefix tokens with other classes to have a partner at all.
+    """``key`` (low bits) of the classes that share enough prefix tokens with others.
 
     A class that occurs in several batches counts its shared and its needed tokens in each of them.
     """
-    token = Window.partitionBy("token")
-    marked = F.max((F.col("class").isNull()).cast("int")).over(token) == 1
-    seen = prefix_postings(docs, percent, longer).withColumn(
-        "elsewhere", marked | (F.min("class").over(token) != F.max("class").over(token))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        passed: list[pa.RecordBatch] = []
+        for _, data in _by_bucket(batches, passed):
+            tokens, owners = _unpack(data, 6)
+            order, starts, group = _groups(tokens)
+            owners = owners[order]
+            shared = np.minimum.reduceat(owners, starts) != np.maximum.reduceat(owners, starts)
+            keys, found = np.unique(owners[shared[group] & (owners != _SEVERAL)], return_counts=True)
+            zero = np.zeros(len(keys), np.int64)
+            yield _batches({"key": keys, "found": found.astype(np.int64), "needed": zero})
+        for batch in passed:
+            yield pa.RecordBatch.from_arrays(batch.columns[2:], names=["key", "found", "needed"])
+
+    rows = prefix_rows(docs, percent, longer, _buckets(docs.sparkSession))
+    counted = rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(
+        count, "key bigint, found bigint, needed bigint"
     )
-    found = F.when(F.col("needed") > 0, F.col("shared")).otherwise(F.col("elsewhere").cast("int"))
     return (
-        seen.where("class IS NOT NULL AND (needed > 0 OR elsewhere)")
-        .groupBy("class")
-        .agg(F.sum(found).alias("found"), F.sum("needed").alias("needed"))
+        counted.groupBy("key")
+        .agg(F.sum("found").alias("found"), F.sum("needed").alias("needed"))
         .where("found >= needed")
-        .select("class")
-    )
-
-
-def frequent_tokens(sets: DataFrame, most: int = 500_000) -> np.ndarray:
-    """Shingles seen repeatedly, and how often (log2), the ``most`` frequent ones, ascending.
-
-    Only repetitions within one batch are counted. The counts merely shape an order of the tokens,
-    and any order gives the same links.
-    """
-
-    def repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            tokens, counts = np.unique(batch.column(0).flatten().to_numpy(), return_counts=True)
-            yield _batches({"token": tokens[counts > 1], "seen": counts[counts > 1].astype(np.int64)})
-
-    counted = sets.select("tokens").mapInArrow(repeated, "token bigint, seen bigint")
-    top = (
-        counted.groupBy("token").agg(F.sum("seen").alias("seen")).where("seen > 2").orderBy(F.desc("seen"), "token").limit(most)
+        .select("key")
     )
-    rows = top.toPandas()
-    out = np.empty(len(rows), [("token", np.int64), ("level", np.int8)])
-    out["token"], out["level"] = rows["token"], np.log2(rows["seen"].to_numpy(float)).astype(np.int8)
-    return np.sort(out, order="token")
-
-
-def with_prefixes(sets: DataFrame, frequent: np.ndarray, percent: int) -> DataFrame:
-    """Adds ``prefix0`` .. : the prefix of each set under orders that put frequent tokens last."""
-    spark = sets.sparkSession
-    table = spark.sparkContext.broadcast(frequent)
-    names = [f"prefix{k}" for k in range(ORDERS)]
-
-    def order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = table.value
-        for batch in batches:
-            out: dict[str, list] = {name: [] for name in names}
-            for tokens in batch.column(2):
-                tokens = tokens.values.to_numpy()
-                n = len(tokens)
-                level = np.zeros(n, np.int8)
-                if len(known):
-                    at = np.minimum(np.searchsorted(known["token"], tokens), len(known) - 1)
-                    level = np.where(known["token"][at] == tokens, known["level"][at], 0)
-                size = n - _needed(n, percent) + 1
-                for k, name in enumerate(names):
-                    tie = mixed(tokens.view(np.uint64) + np.uint64(k))
-                    out[name].append(tokens[np.lexsort((tie, level))[:size]])
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, *[pa.array(out[name], pa.list_(pa.int64())) for name in names]],
-                names=["id", "n", "tokens", *names],
-            )
-
-    extra = ", ".join(f"{name} array<bigint>" for name in names)
-    return sets.select("id", "n", "tokens").mapInArrow(order, f"id bigint, n bigint, tokens array<bigint>, {extra}")
 
 
 def class_sets(docs: DataFrame) -> DataFrame:
@@ -209,21 +245,120 @@ def class_sets(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(build, "class bigint, n bigint, tokens array<bigint>")
 
 
-def similar_sizes(a: Column, b: Column, percent: int) -> Column:
-    return 100 * F.least(a, b) >= percent * F.greatest(a, b)
+def shared_tokens(sets: DataFrame, often: int = 32, piece: int = 20_000) -> DataFrame:
+    """(id, token, df) of the tokens that two sets or more have.
+
+    Tokens that a batch has ``often`` times do not all go to the token's bucket: that gets their
+    count, and the batch's (id, token) go elsewhere in pieces of ``piece``, to meet the df later.
+    """
+    bits = _buckets(sets.sparkSession)
+
+    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(1)
+            tokens = lists.flatten().to_numpy().view(np.uint64)
+            owner = np.repeat(batch.column(0).to_numpy(), np.diff(lists.offsets.to_numpy()))
+            if not len(tokens):
+                continue
+            order, starts, group = _groups(tokens)
+            tokens, owner = tokens[order], owner[order]
+            counts = np.diff(np.append(starts, len(tokens)))
+            hot = counts >= often
+            rare = ~hot[group]
+            # The count of a frequent token goes in place of an owner
+            sent = np.concatenate([tokens[rare], tokens[starts[hot]]])
+            owners = np.concatenate([owner[rare], COUNTS - counts[hot]])
+            by_token = np.argsort(sent, kind="stable")
+            rows = list(_bucket_rows(sent[by_token], owners[by_token], bits, 8))
+            yield pa.RecordBatch.from_pydict(
+                {
+                    "bucket": pa.array([r[0] for r in rows], pa.int32()),
+                    "data": pa.array([r[1] for r in rows], pa.binary()),
+                    "frequent": pa.nulls(len(rows), pa.binary()),
+                }
+            )
+            pairs = np.stack([owner[~rare], (tokens[~rare] >> np.uint64(24 - bits)).astype(np.int64)], axis=1)
+            pieces = [pairs[i : i + piece] for i in range(0, len(pairs), piece)]
+            yield pa.RecordBatch.from_pydict(
+                {
+                    "bucket": pa.array([int(p[0, 1] & ((1 << bits) - 1)) for p in pieces], pa.int32()),
+                    "data": pa.nulls(len(pieces), pa.binary()),
+                    "frequent": pa.array([p.tobytes() for p in pieces], pa.binary()),
+                }
+            )
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        passed: list[pa.RecordBatch] = []
+        for bucket, data in _by_bucket(batches, passed):
+            for batch in passed:
+                yield _named(batch)
+            passed.clear()
+            tokens, owners = _unpack(data, 8)
+            order, starts, group = _groups(tokens)
+            owners = owners[order]
+            df = np.add.reduceat(np.where(owners < COUNTS, COUNTS - owners, 1), starts)
+            hot = np.minimum.reduceat(owners, starts) < COUNTS
+            whole = (tokens[order] | (np.uint64(bucket) << np.uint64(40))).astype(np.int64)
+            kept = (df > 1)[group] & (owners > COUNTS)
+            yield _batches({"id": owners[kept], "token": whole[kept], "df": df[group][kept].astype(np.int64)})
+            yield pa.RecordBatch.from_arrays(
+                [pa.nulls(int(hot.sum()), pa.int64()), pa.array(whole[starts[hot]]), pa.array(df[hot].astype(np.int64))],
+                names=["id", "token", "df"],
+            )
+        for batch in passed:
+            yield _named(batch)
+
+    def _named(batch: pa.RecordBatch) -> pa.RecordBatch:
+        pairs = np.frombuffer(b"".join(batch.column("frequent").to_pylist()), np.int64).reshape(-1, 2)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.nulls(len(pairs), pa.int64())], names=["id", "token", "df"]
+        )
+
+    rows = sets.select("id", "tokens").mapInArrow(post, "bucket int, data binary, frequent binary")
+    found = rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(count, "id bigint, token bigint, df bigint")
+    found = stored(found, "shared")
+    hot = found.where("id IS NULL").select("token", "df")
+    waiting = found.where("df IS NULL").select("id", "token")
+    return found.where("id IS NOT NULL AND df IS NOT NULL").unionByName(waiting.join(hot, "token"))
+
+
+def rare_prefixes(sets: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
+    """(id, n, token, place): shared tokens in the prefix of each set under the order of frequencies.
 
+    Tokens that no other set has come first and are not listed; ``place`` counts them. ``sizes``
+    has id and n.
+    """
+    lists = shared_tokens(sets).groupBy("id").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("shared"))
+    room = F.size("shared") - F.ceil(percent * F.col("n") / 100) + 1
+    return (
+        lists.join(sizes, "id")
+        .withColumn("room", room.cast("int"))
+        .where("room > 0")
+        .withColumn("alone", F.greatest(F.col("n") - F.size("shared"), F.lit(0)))
+        .select("id", "n", "alone", F.posexplode(F.slice("shared", F.lit(1), F.col("room"))).alias("at", "t"))
+        .select("id", "n", "t.token", (F.col("alone") + F.col("at") + 1).alias("place"))
+    )
+
+
+def may_link(a: Column, a_place: Column, b: Column, b_place: Column, percent: int) -> Column:
+    """Whether two sets of sizes ``a`` and ``b`` can be similar enough if a token at these places is
+    the first that they share: only it and what comes after it in both can be common."""
+    most = 1 + F.least(a - a_place, b - b_place)
+    return (100 * F.least(a, b) >= percent * F.greatest(a, b)) & ((100 + percent) * most >= percent * (a + b))
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets are similar enough: prefixes meet under every order, then the
-    whole sets are compared."""
-    left, right = sets.alias("x"), sets.alias("y")
-    both = pairs.join(left, F.col("a") == F.col("x.id")).join(right, F.col("b") == F.col("y.id"))
-    meet = F.lit(True)
-    for k in range(1, ORDERS):
-        meet = meet & F.arrays_overlap(F.col(f"x.prefix{k}"), F.col(f"y.prefix{k}"))
+
+def verified(pairs: DataFrame, sets: DataFrame, percent: int, *more: str) -> DataFrame:
+    """The pairs (a, b), with ``more`` columns of theirs, whose sets are similar enough: their
+    prefixes meet under the ascending and the descending order of hash values, then the whole sets
+    are compared."""
+    both = pairs.join(sets.alias("x"), F.col("a") == F.col("x.id")).join(sets.alias("y"), F.col("b") == F.col("y.id"))
+    size = lambda s: (F.col(f"{s}.n") - F.ceil(percent * F.col(f"{s}.n") / 100) + 1).cast("int")
+    head = lambda s: F.slice(f"{s}.tokens", F.lit(1), size(s))
+    tail = lambda s: F.slice(f"{s}.tokens", -size(s), size(s))
+    meet = F.arrays_overlap(head("x"), head("y")) & F.arrays_overlap(tail("x"), tail("y"))
     common = F.size(F.array_intersect("x.tokens", "y.tokens"))
     linked = 100 * common >= percent * (F.col("x.n") + F.col("y.n") - common)
-    return both.where(meet).where(linked).select("a", "b")
+    return both.where(meet).where(linked).select("a", "b", *more)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -232,79 +367,75 @@ def components(edges: DataFrame) -> DataFrame:
     Every node points to its smallest neighbour, pointers are followed twice, and the edges between
     different roots go on; each pass at least halves the nodes that are left.
     """
-    mapping = None
+    passes = []
     while True:
         ends = edges.select(F.col("a").alias("node"), F.col("b").alias("to")).union(edges.select("b", "a"))
         parents = ends.groupBy("node").agg(F.least(F.col("node"), F.min("to")).alias("root"))
         up = parents.select(F.col("node").alias("root"), F.col("root").alias("upper"))
-        parents = stored(parents.join(up, "root", "left").select("node", F.coalesce("upper", "root").alias("root")), "parents")
-        new = parents.select(F.col("node").alias("root"), F.col("root").alias("upper"))
-        if mapping is None:
-            mapping = parents
-        else:
-            mapping = stored(mapping.join(new, "root", "left").select("node", F.coalesce("upper", "root").alias("root")), "roots")
-        a = new.select(F.col("root").alias("a"), F.col("upper").alias("to_a"))
-        b = new.select(F.col("root").alias("b"), F.col("upper").alias("to_b"))
-        edges = stored(
-            edges.join(a, "a").join(b, "b").where("to_a <> to_b").select(F.col("to_a").alias("a"), F.col("to_b").alias("b")).distinct(),
-            "edges",
-        )
+        parents = parents.join(up, "root", "left").select("node", F.coalesce("upper", "root").alias("root"))
+        passes.append(stored(parents, "parents"))
+        a = passes[-1].select(F.col("node").alias("a"), F.col("root").alias("to_a"))
+        b = passes[-1].select(F.col("node").alias("b"), F.col("root").alias("to_b"))
+        moved = edges.join(a, "a").join(b, "b").where("to_a <> to_b")
+        edges = stored(moved.select(F.col("to_a").alias("a"), F.col("to_b").alias("b")).distinct(), "edges")
         if edges.isEmpty():
-            return mapping
+            break
+    mapping = passes[0]
+    for parents in passes[1:]:
+        new = parents.select(F.col("node").alias("root"), F.col("root").alias("upper"))
+        mapping = mapping.join(new, "root", "left").select("node", F.coalesce("upper", "root").alias("root"))
+    return stored(mapping, "roots") if len(passes) > 1 else mapping
+
 
+def linked_components(sets: DataFrame, sizes: DataFrame, percent: int, pivot_passes: int = 2) -> DataFrame:
+    """node and root of all sets (id, n, tokens) that have a partner.
 
-def linked_components(sets: DataFrame, percent: int, most_rounds: int = 6) -> DataFrame:
-    """node and root of all sets (id, n, tokens, prefixes) that have a partner."""
-    postings = stored(sets.select("id", "n", F.explode("prefix0").alias("token")), "postings")
+    In a pivot pass each set meets the pivot with which it shares most tokens: of all sets with a
+    token, the one whose group comes first by hash. Groups that a link connects become one. The last
+    pass compares all sets of a token that are still in different groups. Groups only spare
+    comparisons; the components come from the links.
+    """
+    postings = stored(rare_prefixes(sets, sizes, percent), "postings")
     shared = postings.groupBy("token").agg(F.count("*").alias("sets")).where("sets > 1").select("token")
-    postings = stored(postings.join(shared, "token"), "shared-postings")
-    amount = postings.count()
-    labelled = postings.withColumn("root", F.col("id"))
-    tried = links = None
-    for turn in range(most_rounds):
-        # Pairs that a join of everything left would make; once they are few, it is done
-        by_root = labelled.groupBy("token", "root").agg(F.count("*").alias("k"))
-        left = by_root.groupBy("token").agg(((F.sum("k") * F.sum("k") - F.sum(F.col("k") * F.col("k"))) / 2).alias("pairs"))
-        if turn and (left.agg(F.sum("pairs")).first()[0] or 0) <= 4 * amount:
-            break
-        pivot = labelled.groupBy("token").agg(
-            F.min(F.struct(F.xxhash64("id", F.lit(turn)), F.col("id").alias("p"), F.col("n").alias("p_n"), F.col("root").alias("p_root"))).alias("pivot")
-        )
+    labels = postings.join(shared, "token").withColumn("root", F.col("id"))
+    labels = stored(labels.select("id", "n", "token", "place", "root"), "shared-postings")
+    links = []
+    for _ in range(pivot_passes):
+        first = F.min(F.struct(F.xxhash64("root").alias("h"), "root", "id", "n", "place"))
+        pivots = labels.groupBy("token").agg(first.alias("p"))
+        near = may_link(F.col("n"), F.col("place"), F.col("p.n"), F.col("p.place"), percent)
+        near = near & (F.col("root") != F.col("p.root"))
         pairs = (
-            labelled.join(pivot, "token")
-            .where((F.col("root") != F.col("pivot.p_root")) & similar_sizes(F.col("n"), F.col("pivot.p_n"), percent))
-            .groupBy("id", F.col("pivot.p").alias("p"))
+            labels.join(pivots, "token")
+            .where(near)
+            .groupBy("id", "root", F.col("p.id").alias("pivot"), F.col("p.root").alias("pivot_root"))
             .agg(F.count("*").alias("common"))
+            .groupBy("id", "root")
+            .agg(F.max(F.struct("common", "pivot", "pivot_root")).alias("best"))
+            .select("id", "root", F.col("best.pivot").alias("pivot"), "best.pivot_root")
         )
-        best = Window.partitionBy("id").orderBy(F.desc("common"), "p")
-        pairs = pairs.withColumn("place", F.row_number().over(best)).where("place = 1")
-        pairs = pairs.select(F.least("id", "p").alias("a"), F.greatest("id", "p").alias("b")).distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = stored(pairs, "star-pairs")
-        tried = pairs if tried is None else tried.union(pairs)
-        new = stored(verified(pairs, sets, percent), "star-links")
-        links = new if links is None else links.union(new)
-        labelled = _relabel(links, postings)
-    b = labelled.select(F.col("id").alias("id_b"), F.col("n").alias("n_b"), F.col("root").alias("root_b"), "token")
+        met = verified(pairs.withColumns({"a": F.col("id"), "b": F.col("pivot")}), sets, percent, "root", "pivot_root")
+        met = stored(met, "pivot-links")
+        links.append(met.select("a", "b"))
+        # A group joins the first group by hash that it has a link to, and takes that one's own step
+        order = F.struct(F.xxhash64("pivot_root"), "pivot_root")
+        steps = met.groupBy("root").agg(F.min(order)["pivot_root"].alias("to"))
+        after = steps.select(F.col("root").alias("to"), F.col("to").alias("then"))
+        steps = steps.join(after, "to", "left").select("root", F.coalesce("then", "to").alias("to"))
+        labels = labels.join(steps, "root", "left").select(
+            "id", "n", "token", "place", F.coalesce("to", "root").alias("root")
+        )
+        labels = stored(labels, "grouped-postings")
+    other = labels.select("token", *[F.col(c).alias(f"{c}_b") for c in ("id", "n", "place", "root")])
+    near = may_link(F.col("n"), F.col("place"), F.col("n_b"), F.col("place_b"), percent)
     pairs = (
-        labelled.join(b, "token")
-        .where((F.col("root") < F.col("root_b")) & similar_sizes(F.col("n"), F.col("n_b"), percent))
-        .select(F.least("id", "id_b").alias("a"), F.greatest("id", "id_b").alias("b"))
+        labels.join(other, "token")
+        .where((F.col("root") < F.col("root_b")) & near)
+        .select(F.col("id").alias("a"), F.col("id_b").alias("b"))
         .distinct()
     )
-    pairs = stored(pairs.join(tried, ["a", "b"], "left_anti"), "last-pairs")
-    links = links.union(stored(verified(pairs, sets, percent), "last-links"))
-    return components(links)
-
-
-def _relabel(links: DataFrame, postings: DataFrame) -> DataFrame:
-    """The postings, with the components so far, of tokens that still occur in several of them."""
-    roots = components(links)
-    root = F.coalesce(F.col("root"), F.col("id"))
-    labelled = postings.join(roots, F.col("id") == F.col("node"), "left").select("id", "n", "token", root.alias("root"))
-    mixed_tokens = labelled.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("token")
-    return stored(labelled.join(mixed_tokens, "token"), "labelled")
+    links.append(stored(verified(pairs, sets, percent), "last-links"))
+    return components(reduce(DataFrame.union, links))
 
 
 def labelled(docs: DataFrame, percent: int) -> DataFrame:
@@ -312,18 +443,19 @@ def labelled(docs: DataFrame, percent: int) -> DataFrame:
     docs = docs.select("doc_id", "text")
     known = stored(classes_of(docs), "classes")
     nameless = F.lit(NAMELESS) + F.pmod(F.col("class"), F.lit(1 << 61))
-    heads = known.where("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("head"))
-    heads = stored(heads.select("class", F.coalesce("head", nameless).alias("id")), "heads")
-    chosen = stored(heads.join(surviving_classes(docs, percent), "class"), "chosen")
+    heads = known.where("class IS NOT NULL").groupBy("class", F.col("n_shingles").alias("n")).agg(F.min("doc_id").alias("head"))
+    heads = stored(heads.select("class", "n", F.coalesce("head", nameless).alias("id")), "heads")
+    key = F.col("class").bitwiseAND(F.lit(_SEVERAL)).alias("key")
+    chosen = stored(heads.select("*", key).join(surviving_classes(docs, percent), "key").drop("key"), "chosen")
     # One text of each class: that of its smallest id; classes without ids are looked for by class
     named = class_sets(docs.join(chosen.select(F.col("id").alias("doc_id")), "doc_id", "left_semi"))
     unnamed = class_sets(docs.where("doc_id IS NULL")).dropDuplicates(["class"])
-    sets = named.join(chosen.where(F.col("id") < NAMELESS), "class").unionByName(
-        unnamed.join(chosen.where(F.col("id") >= NAMELESS), "class")
+    own = chosen.select("class", "id")
+    sets = named.join(own.where(F.col("id") < NAMELESS), "class").unionByName(
+        unnamed.join(own.where(F.col("id") >= NAMELESS), "class")
     )
     sets = stored(sets.select("id", "n", "tokens"), "sets")
-    sets = stored(with_prefixes(sets, frequent_tokens(sets), percent), "prefixed")
-    roots = linked_components(sets, percent)
+    roots = linked_components(sets, chosen.select("id", "n").distinct(), percent)
     root = F.coalesce(F.col("root"), F.col("id"))
     labels = heads.join(roots, F.col("id") == F.col("node"), "left").select("class", root.alias("root"))
     return known.join(labels, "class", "left").select("doc_id", "n_shingles", "class", "root")
@@ -334,7 +466,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
 
     Null texts and texts without words have no shingles, link with nothing and are their own
     component. Rows without doc_id take part; their component_id is the smallest doc_id that they
-    reach, null if there is none. Rows that share a doc_id are one node. Ids must lie below 2^62.
+    reach, null if there is none. Rows that share a doc_id are one node. Ids must lie within 2^62.
     Extra columns are ignored; no rows give no result.
     """
     return labelled(docs, percent).select(

@@ -413,3 +413,14 @@ def test_quality_model_on_texts_it_has_not_seen(spark):
         assert r.predicted == (r.doc_id < 200) and r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1)
     kept = quality_model.accepted(docs, known).collect()
     assert {r.doc_id for r in kept} == set(range(200))
+
+
+def test_frequent_tokens_are_counted_like_others(spark):
+    rng = random.Random(18)
+    rows = [(i, 20, sorted(rng.sample(range(-(2**62), 2**62, 2**57), 20))) for i in range(50)]
+    sets = spark.createDataFrame(rows, "id bigint, n bigint, tokens array<bigint>").repartition(3)
+    df = Counter(t for r in rows for t in r[2])
+    for often in (2, 5, 1000):
+        got = near_duplicates.shared_tokens(sets, often, piece=7).collect()
+        assert Counter(r.df for r in got) == Counter(df[t] for r in rows for t in r[2] if df[t] > 1)
+        assert len({(r.id, r.token) for r in got}) == len(got)
