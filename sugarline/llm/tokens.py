@@ -7,6 +7,7 @@ blank-separated words in a row. Words repeat; their ids are kept.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -17,8 +18,10 @@ from pyspark.sql import functions as F
 
 from sugarline.llm.common import BLANKS
 
-#: In lower-case ASCII words without an apostrophe the tokenizer cuts exactly here.
-_PIECES = re.compile(rb"[a-z]+|[0-9]|[^a-z0-9]+")
+#: Words of printable ASCII and Latin letters: the tokenizer changes nothing in them but the case,
+#: and cuts them into runs of letters, single digits, and runs of other characters.
+_LATIN = re.compile("[!-&(-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+")
+_PIECES = re.compile("[a-z\u00df-\u00f6\u00f8-\u024f]+|[0-9]|[^a-z0-9\u00df-\u00f6\u00f8-\u024f]+")
 _SEGMENTS = re.compile(f"[^{BLANKS}]*[{BLANKS}]+|[^{BLANKS}]+")
 
 
@@ -28,6 +31,14 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def _byte_letters() -> list[str]:
+    """The letter that stands for each byte in a byte-level vocabulary: printable Latin-1 characters
+    for themselves, the others by the code points from 256 on, in order."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = iter(range(256, 512))
+    return [chr(b) if b in plain else chr(next(others)) for b in range(256)]
+
+
 class WordIds(dict):
     """Word (bytes) to its ids (little-endian unsigned 32 bits), for a tokenizer that ignores case
     and never joins across blanks. Forgets everything once it holds ``most`` words."""
@@ -37,15 +48,22 @@ class WordIds(dict):
 
         super().__init__()
         self.tokenizer, self.most = Tokenizer.from_file(path), most
+        self.model = self.tokenizer.model
+        self.letters = _byte_letters()
 
     def __missing__(self, word: bytes) -> bytes:
         if len(self) >= self.most:
             self.clear()
-        pieces = _PIECES.findall(word) if word.isascii() and b"'" not in word and b"<|" not in word else ()
-        if len(pieces) > 1:
-            ids = b"".join(map(self.__getitem__, pieces))
+        text = word.decode()
+        if "<|" not in text and _LATIN.fullmatch(text) and _LATIN.fullmatch(text := text.lower()):
+            pieces = [p.encode() for p in _PIECES.findall(text)]
+            if len(pieces) > 1:
+                ids = b"".join(map(self.__getitem__, pieces))
+            else:  # one piece goes straight to the model, in the letters that stand for its bytes
+                found = self.model.tokenize("".join(map(self.letters.__getitem__, pieces[0])))
+                ids = array("I", [t.id for t in found]).tobytes()
         else:
-            ids = np.array(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+            ids = array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
         if len(word) <= 64:
             self[word] = ids
         return ids
