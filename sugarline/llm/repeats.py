@@ -164,7 +164,7 @@ def segment_bytes(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     return found.mapInArrow(cut, "anchor bigint, content bigint, part binary")
 
 
-def repeated_windows(parts: DataFrame, size: int, shard_bytes: int = 2_000_000) -> DataFrame:
+def repeated_windows(parts: DataFrame, size: int, shard_bytes: int = 1_000_000) -> DataFrame:
     """anchor, content, first, past: runs of window starts in a segment that occur elsewhere.
 
     A task sees its anchors one after the other. Anchors are sorted together until they make a

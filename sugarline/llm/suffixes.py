@@ -37,13 +37,14 @@ class Segments:
             at = length[active]
             differ = self.words[a[active] + at] ^ self.words[b[active] + at]
             equal = differ == 0
-            # Leading equal bytes of a word: from the place of the highest bit that differs
-            bits = np.zeros(len(active), np.int64)
-            high = np.frexp((differ >> np.uint64(11)).astype(np.float64))[1] + 11
-            low = np.frexp((differ & np.uint64(0x7FF)).astype(np.float64))[1]
-            bits = np.where(differ >> np.uint64(11) > 0, high, low)
-            length[active] = np.minimum(at + np.where(equal, 8, (64 - bits) // 8), limit[active])
-            active = active[equal & (length[active] < limit[active])]
+            # Leading equal bytes of a word
+            alike = equal.astype(np.int64)
+            for k in range(1, 8):
+                alike += differ < np.uint64(1 << (8 * k))
+            bound = limit[active]
+            reached = np.minimum(at + alike, bound)
+            length[active] = reached
+            active = active[equal & (reached < bound)]
         return length
 
 
@@ -60,7 +61,7 @@ def suffix_array(s: Segments) -> np.ndarray:
     for k in range(FIRST):
         value = (value << np.uint64(9)) | np.where(s.left > k, padded[k : k + n], np.uint64(0))
     value = (value << np.uint64(1)) | (s.left > FIRST).astype(np.uint64)
-    sa = np.argsort(value, kind="stable")
+    sa = np.argsort(value)
     ordered = value[sa]
     new = np.concatenate([[True], ordered[1:] != ordered[:-1]]) if n else np.zeros(0, bool)
     # Suffixes that are compared to their end are told apart by place alone
@@ -77,22 +78,23 @@ def suffix_array(s: Segments) -> np.ndarray:
         suffixes = sa[slots]
         further = np.where(s.left[suffixes] > depth, group[np.minimum(suffixes + depth, n - 1)] + n, suffixes)
         # An ended suffix comes before longer ones of its group, hence place below n
-        order = np.lexsort((further, group[suffixes]))
-        suffixes, further = suffixes[order], further[order]
-        own = group[suffixes]
+        key = group[suffixes] * (2 * n) + further
+        order = np.argsort(key)
+        suffixes, key = suffixes[order], key[order]
         sa[slots] = suffixes
-        first = np.concatenate([[True], (own[1:] != own[:-1]) | (further[1:] != further[:-1])])
+        first = np.concatenate([[True], key[1:] != key[:-1]])
         new[slots] = first
         group[suffixes] = slots[np.maximum.accumulate(np.where(first, np.arange(len(slots)), 0))]
         depth *= 2
 
 
-def neighbour_prefixes(s: Segments, sa: np.ndarray) -> np.ndarray:
+def neighbour_prefixes(s: Segments, sa: np.ndarray, least: int = 0) -> np.ndarray:
     """For each slot of ``sa`` the common prefix with the slot before (0 for the first).
 
     Kasai's rule: one place further in the text the common prefix with the neighbour is at most one
     byte shorter. Where neighbour and text move on together it is exactly one shorter, so only the
-    places where they part are compared byte by byte.
+    places where they part are compared byte by byte. Prefixes below ``least`` may come out shorter
+    than they are: a place that cannot reach it, and so those after it, are not compared in full.
     """
     n = len(sa)
     if not n:
@@ -104,6 +106,10 @@ def neighbour_prefixes(s: Segments, sa: np.ndarray) -> np.ndarray:
     inside &= (s.left[before[1:]] == s.left[before[1:] - 1] - 1) & (s.data[:-1] == s.data[before[1:] - 1])
     together[1:] = inside
     heads = np.flatnonzero(~together & (before >= 0))
+    if least >= 8:
+        heads = heads[np.minimum(s.left[heads], s.left[before[heads]]) >= least]
+        for at in (0, least - 8):
+            heads = heads[s.words[heads + at] == s.words[before[heads] + at]]
     length = np.zeros(n, np.int64)
     length[heads] = s.common(heads, before[heads])
     head = np.maximum.accumulate(np.where(together, 0, np.arange(n)))
@@ -117,7 +123,7 @@ class Shard:
     def __init__(self, segments: list[bytes], size: int):
         self.s, self.size = Segments(segments), size
         self.sa = suffix_array(self.s)
-        long = neighbour_prefixes(self.s, self.sa) >= size
+        long = neighbour_prefixes(self.s, self.sa, size) >= size
         again = long.copy()
         again[:-1] |= long[1:]
         self.repeated = np.zeros(len(self.sa), bool)
