@@ -75,6 +75,15 @@ class WordIds(dict):
             return b"".join(self[w if b"<|" in w else w.lower()] for w in data.split())
         return b"".join(map(self.__getitem__, data.lower().split()))
 
+    def counts(self, text: str) -> np.ndarray:
+        """Number of ids of each word."""
+        data = text.encode()
+        if b"<|" in data:
+            words = [w if b"<|" in w else w.lower() for w in data.split()]
+        else:
+            words = data.lower().split()
+        return np.fromiter(map(len, map(self.__getitem__, words)), np.int64, len(words)) // 4
+
     def count(self, text: str) -> int:
         return len(self.of(text)) // 4
 
@@ -101,7 +110,8 @@ class TokenTree:
         self.size = 1 << max(n - 1, 0).bit_length()
         self.chars, self.tokens = [np.zeros(2 * self.size, np.int64) for _ in range(2)]
         self.chars[self.size : self.size + n] = np.fromiter(map(len, self.parts), np.int64, n)
-        self.tokens[self.size : self.size + n] = np.fromiter(map(ids.count, self.parts), np.int64, n)
+        counts = ids.counts(text)  # one for each word; a part of leading blanks has none
+        self.tokens[self.size + n - len(counts) : self.size + n] = counts
         level = self.size
         while level > 1:
             for sums in (self.chars, self.tokens):
