@@ -438,6 +438,29 @@ def linked_components(sets: DataFrame, sizes: DataFrame, percent: int, pivot_pas
     return components(reduce(DataFrame.union, links))
 
 
+def maybe_in(key: Column, keys: DataFrame, bits: int = 24) -> Column:
+    """False for most values that are not in the one column of ``keys``, true for all that are.
+
+    Put before a semi-join, it keeps rows without a partner out of the shuffle. The bitmap behind it
+    has 2^bits bits (2 MB by default) whatever the data; with very many keys it lets more rows by.
+    """
+    place = F.pmod(F.xxhash64(keys.columns[0]), F.lit(1 << bits))
+    bit = F.expr("shiftleft(1L, CAST(place & 63 AS INT))")
+    words = keys.select(place.alias("place")).select(F.shiftright("place", 6).alias("word"), bit.alias("bit"))
+    found = words.groupBy("word").agg(F.bit_or("bit").alias("set")).toPandas()
+    bitmap = np.zeros(1 << max(bits - 6, 0), np.int64)
+    bitmap[found["word"].to_numpy(np.int64)] = found["set"].to_numpy(np.int64)
+    shared = keys.sparkSession.sparkContext.broadcast(bitmap)
+
+    @F.pandas_udf("boolean")
+    def test(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for places in batches:
+            at = places.to_numpy(np.int64)
+            yield pd.Series((shared.value[at >> 6] >> (at & 63)) & 1 == 1)
+
+    return test(F.pmod(F.xxhash64(key), F.lit(1 << bits)))
+
+
 def labelled(docs: DataFrame, percent: int) -> DataFrame:
     """doc_id, n_shingles, class and root (node id of the component) of each row."""
     docs = docs.select("doc_id", "text")
@@ -448,7 +471,8 @@ def labelled(docs: DataFrame, percent: int) -> DataFrame:
     key = F.col("class").bitwiseAND(F.lit(_SEVERAL)).alias("key")
     chosen = stored(heads.select("*", key).join(surviving_classes(docs, percent), "key").drop("key"), "chosen")
     # One text of each class: that of its smallest id; classes without ids are looked for by class
-    named = class_sets(docs.join(chosen.select(F.col("id").alias("doc_id")), "doc_id", "left_semi"))
+    wanted = chosen.select(F.col("id").alias("doc_id"))
+    named = class_sets(docs.where(maybe_in(F.col("doc_id"), wanted)).join(wanted, "doc_id", "left_semi"))
     unnamed = class_sets(docs.where("doc_id IS NULL")).dropDuplicates(["class"])
     own = chosen.select("class", "id")
     sets = named.join(own.where(F.col("id") < NAMELESS), "class").unionByName(
