@@ -14,14 +14,14 @@ from pyspark.sql import functions as F
 from sugarline.llm.common import native_words, stored
 from sugarline.llm.quality_rules import let
 
-GRAM, WINDOW = 4, 8
+GRAM, WINDOW = 3, 6
 #: Low bits of a window key that hold the place of the hash.
 PLACE_BITS = 26
 
 
 def winnow(text: Column, gram: int = GRAM, window: int = WINDOW) -> Column:
-    """Selected (hash, place) pairs of a text, by place. Null and wordless texts have none; a text
-    of fewer than ``gram`` words has one hash, of all its words."""
+    """Struct of the selected hashes and of their places, both by place. Null and wordless texts
+    have none; a text of fewer than ``gram`` words has one hash, of all its words."""
     low = (1 << PLACE_BITS) - 1
 
     def select(hashes: Column) -> Column:
@@ -36,7 +36,10 @@ def winnow(text: Column, gram: int = GRAM, window: int = WINDOW) -> Column:
         )
         place = lambda k: (F.lit(low) - k.bitwiseAND(F.lit(low))).cast("int")
         chosen = let(F.transform(hashes, key), lambda keys: F.array_distinct(smallest(keys)))
-        return F.transform(chosen, lambda k: F.struct(F.get(hashes, place(k)).alias("hash"), place(k).alias("place")))
+        return let(
+            F.transform(chosen, place),
+            lambda at: F.struct(F.transform(at, lambda i: F.get(hashes, i)).alias("hash"), at.alias("place")),
+        )
 
     def grams(words: Column) -> Column:
         return F.transform(
@@ -44,15 +47,14 @@ def winnow(text: Column, gram: int = GRAM, window: int = WINDOW) -> Column:
             lambda i: F.xxhash64(F.slice(words, i, gram)),
         )
 
-    none = F.expr("CAST(array() AS array<struct<hash: bigint, place: int>>)")
+    none = F.expr("named_struct('hash', CAST(array() AS array<bigint>), 'place', CAST(array() AS array<int>))")
     return let(native_words(text), lambda w: F.when(F.size(w) == 0, none).otherwise(let(grams(w), select)))
 
 
 def written(pairs: Column) -> Column:
     """A fingerprint as text: hash in hex, at, place; comma-joined."""
-    return F.array_join(
-        F.transform(pairs, lambda p: F.concat(F.hex(p["hash"]), F.lit("@"), p["place"].cast("string"))), ","
-    )
+    one = lambda h, p: F.concat(F.hex(h), F.lit("@"), p.cast("string"))
+    return F.array_join(F.zip_with(pairs["hash"], pairs["place"], one), ",")
 
 
 def likeness(left: Column, right: Column) -> Column:
@@ -62,8 +64,8 @@ def likeness(left: Column, right: Column) -> Column:
 
 
 def _range_cuts(spark: SparkSession, docs: DataFrame) -> list[int]:
-    """Cut points that split the ids into about as many ranges as there are shuffle partitions."""
-    ranges = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    """Cut points that split the ids into four ranges for each shuffle partition."""
+    ranges = 4 * max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     at = [i / ranges for i in range(1, ranges)]
     found = docs.agg(F.percentile_approx("doc_id", at, 100 * ranges).alias("cuts")).first()["cuts"]
     return sorted(set(found or []))
@@ -97,7 +99,7 @@ def with_next(docs: DataFrame) -> DataFrame:
     first = F.min(F.struct(F.col("doc_id").isNotNull(), "doc_id"))["doc_id"]
     ids = stored(ranged.groupBy("range").agg(first.alias("doc_id")), "range-ids").alias("i")
     same = F.col("r.range").eqNullSafe(F.col("i.range")) & F.col("r.doc_id").eqNullSafe(F.col("i.doc_id"))
-    # One id per range, and there are no more ranges than shuffle partitions
+    # One id per range, and there are at most four ranges for each shuffle partition
     firsts = (
         ranged.alias("r").join(F.broadcast(ids), same, "left_semi").groupBy("range").agg(F.min("text").alias("text"))
     )
