@@ -9,7 +9,9 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pandas as pd
 import zstandard
@@ -31,6 +33,9 @@ CONTEXT = re.compile(
     r"password|passwd|pwd|secret|token|api.?key|access.?key|private.?key|credential|bearer|authorization|signature", re.I | re.A
 )
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+#: From so many literals on zstandard codes them by their frequencies; and the characters of a long
+#: candidate that prime its next piece.
+RAW, BACK = 64, 1000
 #: Identifiers and file words that are no secrets (the dictionary's fixed part).
 IDENTIFIERS = (
     "password secret token api_key access_key private_key client_id client_secret username user_id "
@@ -53,18 +58,28 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 
 def novelty(candidate: str, around: bytes) -> float:
-    """Bytes that a candidate adds, per character, to what the dictionaries already hold."""
-    primed = zstandard.ZstdCompressionDict(IDENTIFIERS + b"\n" + around, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-    packer = zstandard.ZstdCompressor(
-        level=3, dict_data=primed, write_content_size=False, write_checksum=False, write_dict_id=False
-    )
-    data = candidate.encode()
-    return (len(packer.compress(data)) - len(packer.compress(b""))) / len(data)
-
+    """Bytes that a candidate adds, per character, to what the dictionaries already hold.
 
-def novel_spans(text: str, taken: list[tuple[str, int, int]], reach: int = 48, width: int = 400, least: float = 0.8) -> list[tuple[str, int, int]]:
-    """Incompressible strings with letters and digits at most ``reach`` characters after a context
-    word. Strings that touch a span already ``taken`` are left out."""
+    Worked in pieces below ``RAW`` characters, each primed with the ``BACK`` characters before it:
+    zstandard leaves so few literals as they are, so only matches make a string cheaper, not a small
+    alphabet or a great length.
+    """
+    data = candidate.encode()
+    pieces = -(-len(data) // (RAW - 1))
+    cuts = [len(data) * i // pieces for i in range(pieces + 1)]
+    added = 0
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        before = b"\n" + data[max(0, a - BACK) : a] if a else b""
+        primed = zstandard.ZstdCompressionDict(IDENTIFIERS + b"\n" + around + before, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        packer = zstandard.ZstdCompressor(
+            level=3, dict_data=primed, write_content_size=False, write_checksum=False, write_dict_id=False
+        )
+        added += len(packer.compress(data[a:b])) - len(packer.compress(b""))
+    return added / len(data)
+
+
+def _sensitive(text: str, reach: int) -> list[tuple[int, int]]:
+    """Candidates at most ``reach`` characters after a context word."""
     found = []
     done = 0
     for hint in CONTEXT.finditer(text):
@@ -73,14 +88,59 @@ def novel_spans(text: str, taken: list[tuple[str, int, int]], reach: int = 48, w
             if m.start() > window:
                 break
             done = m.end()
-            word = m[0]
-            if word.isalpha() or not any(c.isdigit() for c in word) or not any(c.isalpha() for c in word):
-                continue
-            if any(a < m.end() and m.start() < b for _, a, b in taken):
-                continue
-            around = text[max(0, m.start() - width) : m.start()] + "\n" + text[m.end() : m.end() + width]
-            if novelty(word, around.encode()) >= least:
-                found.append(("novel", *m.span()))
+            found.append(m.span())
+    return found
+
+
+def _touches(start: int, end: int, starts: list[int], longest: list[int]) -> bool:
+    """Whether a span that begins before ``end`` goes past ``start``; ``longest`` is the furthest
+    end among the spans up to each of the sorted ``starts``."""
+    i = bisect_left(starts, end)
+    return i > 0 and longest[i - 1] > start
+
+
+def _by_start(spans: list[tuple[int, int]]) -> tuple[list[int], list[int]]:
+    spans = sorted(spans)
+    return [a for a, _ in spans], list(accumulate((b for _, b in spans), max))
+
+
+def novel_spans(text: str, taken: list[tuple[str, int, int]], reach: int = 48, width: int = 400, least: float = 0.8) -> list[tuple[str, int, int]]:
+    """Incompressible strings with letters and digits at most ``reach`` characters after a context
+    word. Strings that touch a span already ``taken`` are left out.
+
+    Copies from the first one in a context on, and those in a ``taken`` span, do not make a string
+    known; copies before do: such a string counts as a word of the text.
+    """
+    found = []
+    places = _sensitive(text, reach)
+    if not places:
+        return found
+    fixed = _by_start([(a, b) for _, a, b in taken])
+    first: dict[str, int] = {}
+    for start, end in places:
+        first.setdefault(text[start:end], start)
+    for start, end in places:
+        word = text[start:end]
+        if word.isalpha() or not any(c.isdigit() for c in word) or not any(c.isalpha() for c in word):
+            continue
+        if _touches(start, end, *fixed):
+            continue
+
+        def others(a: int, b: int, word: str = word) -> str:
+            """text[a:b] without the copies of the word that are secrets too, also cut ones at its ends."""
+            parts, at = [], a
+            copy = text.find(word, max(0, a - len(word) + 1), b + len(word) - 1)
+            while copy >= 0:
+                past = copy + len(word)
+                if copy >= first[word] or _touches(copy, past, *fixed):
+                    parts.append(text[at : max(at, copy)])
+                    at = max(at, min(past, b))
+                copy = text.find(word, past, b + len(word) - 1)
+            return "".join(parts) + text[at:b]
+
+        around = others(max(0, start - width), start) + "\n" + others(end, min(len(text), end + width))
+        if novelty(word, around.encode()) >= least:
+            found.append(("novel", start, end))
     return found
 
 

@@ -293,6 +293,28 @@ def test_novel_secrets_are_found_and_words_are_not():
         assert not [s for s in secrets.scan(plain)[1] if s[0] == "novel"]
 
 
+@pytest.mark.parametrize(
+    "letters", ["0123456789ABCDEF", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"]
+)
+@pytest.mark.parametrize("size", [32, 64, 128, 256, 1024, 20_000])
+def test_random_keys_of_any_alphabet_and_length_are_found(letters, size):
+    rng = random.Random(size)
+    for _ in range(5):
+        key = "".join(rng.choices(letters, k=size))
+        text = f"the signature: {key} for now"
+        assert [text[a:b] for _, a, b in secrets.scan(text)[1]] == [key]
+    for plain in ("wxy1" * (size // 4), "client_secret_value_1" * (size // 21 + 1), "A" * size + "1"):
+        assert secrets.scan(f"the signature: {plain} for now")[1] == []
+
+
+def test_repeated_keys_in_a_context_are_found():
+    rng = random.Random(5)
+    for size in (20, 32, 64, 200, 600):
+        key = "".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", k=size))
+        for text in (f"bearer {key}\nand again bearer {key}", f"token={key} and the bearer {key} {unique_prose(rng, 9)} signature {key}"):
+            assert [text[a:b][-size:] for _, a, b in secrets.scan(text)[1]] == [key] * text.count(key)
+
+
 def test_rules_do_not_depend_on_their_order(spark):
     docs = odd_table(spark)
     rules = quality_rules.RULES
