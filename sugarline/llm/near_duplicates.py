@@ -387,8 +387,11 @@ def components(edges: DataFrame) -> DataFrame:
     return stored(mapping, "roots") if len(passes) > 1 else mapping
 
 
-def linked_components(sets: DataFrame, sizes: DataFrame, percent: int, pivot_passes: int = 2) -> DataFrame:
-    """node and root of all sets (id, n, tokens) that have a partner.
+def linked_components(
+    sets: DataFrame, sizes: DataFrame, percent: int, pivot_passes: int = 2, more: DataFrame | None = None
+) -> DataFrame:
+    """node and root of all sets (id, n, tokens) that have a partner. Ids must be unique; ``more``
+    holds further links (a, b).
 
     In a pivot pass each set meets the pivot with which it shares most tokens: of all sets with a
     token, the one whose group comes first by hash. Groups that a link connects become one. The last
@@ -399,7 +402,7 @@ def linked_components(sets: DataFrame, sizes: DataFrame, percent: int, pivot_pas
     shared = postings.groupBy("token").agg(F.count("*").alias("sets")).where("sets > 1").select("token")
     labels = postings.join(shared, "token").withColumn("root", F.col("id"))
     labels = stored(labels.select("id", "n", "token", "place", "root"), "shared-postings")
-    links = []
+    links = [] if more is None else [more]
     for _ in range(pivot_passes):
         first = F.min(F.struct(F.xxhash64("root").alias("h"), "root", "id", "n", "place"))
         pivots = labels.groupBy("token").agg(first.alias("p"))
@@ -466,20 +469,45 @@ def labelled(docs: DataFrame, percent: int) -> DataFrame:
     docs = docs.select("doc_id", "text")
     known = stored(classes_of(docs), "classes")
     nameless = F.lit(NAMELESS) + F.pmod(F.col("class"), F.lit(1 << 61))
-    heads = known.where("class IS NOT NULL").groupBy("class", F.col("n_shingles").alias("n")).agg(F.min("doc_id").alias("head"))
-    heads = stored(heads.select("class", "n", F.coalesce("head", nameless).alias("id")), "heads")
+    worded = known.where("class IS NOT NULL")
+    repeated = (
+        worded.where("doc_id IS NOT NULL")
+        .groupBy("doc_id")
+        .agg(F.count("*").alias("rows"), (F.min("class") != F.max("class")).alias("several"))
+        .where("rows > 1")
+    )
+    repeated = stored(repeated.select("doc_id", "several"), "repeated-ids")
+    ids_repeat = not repeated.isEmpty()
+    heads = worded.groupBy("class", F.col("n_shingles").alias("n")).agg(F.min("doc_id").alias("head"))
+    if ids_repeat:
+        heads = heads.join(repeated.withColumnRenamed("doc_id", "head"), "head", "left")
+    else:
+        heads = heads.withColumn("several", F.lit(None).cast("boolean"))
+    # A set is named by its smallest id, or by its class if that id has other sets too
+    own_id = F.when(F.col("several"), nameless).otherwise(F.coalesce("head", nameless)).alias("id")
+    heads = stored(heads.select("class", "n", "head", own_id, F.col("several").isNotNull().alias("repeats")), "heads")
     key = F.col("class").bitwiseAND(F.lit(_SEVERAL)).alias("key")
     chosen = stored(heads.select("*", key).join(surviving_classes(docs, percent), "key").drop("key"), "chosen")
+
     # One text of each class: that of its smallest id; classes without ids are looked for by class
-    wanted = chosen.select(F.col("id").alias("doc_id"))
-    named = class_sets(docs.where(maybe_in(F.col("doc_id"), wanted)).join(wanted, "doc_id", "left_semi"))
+    def named(own: DataFrame) -> DataFrame:
+        wanted = own.select(F.col("head").alias("doc_id")).distinct()
+        return class_sets(docs.where(maybe_in(F.col("doc_id"), wanted)).join(wanted, "doc_id", "left_semi"))
+
     unnamed = class_sets(docs.where("doc_id IS NULL")).dropDuplicates(["class"])
-    own = chosen.select("class", "id")
-    sets = named.join(own.where(F.col("id") < NAMELESS), "class").unionByName(
-        unnamed.join(own.where(F.col("id") >= NAMELESS), "class")
+    once, again = chosen.where("head IS NOT NULL AND NOT repeats"), chosen.where("repeats")
+    sets = named(once).join(once.select("class", "id"), "class").unionByName(
+        unnamed.join(chosen.where("head IS NULL").select("class", "id"), "class")
     )
+    same_id = None
+    if ids_repeat:
+        # Rows that repeat an id may hold a class in several partitions
+        sets = sets.unionByName(named(again).dropDuplicates(["class"]).join(again.select("class", "id"), "class"))
+        same_id = worded.join(repeated.where("several"), "doc_id", "left_semi").select("doc_id", "class").distinct()
+        same_id = same_id.join(heads.select("class", "id"), "class").where("id <> doc_id")
+        same_id = stored(same_id.select(F.col("id").alias("a"), F.col("doc_id").alias("b")), "same-id")
     sets = stored(sets.select("id", "n", "tokens"), "sets")
-    roots = linked_components(sets, chosen.select("id", "n").distinct(), percent)
+    roots = linked_components(sets, chosen.select("id", "n").distinct(), percent, more=same_id)
     root = F.coalesce(F.col("root"), F.col("id"))
     labels = heads.join(roots, F.col("id") == F.col("node"), "left").select("class", root.alias("root"))
     return known.join(labels, "class", "left").select("doc_id", "n_shingles", "class", "root")

@@ -123,6 +123,34 @@ def test_near_duplicates_equal_brute_force(spark):
     assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == want
 
 
+def test_repeated_rows_and_ids_keep_their_links(spark):
+    rng = random.Random(21)
+    rows = []
+    for k in range(40):
+        words = unique_prose(rng, 104).split()
+        other = " ".join(words[:94] + unique_prose(rng, 10).split())  # 90 of 100 shingles in common
+        rows += [(10 * k + 5, " ".join(words))] * (2 + k % 3) + [(10 * k + 7, other)] * (1 + k % 2)
+    # Ids with several texts, some of which are known by a smaller id and have partners
+    for k in range(1000, 1300, 10):
+        words = [unique_prose(rng, 104).split() for _ in range(3)]
+        near = [" ".join(w[:94] + unique_prose(rng, 10).split()) for w in words]
+        rows += [(k + 3, " ".join(w)) for w in words] + [(k + 4 + i, t) for i, t in enumerate(near)]
+        rows += [(k + 1, " ".join(words[0])), (k + 3, " ".join(words[1]).upper()), (k + 8, near[2])] * (k % 20 // 10)
+    group, sets = groups_by_brute_force(rows)
+    smallest = {g: min(r[0] for r, h in zip(rows, group, strict=True) if g == h) for g in set(group)}
+    want = Counter((d, smallest[g]) for (d, _), g in zip(rows, group, strict=True))
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "100m")
+    try:
+        docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(7)
+        got = near_duplicates.near_duplicates(docs).collect()
+        kept = near_duplicates.representatives(docs).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert Counter((r.doc_id, r.component_id) for r in got) == want
+    assert sorted(r.doc_id for r in kept) == sorted(smallest.values())
+
+
 def test_representatives_keep_one_of_each_group(spark):
     rows = near_rows()
     group, sets = groups_by_brute_force(rows)
