@@ -13,6 +13,7 @@ from functools import lru_cache
 from sugarline.llm.tokens import _byte_letters
 
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ɏ"
+_LETTERS_ONLY = re.compile(f"[{_LETTERS}]+")
 #: What the tokenizer cuts apart inside a word: letters, digits, signs (no apostrophe, which may
 #: start a contraction), and a line break between two of them.
 _PIECE = f"[{_LETTERS}]+|[0-9]+|[!-&(-/:-@\\[-`{{-~]+"
@@ -30,34 +31,45 @@ class _Whole(Exception):
     """A word cannot be cut out of its text."""
 
 
-class _Words(dict):
-    """Ids of a blank and a word."""
+class _Kept(dict):
+    """Ids by word. Words that were used since the last change of generation stay longest: when
+    ``most`` are held they become the older generation, and the one before it goes."""
 
-    def __init__(self, compute):
+    def __init__(self, compute, most: int):
         super().__init__()
-        self.compute = compute
+        self.compute, self.most, self.older = compute, most, {}
 
     def __missing__(self, word: str) -> bytes:
-        return self.compute(word)
+        ids = self.older.get(word)
+        if ids is None:
+            ids = self.compute(word)
+        if len(word) <= 64:
+            if len(self) >= self.most:
+                self.older = dict(self)
+                self.clear()
+            self[word] = ids
+        return ids
 
 
 class ByteBpe:
-    """Ids of texts. Keeps the ids of words of up to 64 characters, ``most_bytes`` of them at most."""
+    """Ids of texts, for a byte-level BPE tokenizer. Keeps the ids of twice ``most_words`` words of
+    up to 64 characters (about 200 bytes each)."""
 
-    def __init__(self, path: str, most_bytes: int = 64_000_000):
+    def __init__(self, path: str, most_words: int = 400_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
-        self.vocabulary = self.tokenizer.get_vocab_size(with_added_tokens=True)
+        vocabulary = self.tokenizer.get_vocab_size(with_added_tokens=True)
+        #: Type code of an id: 16 bits if all ids fit.
+        self.code = "H" if vocabulary <= 1 << 16 else "I"
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.letters = _byte_letters()
-        self.most_bytes, self.bytes = most_bytes, 0
-        self.words = _Words(self._word)
-        self.bare: dict[str, bytes] = {}  # ids of a piece without a blank before it
+        self.words = _Kept(self._word, most_words)  # a blank and the word
+        self.bare = _Kept(self._model, most_words // 8)  # a piece without a blank before it
 
     def of(self, text: str) -> bytes:
-        """Ids of a whole text, little-endian unsigned 32 bits each."""
+        """Ids of a whole text, little-endian."""
         first, *rest = text.split(" ")
         # The blank after the first word ends it only if no white space stands before
         if first and rest and (first[-1].isspace() or any(s in first for s in self.special)):
@@ -69,35 +81,24 @@ class ByteBpe:
         return self._encode(first) + found if first else found
 
     def _encode(self, text: str) -> bytes:
-        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+        return array(self.code, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def _model(self, piece: str, blank: str = "") -> bytes:
         """Ids of one piece, in the letters that stand for its bytes."""
         if not piece.isascii() or piece == "\n":
             piece = "".join(map(self.letters.__getitem__, piece.encode()))
-        return array("I", [t.id for t in self.model.tokenize(blank + piece)]).tobytes()
-
-    def _keep(self, words: dict, word: str, ids: bytes) -> bytes:
-        if len(word) <= 64:
-            if self.bytes > self.most_bytes:
-                self.words.clear()
-                self.bare.clear()
-                self.bytes = 0
-            words[word] = ids
-            self.bytes += 200 + len(word) + len(ids)
-        return ids
+        return array(self.code, [t.id for t in self.model.tokenize(blank + piece)]).tobytes()
 
     def _word(self, word: str) -> bytes:
-        if not word or word[-1].isspace() or any(s in word for s in self.special):
+        if _LETTERS_ONLY.fullmatch(word):
+            return self._model(word, self.letters[32])
+        if any(s in word for s in self.special) or not word or word[-1].isspace():
             raise _Whole
         if not _WORD.fullmatch(word):
-            return self._keep(self.words, word, self._encode(" " + word))
+            return self._encode(" " + word)
         first, *rest = _PIECES.findall(word)
-        ids = self.words.get(first) or self._keep(self.words, first, self._model(first, self.letters[32]))
-        if rest:
-            parts = [self.bare.get(p) or self._keep(self.bare, p, self._model(p)) for p in rest]
-            ids = self._keep(self.words, word, ids + b"".join(parts))
-        return ids
+        ids = self.words[first] if rest else self._model(first, self.letters[32])
+        return ids + b"".join(map(self.bare.__getitem__, rest))
 
 
 @lru_cache(maxsize=1)

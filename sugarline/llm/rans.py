@@ -40,9 +40,13 @@ class Table:
         #: The index of the symbol that owns each slot.
         self.owner = np.repeat(np.arange(n, dtype=np.int32), scaled)
 
+        #: Symbol to its index, -1 for those without a frequency.
+        self.places = np.full(int(self.symbols[-1]) + 1 if n else 0, -1, np.int32)
+        self.places[self.symbols] = np.arange(n)
+
     def index(self, values: np.ndarray) -> np.ndarray:
-        at = np.searchsorted(self.symbols, values)
-        if len(values) and (at.max() >= len(self.symbols) or (self.symbols[at] != values).any()):
+        at = self.places[values] if len(values) and values.max() < len(self.places) else np.full(len(values), -1)
+        if len(at) and at.min() < 0:
             raise ValueError("a symbol has no frequency")
         return at
 

@@ -16,6 +16,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -41,21 +42,21 @@ PIECES = "part int, ordinal bigint, doc_id bigint, at bigint, begun bigint, leng
 
 def tokenized(docs: DataFrame, path: str, end_id: int) -> DataFrame:
     """doc_id, h, n and ids (16 or 32 bits each) of each row of ``docs`` (doc_id, h, text)."""
-    end = end_id.to_bytes(4, "little")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = byte_bpe(path)
-        wide = _width(max(ids.vocabulary, end_id + 1))
+        wide = 2 if ids.code == "H" else 4
+        end = end_id.to_bytes(wide, "little")
         for batch in batches:
             texts = batch.column(2).to_pylist()
             for a, b in text_blocks([t or "" for t in texts]):
-                found = [np.frombuffer(ids.of(t or "") + end, "<u4") for t in texts[a:b]]
+                found = [ids.of(t or "") + end for t in texts[a:b]]
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(a, b - a).cast(pa.int64()),
                         batch.column(1).slice(a, b - a),
-                        pa.array([len(f) for f in found], pa.int64()),
-                        pa.array([f.astype(wide).tobytes() for f in found], pa.binary()),
+                        pa.array([len(f) // wide for f in found], pa.int64()),
+                        pa.array(found, pa.binary()),
                     ],
                     names=["doc_id", "h", "n", "ids"],
                 )
@@ -63,14 +64,9 @@ def tokenized(docs: DataFrame, path: str, end_id: int) -> DataFrame:
     return docs.select("doc_id", "h", "text").mapInArrow(encode, "doc_id bigint, h bigint, n bigint, ids binary")
 
 
-def _width(symbols: int) -> str:
-    return "<u2" if symbols <= 1 << 16 else "<u4"
-
-
-def _ids(row_ids: list[bytes], lengths: list[int]) -> np.ndarray:
-    """The ids of some rows side by side; the bytes of an id follow from the numbers."""
-    data, n = b"".join(row_ids), sum(lengths)
-    return np.frombuffer(data, "<u2" if len(data) == 2 * n else "<u4").astype(np.int64)
+def _ids(data: bytes | memoryview, n: int) -> np.ndarray:
+    """``n`` ids; the bytes of one follow from the numbers."""
+    return np.frombuffer(data, "<u2" if len(data) == 2 * n else "<u4")
 
 
 def frequencies(rows: DataFrame, most_ids: int = 1 << 24) -> pd.DataFrame:
@@ -80,13 +76,14 @@ def frequencies(rows: DataFrame, most_ids: int = 1 << 24) -> pd.DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
         for batch in batches:
-            for data, n in zip(batch.column(1).to_pylist(), batch.column(0).to_pylist(), strict=True):
-                for at in range(0, n, most_ids):
-                    wide = len(data) // n
-                    found = np.bincount(_ids([data[at * wide : (at + most_ids) * wide]], [min(most_ids, n - at)]))
-                    if len(found) > len(total):
-                        total = np.concatenate([total, np.zeros(len(found) - len(total), np.int64)])
-                    total[: len(found)] += found
+            # The ids of a batch stand side by side
+            lists, n = batch.column(1), pa.compute.sum(batch.column(0)).as_py() or 0
+            places = np.frombuffer(lists.buffers()[1], np.int32)[lists.offset : lists.offset + len(lists) + 1]
+            ids = _ids(memoryview(lists.buffers()[2])[places[0] : places[-1]] if n else b"", n)
+            for at in range(0, n, most_ids):
+                found = np.bincount(ids[at : at + most_ids], minlength=len(total))
+                found[: len(total)] += total
+                total = found
         symbols = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(symbols), pa.array(total[symbols])], names=["symbol", "count"])
 
@@ -171,7 +168,7 @@ def write_token_files(
         writer = _Writer(TaskContext.get().partitionId(), _table(*shared.value), block, every)
         for batch in batches:
             for doc_id, n, data in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                for row in writer.add(doc_id, _ids([data], [n])):
+                for row in writer.add(doc_id, _ids(data, n)):
                     yield _batch([row])
         if writer.held:
             yield _batch([writer.flush()])
