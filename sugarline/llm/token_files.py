@@ -69,7 +69,7 @@ def _ids(data: bytes | memoryview, n: int) -> np.ndarray:
     return np.frombuffer(data, "<u2" if len(data) == 2 * n else "<u4")
 
 
-def frequencies(rows: DataFrame, most_ids: int = 1 << 24) -> pd.DataFrame:
+def frequencies(rows: DataFrame, most_ids: int = 1 << 20) -> pd.DataFrame:
     """symbol and count of all ids of ``rows`` (n, ids): one line for each id of the vocabulary at
     most, counted by every task before anything is shuffled."""
 
