@@ -18,6 +18,7 @@ _LETTERS_ONLY = re.compile(f"[{_LETTERS}]+")
 #: start a contraction), and a line break between two of them.
 _PIECE = f"[{_LETTERS}]+|[0-9]+|[!-&(-/:-@\\[-`{{-~]+"
 _WORD = re.compile(f"(?:{_PIECE})+(?:\n(?:{_PIECE})+)*")
+_SIGNS = tuple(".,;:!?")
 _PIECES = re.compile(f"{_PIECE}|\n")
 
 
@@ -55,7 +56,7 @@ class ByteBpe:
     """Ids of texts, for a byte-level BPE tokenizer. Keeps the ids of twice ``most_words`` words of
     up to 64 characters (about 200 bytes each)."""
 
-    def __init__(self, path: str, most_words: int = 150_000):
+    def __init__(self, path: str, most_words: int = 300_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -92,6 +93,8 @@ class ByteBpe:
     def _word(self, word: str) -> bytes:
         if _LETTERS_ONLY.fullmatch(word):
             return self._model(word, self.letters[32])
+        if word[-1:] in _SIGNS and _LETTERS_ONLY.fullmatch(word[:-1]):
+            return self.words[word[:-1]] + self.bare[word[-1]]
         if any(s in word for s in self.special) or not word or word[-1].isspace():
             raise _Whole
         if not _WORD.fullmatch(word):
