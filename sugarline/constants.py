@@ -39,6 +39,9 @@ UNITS = "mg/dL"
 CSV_GLUCOSE_HEADER = "Sensor Glucose (mg/dL)"
 CSV_DATE_HEADER = "Date"
 CSV_TIME_HEADER = "Time"
+CSV_CELL_LIMIT = 131_072  # characters; a longer cell rejects its file
+CSV_BROKEN_HEADER = "header without date or time"
+CSV_TOO_LONG = "cell or row too long"
 SENTINELS = {"Low": 39.0, "High": 401.0}
 
 # Feature table

@@ -13,28 +13,44 @@ from sugarline.sources import csv_export, json_docs, readings_store
 NO_READINGS = "no valid readings"
 
 
+class Staged:
+    """Tables that are computed from staged rows, which ``close`` (or the end of a ``with``) removes."""
+
+    rejected: DataFrame
+    staged: str
+
+    def close(self) -> None:
+        remove(self.rejected.sparkSession, self.staged)
+
+    def __enter__(self):
+        return self
+
+    def __exit__(self, *error) -> None:
+        self.close()
+
+
 @dataclass
-class IngestResult:
+class IngestResult(Staged):
     """``results`` has a row per accepted source, ``rejected`` one per source without readings,
-    ``counts`` the number of readings per source.
-
-    They are computed from the staged rows, which ``close`` (or the end of a ``with``) removes.
-    """
+    ``counts`` the number of readings per source; ``tallies``, for CSV, the rows of each outcome."""
 
     readings_saved: int
     results: DataFrame
     rejected: DataFrame
     counts: DataFrame
     staged: str
+    tallies: DataFrame | None = None
 
-    def close(self) -> None:
-        remove(self.results.sparkSession, self.staged)
 
-    def __enter__(self) -> IngestResult:
-        return self
+@dataclass
+class CsvStatistics(Staged):
+    """``statistics`` has a row per accepted file, ``rejected`` one per other, ``tallies`` the rows
+    of each outcome."""
 
-    def __exit__(self, *error) -> None:
-        self.close()
+    statistics: DataFrame
+    rejected: DataFrame
+    tallies: DataFrame
+    staged: str
 
 
 def reject_empty_input(sources: DataFrame, readings: DataFrame) -> DataFrame:
@@ -43,6 +59,13 @@ def reject_empty_input(sources: DataFrame, readings: DataFrame) -> DataFrame:
     return sources.join(accepted, "source", "left_anti").withColumn("reason", F.lit(NO_READINGS))
 
 
+def reject_sources(sources: DataFrame, tallies: DataFrame) -> DataFrame:
+    """Sources without a reading and why: what is wrong with all of it, or that no row was valid."""
+    counted = sources.join(tallies.select("source", "readings", "source_error"), "source", "left")
+    empty = counted.where(F.coalesce("readings", F.lit(0)) == 0)
+    return empty.select("source", F.coalesce("source_error", F.lit(NO_READINGS)).alias("reason"))
+
+
 def ingest_counts(readings: DataFrame) -> DataFrame:
     """Readings handed in per source."""
     return readings.groupBy("source").agg(F.count(F.lit(1)).alias("readings_saved"))
@@ -78,18 +101,45 @@ def ingest(
     )
 
 
+def _csv_rows(spark: SparkSession, path: str, in_parts: bool) -> tuple[DataFrame, DataFrame, str]:
+    """Sources, and all rows with their outcome as staged: the text is parsed in one pass, whose
+    table gives readings, tallies and rejections."""
+    if in_parts:
+        lines, sources = csv_export.read_part_lines(spark, path), csv_export.read_part_sources(spark, path)
+    else:
+        lines, sources = csv_export.read_lines(spark, path), csv_export.read_sources(spark, path)
+    staged_path = scratch_dir(spark, "parsed")
+    rows = csv_export.row_outcomes(lines).withColumn("subject_id", csv_export.file_stem(F.col("source")))
+    rows.write.parquet(staged_path)
+    return sources, spark.read.schema(rows.schema).parquet(staged_path), staged_path
+
+
 def ingest_csv(
-    spark: SparkSession, path: str, store_path: str, ingest_seq: int | None = None
+    spark: SparkSession, path: str, store_path: str, ingest_seq: int | None = None, in_parts: bool = False
 ) -> IngestResult:
-    readings = csv_export.read_cgm_csv(spark, path)
-    return ingest(readings, csv_export.read_sources(spark, path), store_path, ingest_seq)
+    """Store the readings of a folder's CSV files and report on them.
+
+    ``in_parts``: each export is a folder of part files, as jobs write them.
+    """
+    sources, rows, staged_path = _csv_rows(spark, path, in_parts)
+    readings = rows.where(F.col("outcome") == csv_export.READING)
+    readings_store.write_readings(readings, store_path, ingest_seq)
+    tallies = csv_export.tally(rows)
+    return IngestResult(
+        readings.count(),
+        ingest_statistics(readings),
+        reject_sources(sources, tallies),
+        ingest_counts(readings),
+        staged_path,
+        tallies,
+    )
 
 
-def csv_statistics(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Statistics per CSV file, nothing stored, and the files without a valid reading."""
-    readings = csv_export.read_cgm_csv(spark, path)
-    statistics = glycemic_statistics(readings, "source")
-    return statistics, reject_empty_input(csv_export.read_sources(spark, path), readings)
+def csv_statistics(spark: SparkSession, path: str, in_parts: bool = False) -> CsvStatistics:
+    """Statistics per CSV file and the files without a valid reading; nothing is stored."""
+    sources, rows, staged_path = _csv_rows(spark, path, in_parts)
+    readings, tallies = rows.where(F.col("outcome") == csv_export.READING), csv_export.tally(rows)
+    return CsvStatistics(glycemic_statistics(readings, "source"), reject_sources(sources, tallies), tallies, staged_path)
 
 
 def ingest_json(

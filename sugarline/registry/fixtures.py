@@ -7,12 +7,17 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from sugarline.session import list_files, rename, scratch, scratch_dir, touch
+from sugarline.session import scratch_dir, touch
 
 CADENCE = 6 * 3600
 SPLIT_AT = "2024-01-21"
 HEADER_FROM = "2024-01-02"
 SECOND_HEADER_FROM = "2024-01-16"
+#: Lines of five days make a block. Where two blocks meet stands a row that begins in one and ends
+#: in the other, the first three below the first header, the others below the second.
+BLOCK_MICROS = 5 * 86_400_000_000
+EDGES = ("2024-01-03", "2024-01-08", "2024-01-13", "2024-01-18", "2024-01-23", "2024-01-28")
+EDGE_VALUE = 111
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -95,27 +100,16 @@ def by_split(df: DataFrame) -> DataFrame:
 # --- files ----------------------------------------------------------------------------------
 
 
-def write_files(docs: DataFrame, label: str) -> str:
-    """Write (file_name, text) rows as files of these names in a new shared folder; its path.
-
-    The names are few (one or two per subject of the test tables), so the driver moves the files.
-    """
-    spark = docs.sparkSession
-    folder = scratch_dir(spark, label)
-    with scratch(spark, f"{label}-parts") as parts:
-        docs.repartition("file_name").write.partitionBy("file_name").text(parts)
-        for row in docs.select("file_name").distinct().collect():
-            (part, _, _), *_ = [f for f in list_files(spark, f"{parts}/file_name={row.file_name}") if "/part-" in f[0]]
-            rename(spark, part, f"{folder}/{row.file_name}")
+def write_parts(lines: DataFrame, label: str) -> str:
+    """Write (file_name, pos, line) rows as one folder of part files per name, in a new shared
+    folder; its path. Ranges of (file_name, pos) are dealt over the tasks, so that a name of any
+    size makes several parts whose numbers ascend with ``pos``."""
+    folder = scratch_dir(lines.sparkSession, label)
+    dealt = lines.repartitionByRange("file_name", "pos").sortWithinPartitions("file_name", "pos")
+    dealt.select("line", "file_name").write.partitionBy("file_name").text(folder)
     return folder
 
 
-def joined(rows: DataFrame, column: str, separator: str) -> DataFrame:
-    """One text per file_name: its pieces in the order of ``pos``."""
-    pieces = F.sort_array(F.collect_list(F.struct("pos", column)))
-    return rows.groupBy("file_name").agg(F.array_join(pieces[column], separator).alias("text"))
-
-
 # --- CSV lines ------------------------------------------------------------------------------
 
 
@@ -124,11 +118,12 @@ def micros(ts: Column) -> Column:
 
 
 def csv_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two lines of preamble, a header from day two, another layout from day sixteen; an hour
+    """Two lines of preamble, a header from day two, another layout from day sixteen; five days
     per block.
 
     Lines of day one stand above the header. ``error`` rows hold no number, ``signup`` rows a
-    blank, ``purchase`` rows end before the last cell; extreme values are sentinels.
+    blank, ``purchase`` rows end before the last cell; extreme values are sentinels. ``view`` rows
+    have a line break in a quoted cell. The rows at the edges hold a header line inside a cell.
     """
     source = F.concat(F.lit("/exports/"), F.col("user_id"), F.lit(".csv"))
     date, time = F.date_format("ts", "yyyy/MM/dd"), F.date_format("ts", "HH:mm:ss")
@@ -140,51 +135,67 @@ def csv_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(F.col("value").cast("string"))
     )
     number = F.col("event_id").cast("string")
-    note = F.lit('"sensor, ""A"""')
+    broken = is_type("view")
+    note = F.when(broken, F.lit('"sensor,\n""A"""')).otherwise(F.lit('"sensor, ""A"""'))
     first = F.concat_ws(
         ",", number, date, time, note, F.when(~is_type("purchase"), glucose)
     )
-    second = F.concat_ws(",", number, glucose, time, F.when(~is_type("purchase"), date))
+    quoted = F.when(broken, F.concat(F.lit('"'), number, F.lit('\n"'))).otherwise(number)
+    second = F.concat_ws(",", quoted, glucose, time, F.when(~is_type("purchase"), date))
+    row = F.when(F.col("ts") < ntz(SECOND_HEADER_FROM), first).otherwise(second)
     data = events(spark, sf_dir).select(
         source.alias("source"),
-        micros(F.col("ts")).alias("pos"),
-        F.when(F.col("ts") < ntz(SECOND_HEADER_FROM), first).otherwise(second).alias("line"),
-    )
-    fixed = F.array(
-        F.struct(F.lit(0).cast("bigint").alias("pos"), F.lit("Device: sensor").alias("line")),
-        F.struct(F.lit(1).cast("bigint").alias("pos"), F.lit("Serial: 1,2,3").alias("line")),
-        F.struct(
-            (micros(ntz(HEADER_FROM)) - 1).alias("pos"),
-            F.lit("Index,Date,Time,BG Source,Sensor Glucose (mg/dL)").alias("line"),
-        ),
-        F.struct(
-            (micros(ntz(SECOND_HEADER_FROM)) - 1).alias("pos"),
-            F.lit('Index,"Sensor Glucose (mg/dL)",Time,Date').alias("line"),
-        ),
-    )
+        (micros(F.col("ts")) * 8 + 4).alias("at"),
+        F.posexplode(F.split(row, "\n")).alias("k", "line"),
+    ).select("source", (F.col("at") + F.col("k")).alias("pos"), "line")
+    header = "Index,Date,Time,BG Source,Sensor Glucose (mg/dL)"
+    fixed = [
+        (F.lit(0), "Device: sensor"),
+        (F.lit(1), "Serial: 1,2,3"),
+        (micros(ntz(HEADER_FROM)) * 8 - 1, header),
+        (micros(ntz(SECOND_HEADER_FROM)) * 8 - 1, 'Index,"Sensor Glucose (mg/dL)",Time,Date'),
+    ]
+    for day in EDGES:
+        at, shown = micros(ntz(day)) * 8, day.replace("-", "/")
+        if day < SECOND_HEADER_FROM:
+            three = [f'0,{shown},00:00:00,"from', header, f'to",{EDGE_VALUE}']
+        else:
+            three = ['"0', header, f'",{EDGE_VALUE},00:00:00,{shown}']
+        fixed += [(at + k - 1, line) for k, line in enumerate(three)]
+    rows = [F.struct(at.cast("bigint").alias("pos"), F.lit(line).alias("line")) for at, line in fixed]
     sources = events(spark, sf_dir).select(source.alias("source")).distinct()
-    lines = data.unionByName(sources.select("source", F.inline(fixed)))
-    hour = F.floor(F.col("pos") / F.lit(3_600_000_000))
-    return lines.select("source", hour.cast("bigint").alias("block"), "pos", "line")
+    lines = data.unionByName(sources.select("source", F.inline(F.array(*rows))))
+    width = F.lit(8 * BLOCK_MICROS)
+    block = F.floor(F.col("pos") / width).cast("bigint") * width
+    return lines.select("source", block.alias("block"), "pos", "line")
 
 
 def csv_files(spark: SparkSession, sf_dir: str) -> str:
-    """A folder with one export per subject, and three files without a reading."""
+    """A folder with one export per subject, each a folder of parts, and four exports without a
+    reading: a header alone, a blank line, no byte, and a header that lacks the time."""
     name = F.element_at(F.split("source", "/"), -1).alias("file_name")
-    exports = joined(csv_lines(spark, sf_dir).select(name, "pos", "line"), "line", "\n")
+    exports = csv_lines(spark, sf_dir).select(name, "pos", "line")
     header = "Index,Date,Time,BG Source,Sensor Glucose (mg/dL)"
-    more = spark.createDataFrame([("header.csv", header), ("blank.csv", " ")], exports.schema)
-    folder = write_files(exports.unionByName(more), "exports")
-    touch(spark, f"{folder}/zero.csv")
+    more = [
+        ("header.csv", 0, header), ("blank.csv", 0, " "), ("broken.csv", 0, header.replace("Time", "Clock")),
+        ("broken.csv", 1, "0,2024/01/01,00:00:00,,100"),
+    ]
+    folder = write_parts(exports.unionByName(spark.createDataFrame(more, exports.schema)), "exports")
+    touch(spark, f"{folder}/file_name=zero.csv/part-00000")
     return folder
 
 
-CSV_CTE = f"""located AS (
+CSV_CTE = f"""edges AS (SELECT unnest({list(EDGES)}) AS day),
+located AS (
   SELECT '/exports/' || user_id || '.csv' AS source, CAST(user_id AS VARCHAR) AS subject_id,
          ts, value, event_type,
          ts >= TIMESTAMP '{HEADER_FROM}' AS below_header,
          ts >= TIMESTAMP '{SECOND_HEADER_FROM}' AS second_layout
-  FROM events),
+  FROM events
+  UNION ALL
+  SELECT '/exports/' || user_id || '.csv', CAST(user_id AS VARCHAR), CAST(day AS TIMESTAMP), {EDGE_VALUE}, 'edge',
+         TRUE, day >= '{SECOND_HEADER_FROM}'
+  FROM (SELECT DISTINCT user_id FROM events), edges),
 kept AS (
   SELECT *, event_type = 'signup' OR (event_type = 'purchase' AND NOT second_layout) AS blank,
          event_type = 'error' OR (event_type = 'purchase' AND second_layout) AS unparsable
@@ -284,10 +295,16 @@ def xml_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def xml_files(spark: SparkSession, sf_dir: str) -> str:
-    """A folder with one file per subject and split; its streams come in many elements."""
-    docs = joined(xml_documents(spark, sf_dir), "element", "\n")
-    text = F.concat(F.lit("<export>\n"), F.col("text"), F.lit("\n</export>"))
-    return write_files(docs.withColumn("text", text), "events")
+    """A folder with one document per subject and split, each a folder of parts; its streams come in
+    many elements."""
+    docs = xml_documents(spark, sf_dir).select("file_name", "pos", F.col("element").alias("line"))
+    ends = F.inline(
+        F.array(
+            F.struct(F.lit(-1).cast("bigint").alias("pos"), F.lit("<export>").alias("line")),
+            F.struct(F.lit((1 << 63) - 1).alias("pos"), F.lit("</export>").alias("line")),
+        )
+    )
+    return write_parts(docs.unionByName(docs.select("file_name").distinct().select("file_name", ends)), "events")
 
 
 XML_CTE = f"""xml_events AS (

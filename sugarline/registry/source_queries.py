@@ -38,7 +38,7 @@ FROM located GROUP BY ALL"""
 def carry_header(spark, sf_dir):
     """Data lines per source and glucose position; 0 above the first header."""
     located = csv_export.carry_header(fx.csv_lines(spark, sf_dir))
-    data = located.where(~F.col("is_header") & F.col("line").rlike("^[0-9]"))
+    data = located.where(~F.col("is_header") & F.col("line").rlike('^"?[0-9]'))
     position = F.coalesce("h_glucose", F.lit(0)).cast("int").alias("position")
     return data.groupBy("source", position).agg(F.count("*").alias("lines"))
 
@@ -158,7 +158,8 @@ def discover_split_files(spark, sf_dir):
     """Names of the files of each split and their subjects."""
     folder = fx.xml_files(spark, sf_dir)
     found = [
-        xml_events.discover_split_files(spark, folder, split).withColumn("split", F.lit(split)) for split in C.SPLITS
+        xml_events.discover_split_files(spark, folder, split, in_parts=True).withColumn("split", F.lit(split))
+        for split in C.SPLITS
     ]
     return found[0].unionByName(found[1]).select("file_name", "subject_id", "split").orderBy("file_name")
 
@@ -254,7 +255,7 @@ SELECT source, 'success' AS status, count AS readings_saved, * EXCLUDE (source,
 @query(_ingest_sql(fx.CSV_CTE, "csv_readings"))
 def ingest_csv(spark, sf_dir):
     """Files of a folder, stored and reported on."""
-    result = ingest.ingest_csv(spark, fx.csv_files(spark, sf_dir), scratch_dir(spark, "readings"), 1)
+    result = ingest.ingest_csv(spark, fx.csv_files(spark, sf_dir), scratch_dir(spark, "readings"), 1, in_parts=True)
     return result.results.withColumn("source", _export_name())
 
 
@@ -265,8 +266,30 @@ def _export_name():
 @query(f"WITH {fx.CSV_CTE}, {statistics_sql('csv_readings', 'source')} SELECT * FROM stats")
 def csv_statistics(spark, sf_dir):
     """Statistics of the files of a folder."""
-    statistics, _ = ingest.csv_statistics(spark, fx.csv_files(spark, sf_dir))
-    return statistics.withColumn("source", _export_name())
+    report = ingest.csv_statistics(spark, fx.csv_files(spark, sf_dir), in_parts=True)
+    return report.statistics.withColumn("source", _export_name())
+
+
+@query(
+    f"""WITH {fx.CSV_CTE},
+counted AS (
+  SELECT source, count(*) FILTER (below_header AND event_type IN ('view', 'click', 'edge')) AS readings, 2 AS headers,
+         2 + count(*) FILTER (NOT below_header) AS above_header,
+         count(*) FILTER (below_header AND (event_type = 'signup' OR (event_type = 'purchase' AND NOT second_layout)))
+           AS short_or_blank,
+         count(*) FILTER (below_header AND (event_type = 'error' OR (event_type = 'purchase' AND second_layout)))
+           AS unparsable,
+         0 AS of_rejected_source, NULL AS source_error
+  FROM located GROUP BY source)
+SELECT * FROM counted
+UNION ALL SELECT '/exports/header.csv', 0, 1, 0, 0, 0, 0, NULL
+UNION ALL SELECT '/exports/blank.csv', 0, 0, 1, 0, 0, 0, NULL
+UNION ALL SELECT '/exports/broken.csv', 0, 0, 0, 0, 0, 2, '{C.CSV_BROKEN_HEADER}'"""
+)
+def csv_tallies(spark, sf_dir):
+    """Rows of the files of a folder by the first rule that they fail, taken in the parsing pass."""
+    report = ingest.csv_statistics(spark, fx.csv_files(spark, sf_dir), in_parts=True)
+    return report.tallies.withColumn("source", _export_name())
 
 
 def _json_readings(spark, sf_dir):
@@ -287,16 +310,17 @@ SELECT source, 'no valid readings' AS reason FROM documents_used
 WHERE NOT readable OR shown <= 0
 UNION ALL SELECT '/exports/' || name || '.csv', 'no valid readings'
 FROM (SELECT UNNEST(['header', 'blank', 'zero']) AS name)
+UNION ALL SELECT '/exports/broken.csv', '{C.CSV_BROKEN_HEADER}'
 UNION ALL SELECT DISTINCT '/exports/' || user_id || '.csv', 'no valid readings' FROM events
 WHERE '/exports/' || user_id || '.csv' NOT IN (SELECT source FROM csv_readings)"""
 )
 def reject_empty_input(spark, sf_dir):
     """JSON documents without a reading, and CSV files of a folder: one without data, one blank,
-    one of no bytes."""
+    one of no bytes, one whose header lacks the time."""
     docs = fx.json_documents(spark, sf_dir)
     rejected = ingest.reject_empty_input(docs.select("source"), json_docs.parse_documents(docs))
-    _, files = ingest.csv_statistics(spark, fx.csv_files(spark, sf_dir))
-    return rejected.unionByName(files.withColumn("source", _export_name()))
+    report = ingest.csv_statistics(spark, fx.csv_files(spark, sf_dir), in_parts=True)
+    return rejected.unionByName(report.rejected.withColumn("source", _export_name()))
 
 
 # --- streaming ------------------------------------------------------------------------------

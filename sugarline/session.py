@@ -91,3 +91,10 @@ def list_files(spark: SparkSession, folder: str) -> list[tuple[str, int, int]]:
     fs, target = _path(spark, folder)
     found = [s for s in fs.listStatus(target) if s.isFile()] if fs.exists(target) else []
     return sorted((s.getPath().toString(), s.getLen(), s.getModificationTime()) for s in found)
+
+
+def list_folders(spark: SparkSession, folder: str) -> list[str]:
+    """Paths of the folders directly in a folder, in order."""
+    fs, target = _path(spark, folder)
+    found = [s for s in fs.listStatus(target) if s.isDirectory()] if fs.exists(target) else []
+    return sorted(s.getPath().toString() for s in found)

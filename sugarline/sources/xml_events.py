@@ -1,6 +1,7 @@
 """Event files: one XML document per subject and split, four streams, values in attributes.
 
-A document is parsed once; its streams leave as one long table
+Files are read in byte ranges (see ``xml_ranges``), documents held as text as a whole. A document is
+parsed once; its streams leave as one long table
 
     subject_id, stream, ts, value, detail, pos
 
@@ -14,6 +15,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from sugarline.functions import parsing
 from sugarline.functions.once import once
 from sugarline.operators.timeline import BASAL, BOLUS, GLUCOSE, MEAL, filter_series
+from sugarline.session import list_folders
+from sugarline.sources import xml_ranges
 
 ATTRIBUTES = {
     "glucose_level": ("_ts", "_value"),
@@ -37,14 +40,22 @@ def in_split(file_name: Column, split: str) -> Column:
     return file_name.endswith(f"-ws-{split}.xml")
 
 
-def discover_split_files(spark: SparkSession, raw_dir: str, split: str) -> DataFrame:
-    """Files of the split with their subject, in name order; contents are not read."""
-    files = (
-        spark.read.format("binaryFile")
-        .option("pathGlobFilter", FILE_PATTERN.format(split=split))
-        .load(raw_dir)
-        .select(F.col("path"), F.col("_metadata.file_name").alias("file_name"))
-    )
+def discover_split_files(spark: SparkSession, raw_dir: str, split: str, in_parts: bool = False) -> DataFrame:
+    """Files of the split with their subject, in name order; contents are not read.
+
+    ``in_parts``: each document is a folder ``file_name=<name>`` of part files, as jobs write them.
+    """
+    if in_parts:
+        found = [(f, f.split("file_name=", 1)[1]) for f in list_folders(spark, raw_dir) if "file_name=" in f]
+        files = spark.createDataFrame(found, "path string, file_name string")
+        files = files.where(in_split(F.col("file_name"), split))
+    else:
+        files = (
+            spark.read.format("binaryFile")
+            .option("pathGlobFilter", FILE_PATTERN.format(split=split))
+            .load(raw_dir)
+            .select(F.col("path"), F.col("_metadata.file_name").alias("file_name"))
+        )
     return files.withColumn("subject_id", subject_of(F.col("file_name"))).orderBy("file_name")
 
 
@@ -65,13 +76,38 @@ def parse_xml_texts(docs: DataFrame, by_file: bool = False) -> DataFrame:
     return explode_streams(parsed.select("subject_id", "doc.*"))
 
 
-def read_split(spark: SparkSession, raw_dir: str, split: str, by_file: bool = False) -> DataFrame:
-    """Events of all subjects of a split; empty when no file matches."""
-    files = spark.read.option("pathGlobFilter", FILE_PATTERN.format(split=split))
-    docs = files.text(raw_dir, wholetext=True).select(
-        F.col("_metadata.file_name").alias("file_name"), F.col("value").alias("text")
+def read_split(
+    spark: SparkSession, raw_dir: str, split: str, by_file: bool = False, in_parts: bool = False
+) -> DataFrame:
+    """Events of all subjects of a split; empty when no file matches.
+
+    A file of any size is read by many tasks. ``pos`` ascends through the document.
+    """
+    if in_parts:
+        records = xml_ranges.read_part_records(spark, raw_dir, f"-ws-{split}.xml")
+    else:
+        records = xml_ranges.read_records(spark, raw_dir, FILE_PATTERN.format(split=split))
+    return events_of(xml_ranges.elements(records), by_file)
+
+
+def events_of(elements: DataFrame, by_file: bool = False) -> DataFrame:
+    """Events among elements (source, row, parent, tag): those whose parent is one of the streams."""
+    names = [a[1:] for a in dict.fromkeys(a for own in ATTRIBUTES.values() for a in own)]
+    streams = {"glucose_level": GLUCOSE, "bolus": BOLUS, "basal": BASAL, "meal": MEAL}
+    wanted = elements.where(F.col("parent").isin(*streams))
+    e = wanted.select("source", "row", "parent", F.inline(F.array(xml_ranges.attributes(F.col("tag"), *names))))
+    is_bolus = F.col("parent") == "bolus"
+    stream = F.coalesce(*[F.when(F.col("parent") == tag, F.lit(name)) for tag, name in streams.items()])
+    value = F.when(is_bolus, F.col("dose")).when(F.col("parent") == "meal", F.col("carbs")).otherwise(F.col("value"))
+    rows = e.select(
+        (F.col("source") if by_file else subject_of(F.col("source"))).alias("subject_id"),
+        stream.alias("stream"),
+        F.when(is_bolus, parsing.coalesce_bolus_ts(F.col("ts_begin"), F.col("ts"))).otherwise(F.col("ts")).alias("ts_text"),
+        value.alias("value_text"),
+        F.when(is_bolus, parsing.default_bolus_type(F.col("type"))).alias("detail"),
+        F.col("row").alias("pos"),
     )
-    return parse_xml_texts(docs, by_file)
+    return parsed_events(drop_missing_attr(rows))
 
 
 def raw_events(rows: DataFrame) -> DataFrame:
@@ -119,7 +155,11 @@ def drop_missing_attr(events: DataFrame) -> DataFrame:
 
 
 def explode_streams(rows: DataFrame) -> DataFrame:
-    events = drop_missing_attr(raw_events(rows)).select(
+    return parsed_events(drop_missing_attr(raw_events(rows)))
+
+
+def parsed_events(rows: DataFrame) -> DataFrame:
+    events = rows.select(
         "subject_id",
         "stream",
         "detail",

@@ -221,8 +221,9 @@ def test_ingest_csv_folder(spark, tmp_path):
     assert rejected == {"empty.csv", "nothing.csv", "zero.csv"}
     assert [r.readings_saved for r in result.counts.collect()] == [4]
     assert readings_store.read_readings(spark, store).count() == 4
-    statistics, refused = ingest.csv_statistics(spark, str(folder))
-    assert statistics.count() == 1 and {os.path.basename(r.source) for r in refused.collect()} == rejected
+    with ingest.csv_statistics(spark, str(folder)) as report:
+        assert report.statistics.count() == 1
+        assert {os.path.basename(r.source) for r in report.rejected.collect()} == rejected
     result.close()
     assert not os.path.exists(result.staged)
 
