@@ -27,3 +27,14 @@ def exact_sum(x: str) -> Column:
 
 def exact_avg(x: str) -> Column:
     return F.try_divide(exact_sum(x), F.count(F.expr(x)))
+
+
+def exact_parts(x: str) -> tuple[Column, Column]:
+    """Sum of a double expression below 2^50 in two mergeable parts: whole 1/1024ths, without error
+    while their sum stays below 2^63, and the sum of the small rests."""
+    whole = f"rint({x} * {SCALE})"
+    return F.expr(f"sum(CAST({whole} AS BIGINT))"), F.expr(f"sum({x} - {whole} / {SCALE})")
+
+
+def from_parts(whole: Column, rest: Column) -> Column:
+    return whole / F.lit(1024.0) + rest

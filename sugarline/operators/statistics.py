@@ -10,10 +10,12 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from sugarline import constants as C
 from sugarline.functions import clinical
-from sugarline.functions.exact import exact_avg
+from sugarline.functions.exact import exact_avg, exact_parts, from_parts
 from sugarline.functions.rounding import half_even, half_up
 
 GLUCOSE = "glucose_mg_dl"
+#: Deviations of partial means are taken from here, near most means.
+MIDDLE = 150.0
 
 
 def _share(condition: Column) -> Column:
@@ -81,7 +83,50 @@ def client_statistics(readings: DataFrame, *groups: str, value: str = GLUCOSE) -
 
     No readings give no row. A mean of zero gives a NULL CV, which is not stable.
     """
-    m = _moments(readings, groups, value).where(F.col("count") > 0)
+    return _displayed(_moments(readings, groups, value).where(F.col("count") > 0), groups)
+
+
+def mergeable_moments(readings: DataFrame, *groups: str, value: str = GLUCOSE) -> DataFrame:
+    """Count, extremes, readings in range, exact sum and squared deviations per group, for
+    :func:`merged_client_statistics`."""
+    v = F.col(value)
+    whole, rest = exact_parts(value)
+    return (
+        readings.where(v.isNotNull())
+        .groupBy(*groups)
+        .agg(
+            F.count(v).alias("n"),
+            F.min(v).alias("low"),
+            F.max(v).alias("high"),
+            F.count_if(clinical.in_range(v)).alias("in_range"),
+            whole.alias("whole"),
+            rest.alias("rest"),
+            (F.var_pop(v) * F.count(v)).alias("squares"),
+        )
+    )
+
+
+def merged_client_statistics(moments: DataFrame, *groups: str) -> DataFrame:
+    """:func:`client_statistics` of the union of the readings behind several moments.
+
+    Squared deviations add up, plus the spread of the means around a fixed middle less that of the
+    whole around it.
+    """
+    mean = from_parts(F.col("whole"), F.col("rest")) / F.col("n") - MIDDLE
+    merged = moments.groupBy(*groups).agg(
+        F.sum("n").alias("count"),
+        F.min("low").alias("_min"),
+        F.max("high").alias("_max"),
+        (F.sum("in_range") / F.sum("n")).alias("_in_range"),
+        (from_parts(F.sum("whole"), F.sum("rest")) / F.sum("n")).alias("_avg"),
+        F.sum(F.col("squares") + F.col("n") * mean * mean).alias("_squares"),
+    )
+    middle = F.col("_avg") - MIDDLE
+    variance = F.greatest(F.col("_squares") / F.col("count") - middle * middle, F.lit(0.0))
+    return _displayed(merged.withColumn("_var", variance), groups)
+
+
+def _displayed(m: DataFrame, groups: tuple[str, ...]) -> DataFrame:
     std = F.sqrt(F.col("_var"))
     cv = F.try_divide(std, F.col("_avg")) * 100
     return m.select(

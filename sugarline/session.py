@@ -98,3 +98,28 @@ def list_folders(spark: SparkSession, folder: str) -> list[str]:
     fs, target = _path(spark, folder)
     found = [s for s in fs.listStatus(target) if s.isDirectory()] if fs.exists(target) else []
     return sorted(s.getPath().toString() for s in found)
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    """Content of a small file."""
+    fs, target = _path(spark, path)
+    stream = fs.open(target)
+    try:
+        return bytes(stream.readAllBytes()).decode()
+    finally:
+        stream.close()
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """Create a small file in one step: it is there whole or not at all. Fails if the path exists."""
+    fs, target = _path(spark, path)
+    beside = f"{target.getParent().toString()}/.{target.getName()}-{uuid.uuid4().hex}"
+    _, staged = _path(spark, beside)
+    stream = fs.create(staged)
+    try:
+        stream.write(bytearray(text.encode()))
+    finally:
+        stream.close()
+    if fs.exists(target) or not fs.rename(staged, target):
+        fs.delete(staged, False)
+        raise FileExistsError(path)

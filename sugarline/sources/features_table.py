@@ -1,36 +1,48 @@
-"""The stored feature table: parquet, one ``split=`` folder per split."""
+"""The stored feature table: immutable parquet files by split behind a manifest."""
 
 from __future__ import annotations
 
-import uuid
+import json
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
-from sugarline.session import remove, rename
+from sugarline.sources.manifest import Table
 
 
 def write_features(features: DataFrame, path: str, split: str) -> bool:
     """Replace one split if there are rows for it; tells whether there are.
 
-    The rows are written beside the stored ones and take their place only if there are any.
-    Rebalancing evens out file sizes and splits a subject that is too big for one file.
+    The rows become a commit that takes the split's place in the next manifest, and only if there
+    are any. A crash at any step leaves the split before. What it replaced stays until
+    :func:`vacuum`, so readers are not disturbed.
     """
-    spark = features.sparkSession
-    folder = f"{path.rstrip('/')}/split={split}"
-    staged = f"{path.rstrip('/')}/_new-{uuid.uuid4().hex}"
-    features.hint("rebalance", "subject_id").write.parquet(staged)
-    if spark.read.schema(features.schema).parquet(staged).isEmpty():
-        remove(spark, staged)
+    schema = features.withColumn("split", F.lit(split)).schema
+    table = Table(features.sparkSession, path, "split", schema)
+    manifest = table.load()
+    commit, found = table.write(features.withColumn("split", F.lit(split)))
+    if not found:
         return False
-    remove(spark, folder)
-    rename(spark, staged, folder)
+    manifest.folders[split] = [commit]
+    manifest.notes["schema"] = schema.json()
+    table.commit(manifest)
     return True
 
 
+def _table(spark: SparkSession, path: str) -> Table:
+    notes = Table(spark, path, "split", StructType()).load().notes
+    return Table(spark, path, "split", StructType.fromJson(json.loads(notes["schema"])))
+
+
 def read_features(spark: SparkSession, path: str, *splits: str) -> DataFrame:
     """Feature rows with their ``split``; all splits together form the bag union of them."""
-    table = spark.read.parquet(path)
-    return table.where(F.col("split").isin(*splits)) if splits else table
+    table = _table(spark, path)
+    return table.read(table.load(), list(splits) or None)
+
+
+def vacuum(spark: SparkSession, path: str, keep: int = 2) -> None:
+    """Remove the files that none of the last ``keep`` versions names."""
+    _table(spark, path).vacuum(keep)
 
 
 def union_splits(training: DataFrame, testing: DataFrame) -> DataFrame:
