@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from sugarline import constants as C
@@ -63,32 +67,83 @@ def summary_by_subject(features: DataFrame) -> DataFrame:
     )
 
 
+GRAM = "present int, n bigint, mean array<double>, low array<double>, high array<double>, covar array<double>"
+
+
+class _Moments:
+    """Count, means, extremes and co-moments of rows that have the same columns."""
+
+    def __init__(self, rows: np.ndarray):
+        self.n, self.mean = len(rows), rows.mean(axis=0)
+        centred = rows - self.mean
+        self.products = centred.T @ centred
+        self.low, self.high = rows.min(axis=0), rows.max(axis=0)
+
+    def add(self, other: _Moments) -> None:
+        """Co-moments add up, plus the spread of the two means."""
+        total = self.n + other.n
+        apart = other.mean - self.mean
+        self.products += other.products + np.outer(apart, apart) * (self.n * other.n / total)
+        self.mean = self.mean + apart * (other.n / total)
+        self.low, self.high = np.minimum(self.low, other.low), np.maximum(self.high, other.high)
+        self.n = total
+
+
+def gram_moments(features: DataFrame, columns: tuple[str, ...]) -> DataFrame:
+    """Moments of the rows of each task by the pattern of columns that are present.
+
+    A batch is centred once for each pattern, and one matrix product gives all its co-moments. A
+    task sends a row for each pattern, so 2^columns at most.
+    """
+    k = len(columns)
+
+    def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, _Moments] = {}
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            values = np.column_stack([c.fill_null(0.0).to_numpy(zero_copy_only=False) for c in batch.columns])
+            there = np.column_stack([c.is_valid().to_numpy(zero_copy_only=False) for c in batch.columns])
+            patterns = there @ (1 << np.arange(k))
+            for pattern in np.unique(patterns).tolist():
+                own = [i for i in range(k) if pattern >> i & 1]
+                found = _Moments(values[patterns == pattern][:, own])
+                if pattern in held:
+                    held[pattern].add(found)
+                else:
+                    held[pattern] = found
+        rows = []
+        for pattern, m in held.items():
+            own = [i for i in range(k) if pattern >> i & 1]
+            wide = {name: np.full(k, np.nan) for name in ("mean", "low", "high")}
+            for name, column in wide.items():
+                column[own] = getattr(m, name)
+            covar = np.full((k, k), np.nan)
+            covar[np.ix_(own, own)] = m.products / m.n
+            rows.append((pattern, m.n, *wide.values(), covar.ravel()))
+        kinds = [pa.int32(), pa.int64(), *[pa.list_(pa.float64())] * 4]
+        names = [f.split()[0] for f in GRAM.split(", ")]
+        data = list(zip(*rows, strict=True)) or [[]] * len(names)
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(data, kinds, strict=True)], names=names)
+
+    return features.select(*[F.col(c).cast("double").alias(f"y{i}") for i, c in enumerate(columns)]).mapInArrow(collect, GRAM)
+
+
 def correlation_matrix(features: DataFrame, columns: tuple[str, ...] = C.FEATURES) -> DataFrame:
     """Pearson correlation of every pair of columns over the rows where both are present.
 
     Rows are grouped by which columns they have; inside such a group every pair is complete, and
-    one aggregate with map-side partials takes its means, extremes and the co-moments of the upper
-    triangle. The groups of a pair are then merged exactly: co-moments add up, plus the spread of
-    the group means. A constant column gives NULL.
+    one matrix product takes all co-moments. The groups of a pair are then merged exactly:
+    co-moments add up, plus the spread of the group means. A constant column gives NULL.
     """
-    doubles = [f"CAST({c} AS DOUBLE)" for c in columns]
-    present = " + ".join(f"IF({c} IS NULL, 0, {1 << i})" for i, c in enumerate(columns))
     places = range(len(columns))
-    aggregates = ["count(1) AS n"]
-    for i in places:
-        aggregates += [f"avg(y{i}) AS mean{i}", f"min(y{i}) AS low{i}", f"max(y{i}) AS high{i}"]
-        aggregates += [f"covar_pop(y{i}, y{j}) AS covar{i}_{j}" for j in places if j >= i]
-    moments = (
-        features.selectExpr(f"{present} AS present", *[f"{y} AS y{j}" for j, y in enumerate(doubles)])
-        .groupBy("present")
-        .agg(*[F.expr(a) for a in aggregates])
-    )
 
     def column(i: int) -> str:
-        covar = ", ".join(f"covar{min(i, j)}_{max(i, j)}" for j in places)
-        figures = f"struct(n, mean{i} AS mean, low{i} AS low, high{i} AS high, array({covar}) AS covar)"
+        covar = f"slice(covar, {i * len(columns) + 1}, {len(columns)}) AS covar"
+        figures = f"struct(n, mean[{i}] AS mean, low[{i}] AS low, high[{i}] AS high, {covar})"
         return f"IF((present & {1 << i}) = 0, NULL, {figures})"
 
+    moments = gram_moments(features, columns)
     by_column = moments.selectExpr(f"array({', '.join(column(i) for i in places)}) AS by_column")
     names = ", ".join(f"'{c}'" for c in columns)
     cells = (
