@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,6 +56,20 @@ def blocks(texts: Sequence[str], most_chars: int = 1_000_000) -> Iterator[tuple[
         yield start, len(texts)
 
 
+def text_blocks(column: pa.Array, most_bytes: int = 1_000_000) -> Iterator[tuple[int, int, list[str | None]]]:
+    """(first, past, texts) of consecutive ranges of an Arrow column; only one range at a time is
+    made into Python texts. A text of more than ``most_bytes`` is alone."""
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_pylist()
+    start = total = 0
+    for i, size in enumerate(sizes):
+        if i > start and total + size > most_bytes:
+            yield start, i, column.slice(start, i - start).to_pylist()
+            start, total = i, 0
+        total += size
+    if start < len(sizes):
+        yield start, len(sizes), column.slice(start).to_pylist()
+
+
 def bound_rows(frame: DataFrame, order: Sequence[Column], rows: int, by: Sequence[str] = ()) -> DataFrame:
     """At most ``rows`` rows, per value of ``by`` if given, the first by ``order``.
 

@@ -32,15 +32,20 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sugarline.llm.common import stored
+from sugarline.llm.common import stored, text_blocks
 from sugarline.llm.shingles import canonical, mixed, shingle_sets
 
 #: Ids of classes without any doc_id start here; counts of frequent tokens lie below the other value.
 NAMELESS, COUNTS = 1 << 62, -(1 << 62)
 
 
+#: The owner of a token that several classes have, which is no class.
+SEVERAL = -(1 << 63)
+
+
 def _class_key(text: bytes) -> int:
-    return int.from_bytes(hashlib.blake2b(text, digest_size=8).digest(), "little", signed=True)
+    key = int.from_bytes(hashlib.blake2b(text, digest_size=8).digest(), "little", signed=True)
+    return key if key != SEVERAL else 0
 
 
 def class_key(text: Column) -> Column:
@@ -68,16 +73,16 @@ def classes_of(docs: DataFrame) -> DataFrame:
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [canonical(t) for t in batch.column(1).to_pylist()]
-            sets = shingle_sets(texts)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0).cast(pa.int64()),
-                    pa.array([len(s) for s in sets], pa.int64()),
-                    pa.array([_class_key(t) if t else None for t in texts], pa.int64()),
-                ],
-                names=["doc_id", "n_shingles", "class"],
-            )
+            for a, b, raw in text_blocks(batch.column(1)):
+                texts = [canonical(t) for t in raw]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column(0).slice(a, b - a).cast(pa.int64()),
+                        pa.array([len(s) for s in shingle_sets(texts)], pa.int64()),
+                        pa.array([_class_key(t) if t else None for t in texts], pa.int64()),
+                    ],
+                    names=["doc_id", "n_shingles", "class"],
+                )
 
     return docs.select("doc_id", "text").mapInArrow(describe, "doc_id bigint, n_shingles bigint, class bigint")
 
@@ -138,26 +143,25 @@ def _groups(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return order, np.flatnonzero(first), np.cumsum(first) - 1
 
 
-#: Low bits of a class that travel with its tokens, and the owner of a token of several classes.
-_KEY_BITS = 47
-_SEVERAL = (1 << _KEY_BITS) - 1
+#: Bytes of text whose prefix tokens are sent together.
+PREFIX_BYTES = 8_000_000
 
 
 def prefix_rows(docs: DataFrame, percent: int, longer: float, bits: int) -> DataFrame:
     """Prefix tokens under the order of hash values: rows (bucket, data), and for each class of a
-    batch (class, found, needed): the prefix tokens that it shares within the batch, and how many it
-    has to share in all.
+    block of texts (class, found, needed): the prefix tokens that it shares within the block, and how
+    many it has to share in all.
 
-    A batch sends a token once: with its class if one class has it, else as a token of several. So
-    a token of very many texts travels once for each batch.
+    A block sends a token once: with its class if one class has it, else as a token of several. So
+    a token of very many texts travels once for each block.
     """
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [t for t in dict.fromkeys(canonical(t) for t in batch.column(0).to_pylist()) if t]
+        for raw in (raw for batch in batches for _, _, raw in text_blocks(batch.column(0), PREFIX_BYTES)):
+            texts = [t for t in dict.fromkeys(canonical(t) for t in raw) if t]
             if not texts:
                 continue
-            keys = np.array([_class_key(t) & _SEVERAL for t in texts], np.int64)
+            keys = np.array([_class_key(t) for t in texts], np.int64)
             prefixes, needed = [], []
             for tokens in shingle_sets(texts):
                 n = len(tokens)
@@ -170,8 +174,8 @@ def prefix_rows(docs: DataFrame, percent: int, longer: float, bits: int) -> Data
             tokens, owner = tokens[order], owner[order]
             several = np.diff(np.append(starts, len(tokens))) > 1
             here = np.bincount(owner[several[group]], minlength=len(texts))
-            sent = np.where(several, _SEVERAL, keys[owner[starts]])
-            rows = list(_bucket_rows(tokens[starts], sent, bits, 6))
+            sent = np.where(several, SEVERAL, keys[owner[starts]])
+            rows = list(_bucket_rows(tokens[starts], sent, bits, 8))
             yield pa.RecordBatch.from_pydict(
                 {
                     "bucket": pa.array([r[0] for r in rows], pa.int32()),
@@ -196,19 +200,19 @@ def prefix_rows(docs: DataFrame, percent: int, longer: float, bits: int) -> Data
 
 
 def surviving_classes(docs: DataFrame, percent: int, longer: float = 0.15) -> DataFrame:
-    """``key`` (low bits) of the classes that share enough prefix tokens with others.
+    """``key`` of the classes that share enough prefix tokens with others.
 
-    A class that occurs in several batches counts its shared and its needed tokens in each of them.
+    A class that occurs in several blocks counts its shared and its needed tokens in each of them.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         passed: list[pa.RecordBatch] = []
         for _, data in _by_bucket(batches, passed):
-            tokens, owners = _unpack(data, 6)
+            tokens, owners = _unpack(data, 8)
             order, starts, group = _groups(tokens)
             owners = owners[order]
             shared = np.minimum.reduceat(owners, starts) != np.maximum.reduceat(owners, starts)
-            keys, found = np.unique(owners[shared[group] & (owners != _SEVERAL)], return_counts=True)
+            keys, found = np.unique(owners[shared[group] & (owners != SEVERAL)], return_counts=True)
             zero = np.zeros(len(keys), np.int64)
             yield _batches({"key": keys, "found": found.astype(np.int64), "needed": zero})
         for batch in passed:
@@ -227,11 +231,11 @@ def surviving_classes(docs: DataFrame, percent: int, longer: float = 0.15) -> Da
 
 
 def class_sets(docs: DataFrame) -> DataFrame:
-    """class, n and tokens of the texts of ``docs``; a batch gives a class once."""
+    """class, n and tokens of the texts of ``docs``; a block of texts gives a class once."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [t for t in dict.fromkeys(canonical(t) for t in batch.column(0).to_pylist()) if t]
+        for raw in (raw for batch in batches for _, _, raw in text_blocks(batch.column(0), PREFIX_BYTES)):
+            texts = [t for t in dict.fromkeys(canonical(t) for t in raw) if t]
             sets = [s.view(np.int64) for s in shingle_sets(texts)]
             yield pa.RecordBatch.from_arrays(
                 [
@@ -486,8 +490,8 @@ def labelled(docs: DataFrame, percent: int) -> DataFrame:
     # A set is named by its smallest id, or by its class if that id has other sets too
     own_id = F.when(F.col("several"), nameless).otherwise(F.coalesce("head", nameless)).alias("id")
     heads = stored(heads.select("class", "n", "head", own_id, F.col("several").isNotNull().alias("repeats")), "heads")
-    key = F.col("class").bitwiseAND(F.lit(_SEVERAL)).alias("key")
-    chosen = stored(heads.select("*", key).join(surviving_classes(docs, percent), "key").drop("key"), "chosen")
+    surviving = surviving_classes(docs, percent).withColumnRenamed("key", "class")
+    chosen = stored(heads.join(surviving, "class"), "chosen")
 
     # One text of each class: that of its smallest id; classes without ids are looked for by class
     def named(own: DataFrame) -> DataFrame:

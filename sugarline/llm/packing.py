@@ -19,6 +19,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from sugarline.llm.common import text_blocks
 from sugarline.llm.tokens import default_tokenizer, word_ids
 
 SCHEMA = (
@@ -108,8 +109,9 @@ def packed(docs: DataFrame, capacity: int = 2048, end_id: int = 1, tokenizer: st
     """One row per piece of each document of ``docs`` (doc_id, text): see ``SCHEMA``.
 
     Every document is its ids and ``end_id``; a null or empty text is ``end_id`` alone. Repeated
-    rows are packed one by one; a null doc_id stays null; extra columns are ignored. A sequence_id
-    holds the task's number in its high bits, so ids of different tasks never meet.
+    rows are packed one by one; a null doc_id stays null; a long text fills as many sequences as it
+    needs; extra columns are ignored; no rows give no result. A sequence_id holds the task's number
+    in its high bits, so ids of different tasks never meet.
     """
     path = tokenizer or default_tokenizer()
     end = end_id.to_bytes(4, "little")
@@ -126,11 +128,16 @@ def packed(docs: DataFrame, capacity: int = 2048, end_id: int = 1, tokenizer: st
             bins.rows = []
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=names)
 
-        for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                bins.add(doc_id, ids.of(text or "") + end)
+        try:
+            for batch in batches:
+                doc_ids = batch.column(0).to_pylist()
+                for a, b, texts in text_blocks(batch.column(1)):
+                    for doc_id, text in zip(doc_ids[a:b], texts, strict=True):
+                        bins.add(doc_id, ids.of(text or "") + end)
+                yield rows()
+            bins.finish()
             yield rows()
-        bins.finish()
-        yield rows()
+        finally:
+            ids.clear()
 
     return docs.select("doc_id", "text").mapInArrow(fill, SCHEMA)

@@ -32,7 +32,9 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 CONTEXT = re.compile(
     r"password|passwd|pwd|secret|token|api.?key|access.?key|private.?key|credential|bearer|authorization|signature", re.I | re.A
 )
+LEAST = 16
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+RUN = re.compile(r"[A-Za-z0-9+/_=-]+")
 #: From so many literals on zstandard codes them by their frequencies; and the characters of a long
 #: candidate that prime its next piece.
 RAW, BACK = 64, 1000
@@ -79,16 +81,22 @@ def novelty(candidate: str, around: bytes) -> float:
 
 
 def _sensitive(text: str, reach: int) -> list[tuple[int, int]]:
-    """Candidates at most ``reach`` characters after a context word."""
+    """Candidates that begin at most ``reach`` characters after a context word.
+
+    A context word looks no further than its reach, and nothing is looked at again that an earlier
+    one has found, so the time grows with the text alone.
+    """
     found = []
     done = 0
     for hint in CONTEXT.finditer(text):
         window = hint.end() + reach
-        for m in CANDIDATE.finditer(text, max(hint.end(), done)):
-            if m.start() > window:
+        done = max(hint.end(), done)
+        while done <= window:
+            m = CANDIDATE.search(text, done, window + LEAST)
+            if m is None:
                 break
-            done = m.end()
-            found.append(m.span())
+            done = RUN.match(text, m.start()).end()
+            found.append((m.start(), done))
     return found
 
 
@@ -104,6 +112,40 @@ def _by_start(spans: list[tuple[int, int]]) -> tuple[list[int], list[int]]:
     return [a for a, _ in spans], list(accumulate((b for _, b in spans), max))
 
 
+def _around(
+    text: str, start: int, end: int, word: str, first: int, fixed: tuple[list[int], list[int]], width: int
+) -> bytes:
+    """``width`` characters on both sides, without the copies of the word that are secrets too: those
+    from ``first`` on, or in a ``fixed`` span; also copies cut off at the ends."""
+
+    def others(a: int, b: int) -> str:
+        parts, at = [], a
+        copy = text.find(word, max(0, a - len(word) + 1), b + len(word) - 1)
+        while copy >= 0:
+            past = copy + len(word)
+            if copy >= first or _touches(copy, past, *fixed):
+                parts.append(text[at : max(at, copy)])
+                at = max(at, min(past, b))
+            copy = text.find(word, past, b + len(word) - 1)
+        return "".join(parts) + text[at:b]
+
+    return (others(max(0, start - width), start) + "\n" + others(end, min(len(text), end + width))).encode()
+
+
+def novelties(text: str, spans: list[tuple[str, int, int]], width: int = 400) -> list[float]:
+    """Novelty of each span's string (of its value, for assign) in its surroundings."""
+    if not spans:
+        return []
+    fixed = _by_start([(a, b) for _, a, b in spans])
+    out = []
+    for kind, start, end in spans:
+        if kind == "assign":
+            start = ASSIGN.match(text, start, end).start(2)
+        word = text[start:end]
+        out.append(novelty(word, _around(text, start, end, word, start, fixed, width)))
+    return out
+
+
 def novel_spans(text: str, taken: list[tuple[str, int, int]], reach: int = 48, width: int = 400, least: float = 0.8) -> list[tuple[str, int, int]]:
     """Incompressible strings with letters and digits at most ``reach`` characters after a context
     word. Strings that touch a span already ``taken`` are left out.
@@ -126,20 +168,7 @@ def novel_spans(text: str, taken: list[tuple[str, int, int]], reach: int = 48, w
         if _touches(start, end, *fixed):
             continue
 
-        def others(a: int, b: int, word: str = word) -> str:
-            """text[a:b] without the copies of the word that are secrets too, also cut ones at its ends."""
-            parts, at = [], a
-            copy = text.find(word, max(0, a - len(word) + 1), b + len(word) - 1)
-            while copy >= 0:
-                past = copy + len(word)
-                if copy >= first[word] or _touches(copy, past, *fixed):
-                    parts.append(text[at : max(at, copy)])
-                    at = max(at, min(past, b))
-                copy = text.find(word, past, b + len(word) - 1)
-            return "".join(parts) + text[at:b]
-
-        around = others(max(0, start - width), start) + "\n" + others(end, min(len(text), end + width))
-        if novelty(word, around.encode()) >= least:
+        if novelty(word, _around(text, start, end, word, first[word], fixed, width)) >= least:
             found.append(("novel", start, end))
     return found
 
@@ -166,13 +195,14 @@ def _joined(spans: list[tuple[str, int, int]]) -> str:
 
 
 def scanned(docs: DataFrame) -> DataFrame:
-    """doc_id, n_assign, n_access, n_hex, base_sha256, spans and n_novel for each row of ``docs``.
+    """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_novel and novelty (bytes added per
+    character, of each span in their order) for each row of ``docs``.
 
-    A null text counts as empty and has no spans. Repeated rows get equal results; extra columns
-    are ignored; no rows give no result.
+    A null text counts as empty and has no spans. Repeated rows get equal results; the time of a
+    text grows with its length alone; extra columns are ignored; no rows give no result.
     """
 
-    @F.pandas_udf("struct<n_assign: bigint, n_access: bigint, n_hex: bigint, base_sha256: string, spans: string, n_novel: bigint>")
+    @F.pandas_udf("struct<n_assign: bigint, n_access: bigint, n_hex: bigint, base_sha256: string, spans: string, n_novel: bigint, novelty: array<double>>")
     def find(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
             rows = []
@@ -180,8 +210,10 @@ def scanned(docs: DataFrame) -> DataFrame:
                 base, spans = scan(text or "")
                 counts = [sum(k == kind for k, _, _ in base) for kind in KINDS[:3]]
                 digest = hashlib.sha256(_joined(base).encode()).hexdigest()
-                rows.append((*counts, digest, _joined(spans), len(spans) - len(base)))
-            yield pd.DataFrame(rows, columns=["n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_novel"])
+                added = [round(x, 3) for x in novelties(text or "", spans)]
+                rows.append((*counts, digest, _joined(spans), len(spans) - len(base), added))
+            names = ["n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_novel", "novelty"]
+            yield pd.DataFrame(rows, columns=names)
 
     return docs.select("doc_id", find(F.col("text")).alias("s")).select("doc_id", "s.*")
 

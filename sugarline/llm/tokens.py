@@ -41,19 +41,18 @@ def _byte_letters() -> list[str]:
 
 class WordIds(dict):
     """Word (bytes) to its ids (little-endian unsigned 32 bits), for a tokenizer that ignores case
-    and never joins across blanks. Forgets everything once it holds ``most`` words."""
+    and never joins across blanks. Forgets everything once its words take about ``most`` bytes;
+    tasks empty it when they end."""
 
-    def __init__(self, path: str, most: int = 1_000_000):
+    def __init__(self, path: str, most: int = 96_000_000):
         from tokenizers import Tokenizer
 
         super().__init__()
-        self.tokenizer, self.most = Tokenizer.from_file(path), most
+        self.tokenizer, self.most, self.held = Tokenizer.from_file(path), most, 0
         self.model = self.tokenizer.model
         self.letters = _byte_letters()
 
     def __missing__(self, word: bytes) -> bytes:
-        if len(self) >= self.most:
-            self.clear()
         text = word.decode()
         if "<|" not in text and _LATIN.fullmatch(text) and _LATIN.fullmatch(text := text.lower()):
             pieces = [p.encode() for p in _PIECES.findall(text)]
@@ -65,9 +64,16 @@ class WordIds(dict):
         else:
             ids = array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
         if len(word) <= 64:
+            if self.held > self.most:
+                self.clear()
             self[word] = ids
+            self.held += 160 + len(word) + len(ids)
         return ids
 
+    def clear(self) -> None:
+        super().clear()
+        self.held = 0
+
     def of(self, text: str) -> bytes:
         """Ids of a whole text."""
         data = text.encode()
@@ -187,21 +193,25 @@ def counted(docs: DataFrame, tokenizer: str | None = None, edits=sample_edits) -
     """doc_id, n_tokens, n_tokens_edited, n_words and n_reencoded for each row of ``docs``.
 
     ``edits`` gives the edits of a text. ``n_reencoded`` counts the words encoded again for them.
-    A null text counts as empty; repeated rows get equal results; extra columns are ignored.
+    A null text counts as empty; repeated rows get equal results; a long text is one tree; extra
+    columns are ignored; no rows give no result.
     """
     path = tokenizer or default_tokenizer()
 
     @F.pandas_udf("struct<n_tokens: bigint, n_tokens_edited: bigint, n_words: bigint, n_reencoded: bigint>")
     def count(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         ids = word_ids(path)
-        for texts in batches:
-            rows = []
-            for text in texts:
-                tree = TokenTree(text or "", ids)
-                before, words = tree.total, len((text or "").encode().split())
-                for start, end, new in edits(text or ""):
-                    tree.edit(start, end, new)
-                rows.append((before, tree.total, words, tree.reencoded))
-            yield pd.DataFrame(rows, columns=["n_tokens", "n_tokens_edited", "n_words", "n_reencoded"])
+        try:
+            for texts in batches:
+                rows = []
+                for text in texts:
+                    tree = TokenTree(text or "", ids)
+                    before, words = tree.total, len((text or "").encode().split())
+                    for start, end, new in edits(text or ""):
+                        tree.edit(start, end, new)
+                    rows.append((before, tree.total, words, tree.reencoded))
+                yield pd.DataFrame(rows, columns=["n_tokens", "n_tokens_edited", "n_words", "n_reencoded"])
+        finally:
+            ids.clear()
 
     return docs.select("doc_id", count(F.col("text")).alias("c")).select("doc_id", "c.*")
