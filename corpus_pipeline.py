@@ -5,6 +5,11 @@
 3. secrets: secrets are masked in the texts; no document goes.
 4. mixing: documents are taken, left out or repeated until the sources have their target weights.
 5. packing: token ids are packed into sequences.
+
+Null and empty texts are scored like others; where they are kept they have no near duplicates and no
+secrets, count 0 words in the mixture and pack as the end token alone. Of rows that repeat a doc_id
+one stays after the second stage. Equal doc_ids and texts give equal decisions; no documents give no
+sequences.
 """
 
 from __future__ import annotations
@@ -26,9 +31,10 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return docs.withColumn("text", secrets.redacted(F.col("text"))).withColumn(
-        "n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)
-    )
+    docs = docs.withColumn("text", secrets.redacted(F.col("text")))
+    if "n_chars" in docs.columns:
+        docs = docs.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return docs
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
