@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+import ctypes
+import gc
+from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -70,6 +72,28 @@ def text_blocks(column: pa.Array, most_bytes: int = 1_000_000) -> Iterator[tuple
         yield start, len(sizes), column.slice(start).to_pylist()
 
 
+def release() -> None:
+    """Give the free memory of a Python worker back to the system: Spark keeps workers for later
+    tasks, and what one stage needed at its peak would stand beside the next one's."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only glibc has it
+    if trim:
+        trim(0)
+
+
+def released(work: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """The same work on a task's batches, with :func:`release` at its end."""
+
+    def run(batches: Iterator) -> Iterator:
+        try:
+            yield from work(batches)
+        finally:
+            release()
+
+    return run
+
+
 def bound_rows(frame: DataFrame, order: Sequence[Column], rows: int, by: Sequence[str] = ()) -> DataFrame:
     """At most ``rows`` rows, per value of ``by`` if given, the first by ``order``.
 

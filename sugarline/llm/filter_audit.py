@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sugarline.llm.common import stored
+from sugarline.llm.common import released, stored
 
 FILTERS = "ABCDE"
 #: Cells of one row of the merged sketch.
@@ -61,7 +61,7 @@ def masked(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(masks, pa.int32())], names=[*others, "mask"])
 
     frame = docs.select(*others, "text")
-    return frame.mapInArrow(judge, frame.drop("text").withColumn("mask", F.lit(0)).schema)
+    return frame.mapInArrow(released(judge), frame.drop("text").withColumn("mask", F.lit(0)).schema)
 
 
 def cell_bits(n: int, cells: int = 16, most: int = 29) -> int:
@@ -125,8 +125,8 @@ def repeat_bitmap(hashes: DataFrame, bits: int, flush: int = 2_000_000) -> np.nd
         if segment is not None:
             yield row(segment, counts)
 
-    sent = hashes.select("h").mapInArrow(sketch, "segment int, cells binary")
-    merged = sent.repartition("segment").sortWithinPartitions("segment").mapInArrow(merge, "segment int, bitmap binary")
+    sent = hashes.select("h").mapInArrow(released(sketch), "segment int, cells binary")
+    merged = sent.repartition("segment").sortWithinPartitions("segment").mapInArrow(released(merge), "segment int, bitmap binary")
     bitmap = np.zeros((1 << bits) // 8, np.uint8)
     wide = (low + 1) // 8
     for segment, data in merged.toPandas().itertuples(index=False):

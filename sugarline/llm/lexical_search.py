@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
 
-from sugarline.llm.common import blocks, stored
+from sugarline.llm.common import blocks, released, stored
 
 #: Terms are runs of ASCII letters and digits and of anything beyond ASCII; A-Z in lower case.
 _TERMS = bytes(
@@ -171,7 +171,7 @@ def postings(docs: DataFrame, vocabulary: list[bytes]) -> DataFrame:
                     names=["doc_id", "n", "terms", "counts"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(read, "doc_id bigint, n bigint, terms binary, counts binary")
+    return docs.select("doc_id", "text").mapInArrow(released(read), "doc_id bigint, n bigint, terms binary, counts binary")
 
 
 def document_frequencies(rows: DataFrame, width: int) -> np.ndarray:
@@ -184,7 +184,7 @@ def document_frequencies(rows: DataFrame, width: int) -> np.ndarray:
         held = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(total[held])], names=["term", "df"])
 
-    counted = rows.select("terms").mapInArrow(count, "term bigint, df bigint").groupBy("term").agg(F.sum("df").alias("df"))
+    counted = rows.select("terms").mapInArrow(released(count), "term bigint, df bigint").groupBy("term").agg(F.sum("df").alias("df"))
     found = counted.toPandas()  # a row for each query term at most
     out = np.zeros(width, np.int64)
     out[found["term"].to_numpy(np.int64)] = found["df"].to_numpy(np.int64)
@@ -228,7 +228,7 @@ def best_of_tasks(rows: DataFrame, plans: list[Plan], weight: np.ndarray, docume
             [pa.array(numbers), pa.array(ids, mask=ids == NO_ID), pa.array(scores)], names=["item", "doc_id", "score"]
         )
 
-    return rows.mapInArrow(score, "item bigint, doc_id bigint, score bigint")
+    return rows.mapInArrow(released(score), "item bigint, doc_id bigint, score bigint")
 
 
 def item_terms(items: DataFrame) -> DataFrame:
@@ -240,7 +240,7 @@ def item_terms(items: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.binary()))], names=["item_id", "terms"])
 
     kind = items.schema["item_id"].dataType.simpleString()
-    rows = items.select("item_id", "text").mapInArrow(read, f"item_id {kind}, terms array<binary>")
+    rows = items.select("item_id", "text").mapInArrow(released(read), f"item_id {kind}, terms array<binary>")
     return rows.groupBy("item_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("terms")))).alias("terms"))
 
 
@@ -271,7 +271,7 @@ def plans_of(items: list[Row], vocabulary: dict[bytes, int], spark, block: int =
                 held[b].append((number, own))
         yield pa.RecordBatch.from_pydict({"plan": pa.array([pickle.dumps(mine(part, width)) for part in held.values()], pa.binary())})
 
-    mined = frame.repartition(len(packed), "block").mapInArrow(work, "plan binary")
+    mined = frame.repartition(len(packed), "block").mapInArrow(released(work), "plan binary")
     return [pickle.loads(row.plan) for row in mined.collect()]
 
 

@@ -32,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sugarline.llm.common import stored, text_blocks
+from sugarline.llm.common import released, stored, text_blocks
 from sugarline.llm.shingles import canonical, mixed, shingle_sets
 
 #: Ids of classes without any doc_id start here; counts of frequent tokens lie below the other value.
@@ -84,7 +84,7 @@ def classes_of(docs: DataFrame) -> DataFrame:
                     names=["doc_id", "n_shingles", "class"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(describe, "doc_id bigint, n_shingles bigint, class bigint")
+    return docs.select("doc_id", "text").mapInArrow(released(describe), "doc_id bigint, n_shingles bigint, class bigint")
 
 
 def _buckets(spark: SparkSession) -> int:
@@ -144,7 +144,7 @@ def _groups(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 #: Bytes of text whose prefix tokens are sent together.
-PREFIX_BYTES = 8_000_000
+PREFIX_BYTES = 4_000_000
 
 
 def prefix_rows(docs: DataFrame, percent: int, longer: float, bits: int) -> DataFrame:
@@ -196,7 +196,7 @@ def prefix_rows(docs: DataFrame, percent: int, longer: float, bits: int) -> Data
             )
 
     schema = "bucket int, data binary, class bigint, found bigint, needed bigint"
-    return docs.select("text").mapInArrow(post, schema)
+    return docs.select("text").mapInArrow(released(post), schema)
 
 
 def surviving_classes(docs: DataFrame, percent: int, longer: float = 0.15) -> DataFrame:
@@ -220,7 +220,7 @@ def surviving_classes(docs: DataFrame, percent: int, longer: float = 0.15) -> Da
 
     rows = prefix_rows(docs, percent, longer, _buckets(docs.sparkSession))
     counted = rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(
-        count, "key bigint, found bigint, needed bigint"
+        released(count), "key bigint, found bigint, needed bigint"
     )
     return (
         counted.groupBy("key")
@@ -246,19 +246,31 @@ def class_sets(docs: DataFrame) -> DataFrame:
                 names=["class", "n", "tokens"],
             )
 
-    return docs.select("text").mapInArrow(build, "class bigint, n bigint, tokens array<bigint>")
+    return docs.select("text").mapInArrow(released(build), "class bigint, n bigint, tokens array<bigint>")
 
 
-def shared_tokens(sets: DataFrame, often: int = 32, piece: int = 20_000) -> DataFrame:
+def _by_tokens(batch: pa.RecordBatch, most: int) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch in ranges of about ``most`` tokens (column 1)."""
+    ends = np.cumsum(pc.fill_null(pc.list_value_length(batch.column(1)), 0).to_numpy())
+    start = 0
+    while start < batch.num_rows:
+        before = ends[start - 1] if start else 0
+        past = max(start + 1, int(np.searchsorted(ends, before + most, "right")))
+        yield batch.slice(start, past - start)
+        start = past
+
+
+def shared_tokens(sets: DataFrame, often: int = 16, piece: int = 20_000, most: int = 1_000_000) -> DataFrame:
     """(id, token, df) of the tokens that two sets or more have.
 
-    Tokens that a batch has ``often`` times do not all go to the token's bucket: that gets their
-    count, and the batch's (id, token) go elsewhere in pieces of ``piece``, to meet the df later.
+    Tokens that a range of sets (of about ``most`` tokens) has ``often`` times do not all go to the
+    token's bucket: that gets their count, and the range's (id, token) go elsewhere in pieces of
+    ``piece``, to meet the df later.
     """
     bits = _buckets(sets.sparkSession)
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in _by_tokens(whole, most)):
             lists = batch.column(1)
             tokens = lists.flatten().to_numpy().view(np.uint64)
             owner = np.repeat(batch.column(0).to_numpy(), np.diff(lists.offsets.to_numpy()))
@@ -318,8 +330,8 @@ def shared_tokens(sets: DataFrame, often: int = 32, piece: int = 20_000) -> Data
             [pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.nulls(len(pairs), pa.int64())], names=["id", "token", "df"]
         )
 
-    rows = sets.select("id", "tokens").mapInArrow(post, "bucket int, data binary, frequent binary")
-    found = rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(count, "id bigint, token bigint, df bigint")
+    rows = sets.select("id", "tokens").mapInArrow(released(post), "bucket int, data binary, frequent binary")
+    found = rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(released(count), "id bigint, token bigint, df bigint")
     found = stored(found, "shared")
     hot = found.where("id IS NULL").select("token", "df")
     waiting = found.where("df IS NULL").select("id", "token")

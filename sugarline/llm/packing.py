@@ -19,7 +19,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from sugarline.llm.common import text_blocks
+from sugarline.llm.common import released, text_blocks
 from sugarline.llm.tokens import default_tokenizer, word_ids
 
 SCHEMA = (
@@ -140,4 +140,4 @@ def packed(docs: DataFrame, capacity: int = 2048, end_id: int = 1, tokenizer: st
         finally:
             ids.clear()
 
-    return docs.select("doc_id", "text").mapInArrow(fill, SCHEMA)
+    return docs.select("doc_id", "text").mapInArrow(released(fill), SCHEMA)

@@ -144,8 +144,9 @@ def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.without_repeats(documents(spark, sf_dir, "doc_id", "text")).select(
-        "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256")
-    )
+        "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"),
+        (F.col("n_removed") > 0).alias("has_repeats"), "kept",
+    )
 
 
 @query

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sugarline.llm.common import stored
+from sugarline.llm.common import released, stored
 from sugarline.llm.shingles import mixed
 from sugarline.llm.suffixes import Shard
 
@@ -117,7 +117,7 @@ def segment_rows(docs: DataFrame, size: int, gram: int) -> DataFrame:
                 )
 
     return docs.select("text").mapInArrow(
-        cut, "anchor bigint, content bigint, key binary, start bigint, windows bigint, inner boolean"
+        released(cut), "anchor bigint, content bigint, key binary, start bigint, windows bigint, inner boolean"
     )
 
 
@@ -161,7 +161,7 @@ def segment_bytes(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
                 names=["anchor", "content", "part"],
             )
 
-    return found.mapInArrow(cut, "anchor bigint, content bigint, part binary")
+    return found.mapInArrow(released(cut), "anchor bigint, content bigint, part binary")
 
 
 def repeated_windows(parts: DataFrame, size: int, shard_bytes: int = 1_000_000) -> DataFrame:
@@ -201,7 +201,7 @@ def repeated_windows(parts: DataFrame, size: int, shard_bytes: int = 1_000_000)
             yield from _merged(waiting, size, shard_bytes)
 
     dealt = parts.repartition("anchor").sortWithinPartitions("anchor")
-    return dealt.mapInArrow(sort, "anchor bigint, content bigint, first bigint, past bigint")
+    return dealt.mapInArrow(released(sort), "anchor bigint, content bigint, first bigint, past bigint")
 
 
 def _merged(rows: list[tuple[int, int, bytes]], size: int, shard_bytes: int) -> Iterator[pa.RecordBatch]:
@@ -281,4 +281,4 @@ def without_repeats(docs: DataFrame, size: int = SIZE, gram: int = GRAM) -> Data
                 names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"],
             )
 
-    return joined.mapInArrow(remove, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary")
+    return joined.mapInArrow(released(remove), "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary")

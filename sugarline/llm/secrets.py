@@ -18,6 +18,8 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sugarline.llm.common import release
+
 #: Kinds in the order in which spans with one start are listed.
 KINDS = ("assign", "access", "hex", "novel")
 #: Fixed patterns, and the least size of a match (of group 2 for assign).
@@ -225,5 +227,6 @@ def redacted(text: Column) -> Column:
     def clean(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
             yield pd.Series([None if t is None else redact(t, scan(t)[1]) for t in texts], dtype=object)
+        release()
 
     return clean(text)

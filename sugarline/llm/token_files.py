@@ -16,14 +16,12 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sugarline.llm import rans
 from sugarline.llm.bpe_ids import byte_bpe, default_tokenizer
-from sugarline.llm.common import blocks as text_blocks
-from sugarline.llm.common import stored
+from sugarline.llm.common import released, stored, text_blocks
 from sugarline.session import scratch_dir
 
 #: Ids of a block.
@@ -41,53 +39,67 @@ PIECES = "part int, ordinal bigint, doc_id bigint, at bigint, begun bigint, leng
 
 
 def tokenized(docs: DataFrame, path: str, end_id: int) -> DataFrame:
-    """doc_id, h, n and ids (16 or 32 bits each) of each row of ``docs`` (doc_id, h, text)."""
+    """doc_id, h, n and ids (16 or 32 bits each) of each row of ``docs`` (doc_id, h, text); and, as
+    rows with nothing but ``counts``, how often each task met every id (64 bits each)."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = byte_bpe(path)
         wide = 2 if ids.code == "H" else 4
         end = end_id.to_bytes(wide, "little")
+        counts = np.zeros(1, np.int64)
         for batch in batches:
-            texts = batch.column(2).to_pylist()
-            for a, b in text_blocks([t or "" for t in texts]):
-                found = [ids.of(t or "") + end for t in texts[a:b]]
+            for a, b, texts in text_blocks(batch.column(2)):
+                found = [ids.of(t or "") + end for t in texts]
+                counts = _added(counts, np.frombuffer(b"".join(found), f"<u{wide}"))
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(a, b - a).cast(pa.int64()),
                         batch.column(1).slice(a, b - a),
                         pa.array([len(f) // wide for f in found], pa.int64()),
                         pa.array(found, pa.binary()),
+                        pa.nulls(len(found), pa.binary()),
                     ],
-                    names=["doc_id", "h", "n", "ids"],
+                    names=["doc_id", "h", "n", "ids", "counts"],
                 )
+        none = [pa.nulls(1, t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.binary())]
+        yield pa.RecordBatch.from_arrays(
+            [*none, pa.array([counts.tobytes()], pa.binary())], names=["doc_id", "h", "n", "ids", "counts"]
+        )
+
+    schema = "doc_id bigint, h bigint, n bigint, ids binary, counts binary"
+    return docs.select("doc_id", "h", "text").mapInArrow(released(encode), schema)
+
 
-    return docs.select("doc_id", "h", "text").mapInArrow(encode, "doc_id bigint, h bigint, n bigint, ids binary")
+def _added(total: np.ndarray, ids: np.ndarray, most: int = 1 << 20) -> np.ndarray:
+    """``total`` with the number of each id added, ``most`` ids at a time."""
+    for at in range(0, len(ids), most):
+        found = np.bincount(ids[at : at + most], minlength=len(total))
+        found[: len(total)] += total
+        total = found
+    return total
 
 
-def _ids(data: bytes | memoryview, n: int) -> np.ndarray:
+def _ids(data: bytes, n: int) -> np.ndarray:
     """``n`` ids; the bytes of one follow from the numbers."""
     return np.frombuffer(data, "<u2" if len(data) == 2 * n else "<u4")
 
 
-def frequencies(rows: DataFrame, most_ids: int = 1 << 20) -> pd.DataFrame:
-    """symbol and count of all ids of ``rows`` (n, ids): one line for each id of the vocabulary at
-    most, counted by every task before anything is shuffled."""
+def frequencies(counts: DataFrame) -> pd.DataFrame:
+    """symbol and count of all ids, from the ``counts`` of the tasks: one line for each id of the
+    vocabulary at most."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(0, np.int64)
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1, np.int64)
         for batch in batches:
-            # The ids of a batch stand side by side
-            lists, n = batch.column(1), pa.compute.sum(batch.column(0)).as_py() or 0
-            places = np.frombuffer(lists.buffers()[1], np.int32)[lists.offset : lists.offset + len(lists) + 1]
-            ids = _ids(memoryview(lists.buffers()[2])[places[0] : places[-1]] if n else b"", n)
-            for at in range(0, n, most_ids):
-                found = np.bincount(ids[at : at + most_ids], minlength=len(total))
-                found[: len(total)] += total
-                total = found
+            for data in batch.column(0).to_pylist():
+                own = np.frombuffer(data, np.int64)
+                if len(own) > len(total):
+                    total = np.concatenate([total, np.zeros(len(own) - len(total), np.int64)])
+                total[: len(own)] += own
         symbols = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(symbols), pa.array(total[symbols])], names=["symbol", "count"])
 
-    counted = rows.select("n", "ids").mapInArrow(count, "symbol bigint, count bigint")
+    counted = counts.mapInArrow(released(spread), "symbol bigint, count bigint")
     return counted.groupBy("symbol").agg(F.sum("count").alias("count")).toPandas().sort_values("symbol")
 
 
@@ -156,7 +168,7 @@ def write_token_files(
     text = F.coalesce("text", F.lit(""))
     rows = docs.select("doc_id", F.xxhash64(text).alias("h"), text.alias("text"))
     ids = stored(tokenized(rows, tokenizer or default_tokenizer(), end_id), "token-ids")
-    counts = frequencies(ids)
+    counts = frequencies(ids.where("counts IS NOT NULL").select("counts"))
     spark.createDataFrame(counts, "symbol bigint, count bigint").coalesce(1).write.parquet(f"{path}/table")
     shared = spark.sparkContext.broadcast(
         (counts["symbol"].to_numpy(np.int64).tobytes(), counts["count"].to_numpy(np.int64).tobytes())
@@ -175,8 +187,8 @@ def write_token_files(
 
     # Equal rows may be many: a number of the row lets their range be cut
     order = [F.col("doc_id").asc_nulls_last(), F.col("h").asc(), F.col("row").asc()]
-    dealt = ids.withColumn("row", F.monotonically_increasing_id()).repartitionByRange(*order).sortWithinPartitions(*order)
-    dealt.select("doc_id", "n", "ids").mapInArrow(code, SCHEMA).write.parquet(f"{path}/blocks")
+    dealt = ids.where("n IS NOT NULL").withColumn("row", F.monotonically_increasing_id()).repartitionByRange(*order).sortWithinPartitions(*order)
+    dealt.select("doc_id", "n", "ids").mapInArrow(released(code), SCHEMA).write.parquet(f"{path}/blocks")
 
 
 def read_blocks(spark: SparkSession, path: str) -> DataFrame:
@@ -202,7 +214,7 @@ def pieces(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:
                     raise ValueError(f"block {row['block']} of part {row['part']} decodes to other ids")
                 yield _piece_rows(row, data, with_ids)
 
-    return read_blocks(spark, path).mapInArrow(read, PIECES + (", ids binary" if with_ids else ""))
+    return read_blocks(spark, path).mapInArrow(released(read), PIECES + (", ids binary" if with_ids else ""))
 
 
 def _piece_rows(row: dict, data: bytes, with_ids: bool) -> pa.RecordBatch:
