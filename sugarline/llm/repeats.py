@@ -5,8 +5,8 @@ leftmost one on ties. Equal windows have equal anchors, so
 
 1. runs of windows with one anchor (segments) are counted by anchor and by content. An anchor that
    occurs once has no repeated window. A segment whose content occurs twice is repeated as a whole.
-2. Of anchors with several contents, one segment of each content goes to the shard of its anchor.
-   A shard sorts its segments' suffixes and compares neighbours; shards of one anchor that became
+2. Of anchors with several contents, one segment of each content goes to the shard of its anchor;
+   anchors with very many are split by further anchors first. A shard sorts its segments' suffixes and compares neighbours; shards of one anchor that became
    too large for one sort are merged by binary search.
 3. The repeated windows go back to all texts that hold the segment, and their bytes are removed.
 
@@ -32,6 +32,8 @@ SIZE = 400
 GRAM = 48
 #: Low bits of a window key that hold the gram's place; texts are worked in blocks that fit.
 PLACE_BITS = 22
+#: Further orders that split an anchor, and how often it is split.
+ORDERS, LEVELS = 3, 3
 _BYTE = np.random.default_rng(20240102).integers(1, 1 << 63, 256, dtype=np.uint64)
 _BASE = 0x9E3779B97F4A7C15
 _tables: dict[str, np.ndarray] = {}
@@ -164,9 +166,86 @@ def segment_bytes(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     return found.mapInArrow(released(cut), "anchor bigint, content bigint, part binary")
 
 
-def repeated_windows(parts: DataFrame, size: int, shard_bytes: int = 1_000_000) -> DataFrame:
+def split_segments(parts: DataFrame, size: int, gram: int, level: int) -> DataFrame:
+    """Sub-segments of segments (anchor, content, part): under, content, anchor, above (content of
+    the segment), offset, windows, inner, part.
+
+    Windows of one anchor are told apart by the smallest grams under ``ORDERS`` further orders of
+    hash values, which equal windows share as well. What stands around a common passage differs, so
+    its windows part as soon as one of the orders chooses a gram outside of it.
+    """
+    seeds = np.random.default_rng([20240103, level]).integers(1, 1 << 63, ORDERS, dtype=np.uint64)
+    low = np.uint64((1 << PLACE_BITS) - 1)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for anchor, content, part in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                hashes = gram_hashes(np.frombuffer(part, np.uint8), gram)
+                n = len(part) - size + 1
+                under = np.full(n, np.int64(anchor)).view(np.uint64)
+                places = []
+                for seed in seeds:
+                    keys = (mixed(hashes ^ seed) & ~low) | np.arange(len(hashes), dtype=np.uint64)
+                    places.append((_window_minimum(keys, size - gram + 1) & low).astype(np.int64))
+                    under = mixed(under * np.uint64(31) + hashes[places[-1]])
+                starts = np.flatnonzero(np.concatenate([[True], under[1:] != under[:-1]]))
+                ends = np.append(starts[1:], n)
+                still = np.logical_and.reduce([p[starts] != p[ends - 1] for p in places])
+                for a, b, name, inner in zip(
+                    starts.tolist(), ends.tolist(), under[starts].view(np.int64).tolist(), still.tolist(), strict=True
+                ):
+                    piece = part[a : b + size - 1]
+                    rows.append((name, _content(piece), anchor, content, a, b - a, inner, piece))
+            columns = list(zip(*rows, strict=True)) or [[]] * 8
+            kinds = [*[pa.int64()] * 6, pa.bool_(), pa.binary()]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)],
+                names=["under", "content", "anchor", "above", "offset", "windows", "inner", "part"],
+            )
+
+    schema = "under bigint, content bigint, anchor bigint, above bigint, offset bigint, windows bigint, inner boolean, part binary"
+    return parts.select("anchor", "content", "part").mapInArrow(released(cut), schema)
+
+
+def repeated_windows(parts: DataFrame, size: int, gram: int, shard_bytes: int = 1_000_000, level: int = 0) -> DataFrame:
     """anchor, content, first, past: runs of window starts in a segment that occur elsewhere.
 
+    An anchor with more than a shard of segments (the edge of a very common passage) is split by
+    further anchors inside its windows, again if need be, up to ``LEVELS`` times; so no task holds
+    all of it.
+    """
+    sizes = parts.groupBy("anchor").agg(F.sum(F.octet_length("part")).alias("bytes"))
+    hot = stored(sizes.where(F.col("bytes") > shard_bytes).select("anchor"), "hot-anchors")
+    if level == LEVELS or hot.isEmpty():
+        return sorted_windows(parts, size, shard_bytes)
+    cold = sorted_windows(parts.join(hot, "anchor", "left_anti").select(parts.columns), size, shard_bytes)
+    wide = parts.join(hot, "anchor").dropDuplicates(["anchor", "content"])
+    subs = stored(split_segments(wide, size, gram, level), "sub-segments")
+    place = F.struct("anchor", "above", "offset")
+    contents = subs.groupBy("under", "content").agg(
+        F.min(place).alias("place"), (F.min(place) != F.max(place)).alias("twice"),
+        F.max("inner").alias("inner"), F.max("windows").alias("windows"),
+    )
+    contents = stored(contents, "sub-contents")
+    several = contents.groupBy("under").agg(F.count("*").alias("contents"))
+    wanted = contents.join(several, "under").where("contents > 1 OR (inner AND NOT twice)")
+    wanted = wanted.select("under", "content", "place.anchor", "place.above", "place.offset")
+    chosen = subs.join(wanted, ["under", "content", "anchor", "above", "offset"], "left_semi")
+    chosen = stored(chosen.select(F.col("under").alias("anchor"), "content", "part"), "sub-parts")
+    runs = repeated_windows(chosen, size, gram, shard_bytes, level + 1).withColumnRenamed("anchor", "under")
+    twice = contents.where("twice").select("under", "content", F.lit(0).cast("long").alias("first"), F.col("windows").alias("past"))
+    marks = twice.unionByName(runs.join(twice.select("under", "content"), ["under", "content"], "left_anti"))
+    back = subs.drop("part").join(marks, ["under", "content"]).select(
+        "anchor", F.col("above").alias("content"), (F.col("offset") + F.col("first")).alias("first"),
+        (F.col("offset") + F.col("past")).alias("past"),
+    )
+    return cold.unionByName(back)
+
+
+def sorted_windows(parts: DataFrame, size: int, shard_bytes: int) -> DataFrame:
+    """:func:`repeated_windows` by suffix arrays.
+
     A task sees its anchors one after the other. Anchors are sorted together until they make a
     shard; an anchor that is larger makes several shards, which are merged pairwise.
     """
@@ -226,7 +305,7 @@ def _merged(rows: list[tuple[int, int, bytes]], size: int, shard_bytes: int) ->
     )
 
 
-def without_repeats(docs: DataFrame, size: int = SIZE, gram: int = GRAM) -> DataFrame:
+def without_repeats(docs: DataFrame, size: int = SIZE, gram: int = GRAM, shard_bytes: int = 1_000_000) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept (binary) for each row of ``docs`` (doc_id, text).
 
     Removes every byte of a ``size``-byte string that also starts elsewhere in any text. Null texts
@@ -236,7 +315,8 @@ def without_repeats(docs: DataFrame, size: int = SIZE, gram: int = GRAM) -> Data
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     rows = segment_rows(docs, size, gram)
     found = stored(suspects(rows), "suspects")
-    runs = stored(repeated_windows(segment_bytes(docs, found.where("several"), size), size), "runs")
+    parts = stored(segment_bytes(docs, found.where("several"), size), "segments")
+    runs = stored(repeated_windows(parts, size, gram, shard_bytes), "runs")
     whole = found.where("twice").select("anchor", "content", F.lit(0).cast("long").alias("first"), F.col("windows").alias("past"))
     partial = runs.join(found.where("twice").select("anchor", "content"), ["anchor", "content"], "left_anti")
     marks = whole.unionByName(partial)
