@@ -1,4 +1,7 @@
-"""Vendor JSON documents: ``{"sgs": [{"timestamp": <epoch ms>, "sg": <number>}, ...]}``."""
+"""Vendor JSON documents: ``{"sgs": [{"timestamp": <epoch ms>, "sg": <number>}, ...]}``.
+
+Files are read in byte ranges (see ``json_ranges``); streams and documents held as text as a whole.
+"""
 
 from __future__ import annotations
 
@@ -7,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from sugarline import constants as C
 from sugarline.functions import parsing
 from sugarline.functions.once import once
+from sugarline.sources import json_ranges
 
 NUMERIC_TYPE = "^(TINYINT|SMALLINT|INT|BIGINT|FLOAT|DOUBLE|DECIMAL)"
 
@@ -45,6 +49,18 @@ def explode_entries(docs: DataFrame) -> DataFrame:
     )
 
 
+def parse_entries(entries: DataFrame) -> DataFrame:
+    """The same columns as :func:`explode_entries`, from entries held as text."""
+    kept = [c for c in entries.columns if c != "entry"]
+    members = """struct(try_variant_get(try_parse_json(entry), '$.timestamp', 'variant') AS t,
+        try_variant_get(try_parse_json(entry), '$.sg', 'variant') AS v)"""
+    fields = """
+        schema_of_variant(p.t) AS ts_type, try_variant_get(p.t, '$', 'double') AS ts_number,
+        schema_of_variant(p.v) AS sg_type, try_variant_get(p.v, '$', 'string') AS sg_text,
+        try_variant_get(p.v, '$', 'double') AS sg_number"""
+    return entries.selectExpr(*kept, f"inline(transform(array({members}), p -> struct({fields})))")
+
+
 def drop_empty_json(entries: DataFrame) -> DataFrame:
     """Entries whose timestamp is a number other than 0 and whose value is neither 0 nor empty.
 
@@ -69,11 +85,21 @@ def parse_documents(docs: DataFrame) -> DataFrame:
 
     Bad entries and documents give none.
     """
-    valid = drop_nonpositive(drop_empty_json(explode_entries(docs)))
+    return _readings(explode_entries(docs))
+
+
+def _readings(entries: DataFrame) -> DataFrame:
+    valid = drop_nonpositive(drop_empty_json(entries))
     kept = [c for c in valid.columns if c != "ts_number"]
     timed = valid.select(*kept, once(ts=parsing.epoch_ms_to_ts(F.col("ts_number"))))
     return timed.where(F.col("ts").isNotNull()).withColumn("units", F.lit(C.UNITS))
 
 
-def read_cgm_json(spark: SparkSession, path: str) -> DataFrame:
-    return parse_documents(read_documents(spark, path))
+def read_cgm_json(spark: SparkSession, path: str, in_parts: bool = False) -> DataFrame:
+    """Readings of all JSON documents of a folder; one of any size is read by many tasks.
+
+    ``in_parts``: each document is a folder ``file_name=<name>`` of part files, as jobs write them.
+    ``pos`` ascends through the document.
+    """
+    records = json_ranges.read_part_records(spark, path) if in_parts else json_ranges.read_records(spark, path)
+    return _readings(parse_entries(json_ranges.entries(records)))
