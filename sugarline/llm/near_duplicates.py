@@ -29,6 +29,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -230,23 +231,34 @@ def surviving_classes(docs: DataFrame, percent: int, longer: float = 0.15) -> Da
     )
 
 
-def class_sets(docs: DataFrame) -> DataFrame:
-    """class, n and tokens of the texts of ``docs``; a block of texts gives a class once."""
+def class_sets(docs: DataFrame, wanted: Broadcast | None = None) -> DataFrame:
+    """doc_id, class, n and tokens of the texts of ``docs`` (doc_id, text), of those only whose id's
+    bit is set in ``wanted`` if given (see :func:`bitmap_of`).
+
+    The test stands in the same function as the sets, so that a task needs one Python worker.
+    """
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for raw in (raw for batch in batches for _, _, raw in text_blocks(batch.column(0), PREFIX_BYTES)):
-            texts = [t for t in dict.fromkeys(canonical(t) for t in raw) if t]
-            sets = [s.view(np.int64) for s in shingle_sets(texts)]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([_class_key(t) for t in texts], pa.int64()),
-                    pa.array([len(s) for s in sets], pa.int64()),
-                    pa.array(sets, pa.list_(pa.int64())),
-                ],
-                names=["class", "n", "tokens"],
-            )
+        for batch in batches:
+            if wanted is not None:
+                at = batch.column(2).to_numpy()
+                batch = batch.filter(pa.array((wanted.value[at >> 6] >> (at & 63)) & 1 == 1))
+            for a, b, raw in text_blocks(batch.column(1), PREFIX_BYTES):
+                texts = [canonical(t) for t in raw]
+                sets = [s.view(np.int64) for s in shingle_sets(texts)]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column(0).slice(a, b - a),
+                        pa.array([_class_key(t) if t else None for t in texts], pa.int64()),
+                        pa.array([len(s) for s in sets], pa.int64()),
+                        pa.array(sets, pa.list_(pa.int64())),
+                    ],
+                    names=["doc_id", "class", "n", "tokens"],
+                )
 
-    return docs.select("text").mapInArrow(released(build), "class bigint, n bigint, tokens array<bigint>")
+    columns = [F.col("doc_id").cast("bigint").alias("doc_id"), "text", place_of(F.col("doc_id")).alias("place")]
+    found = docs.select(*columns).mapInArrow(released(build), "doc_id bigint, class bigint, n bigint, tokens array<bigint>")
+    return found.where("class IS NOT NULL")
 
 
 def _by_tokens(batch: pa.RecordBatch, most: int) -> Iterator[pa.RecordBatch]:
@@ -457,27 +469,26 @@ def linked_components(
     return components(reduce(DataFrame.union, links))
 
 
-def maybe_in(key: Column, keys: DataFrame, bits: int = 24) -> Column:
-    """False for most values that are not in the one column of ``keys``, true for all that are.
+#: Bits that name a bit of a bitmap: 2 MB whatever the data; with very many keys it lets more by.
+PLACE_BITS = 24
+
+
+def place_of(key: Column) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(1 << PLACE_BITS))
 
-    Put before a semi-join, it keeps rows without a partner out of the shuffle. The bitmap behind it
-    has 2^bits bits (2 MB by default) whatever the data; with very many keys it lets more rows by.
+
+def bitmap_of(keys: DataFrame) -> Broadcast:
+    """A bit for the place of each of the values of the one column of ``keys``.
+
+    Tested before a semi-join, it keeps most rows without a partner out of the shuffle.
     """
-    place = F.pmod(F.xxhash64(keys.columns[0]), F.lit(1 << bits))
     bit = F.expr("shiftleft(1L, CAST(place & 63 AS INT))")
-    words = keys.select(place.alias("place")).select(F.shiftright("place", 6).alias("word"), bit.alias("bit"))
+    words = keys.select(place_of(F.col(keys.columns[0])).alias("place"))
+    words = words.select(F.shiftright("place", 6).alias("word"), bit.alias("bit"))
     found = words.groupBy("word").agg(F.bit_or("bit").alias("set")).toPandas()
-    bitmap = np.zeros(1 << max(bits - 6, 0), np.int64)
+    bitmap = np.zeros(1 << PLACE_BITS - 6, np.int64)
     bitmap[found["word"].to_numpy(np.int64)] = found["set"].to_numpy(np.int64)
-    shared = keys.sparkSession.sparkContext.broadcast(bitmap)
-
-    @F.pandas_udf("boolean")
-    def test(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for places in batches:
-            at = places.to_numpy(np.int64)
-            yield pd.Series((shared.value[at >> 6] >> (at & 63)) & 1 == 1)
-
-    return test(F.pmod(F.xxhash64(key), F.lit(1 << bits)))
+    return keys.sparkSession.sparkContext.broadcast(bitmap)
 
 
 def labelled(docs: DataFrame, percent: int) -> DataFrame:
@@ -508,9 +519,9 @@ def labelled(docs: DataFrame, percent: int) -> DataFrame:
     # One text of each class: that of its smallest id; classes without ids are looked for by class
     def named(own: DataFrame) -> DataFrame:
         wanted = own.select(F.col("head").alias("doc_id")).distinct()
-        return class_sets(docs.where(maybe_in(F.col("doc_id"), wanted)).join(wanted, "doc_id", "left_semi"))
+        return class_sets(docs, bitmap_of(wanted)).join(wanted, "doc_id", "left_semi").drop("doc_id")
 
-    unnamed = class_sets(docs.where("doc_id IS NULL")).dropDuplicates(["class"])
+    unnamed = class_sets(docs.where("doc_id IS NULL")).dropDuplicates(["class"]).drop("doc_id")
     once, again = chosen.where("head IS NOT NULL AND NOT repeats"), chosen.where("repeats")
     sets = named(once).join(once.select("class", "id"), "class").unionByName(
         unnamed.join(chosen.where("head IS NULL").select("class", "id"), "class")
