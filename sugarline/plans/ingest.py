@@ -148,9 +148,12 @@ def ingest_json(
     store_path: str,
     subject: str | Column,
     ingest_seq: int | None = None,
+    in_parts: bool = False,
 ) -> IngestResult:
-    """``subject`` is one subject's id, or an expression over ``source`` for a folder of many."""
-    docs = json_docs.read_documents(spark, path)
+    """``subject`` is one subject's id, or an expression over ``source`` for a folder of many.
+
+    ``in_parts``: each document is a folder of part files, as jobs write them.
+    """
     subject = F.lit(subject) if isinstance(subject, str) else subject
-    readings = json_docs.parse_documents(docs).withColumn("subject_id", subject)
-    return ingest(readings, docs.select("source"), store_path, ingest_seq)
+    readings = json_docs.read_cgm_json(spark, path, in_parts).withColumn("subject_id", subject)
+    return ingest(readings, json_docs.read_sources(spark, path, in_parts), store_path, ingest_seq)

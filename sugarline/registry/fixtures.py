@@ -236,6 +236,23 @@ def json_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def json_files(spark: SparkSession, sf_dir: str) -> str:
+    """A folder with one document per subject, each a folder of parts: the entries of all its events,
+    usable and bad ones, in one list; and a document without a list."""
+    docs = json_documents(spark, sf_dir).where(F.startswith("text", F.lit('{"sgs":[{"timestamp":')) & F.endswith("text", F.lit("]}")))
+    name = F.concat("subject_id", F.lit(".json")).alias("file_name")
+    inner = F.expr("substr(text, 9, length(text) - 10)")
+    data = docs.select(name, F.col("source").cast("bigint").alias("pos"), F.concat(F.lit(","), inner).alias("line"))
+    ends = F.inline(
+        F.array(
+            F.struct(F.lit(-1).cast("bigint").alias("pos"), F.lit('{"other":["}"],"sgs":[null').alias("line")),
+            F.struct(F.lit((1 << 63) - 1).alias("pos"), F.lit("]}").alias("line")),
+        )
+    )
+    lines = data.unionByName(data.select("file_name").distinct().select("file_name", ends))
+    return write_parts(lines.unionByName(spark.createDataFrame([("none.json", 0, '{"sgs":null}')], lines.schema)), "documents")
+
+
 JSON_CTE = """documents_used AS (
   SELECT CAST(event_id AS VARCHAR) AS source, CAST(user_id AS VARCHAR) AS subject_id,
          date_trunc('millisecond', ts) AS ts,

@@ -292,16 +292,30 @@ def csv_tallies(spark, sf_dir):
     return report.tallies.withColumn("source", _export_name())
 
 
-def _json_readings(spark, sf_dir):
-    docs = fx.json_documents(spark, sf_dir)
-    return docs, json_docs.parse_documents(docs)
+JSON_FILES_CTE = f"""{fx.JSON_CTE},
+file_readings AS (SELECT subject_id || '.json' AS source, subject_id, ts, glucose_mg_dl FROM json_readings)"""
 
 
-@query(_ingest_sql(fx.JSON_CTE, "json_readings"))
+@query(_ingest_sql(JSON_FILES_CTE, "file_readings"))
 def ingest_json(spark, sf_dir):
-    docs, readings = _json_readings(spark, sf_dir)
+    """Documents of a folder, stored and reported on."""
+    subject = F.split_part("source", F.lit("."), F.lit(1))
     store = scratch_dir(spark, "readings")
-    return ingest.ingest(readings, docs.select("source"), store, 1).results
+    return ingest.ingest_json(spark, fx.json_files(spark, sf_dir), store, subject, 1, in_parts=True).results
+
+
+@query(f"WITH {JSON_FILES_CTE} SELECT source, ts, glucose_mg_dl FROM file_readings")
+def read_cgm_json_files(spark, sf_dir):
+    """Readings of documents that are read in byte ranges."""
+    readings = json_docs.read_cgm_json(spark, fx.json_files(spark, sf_dir), in_parts=True)
+    return readings.select("source", "ts", "glucose_mg_dl")
+
+
+@query(f"WITH {fx.XML_CTE} SELECT subject_id, stream, ts, value, detail FROM xml_events WHERE split = 'testing'")
+def read_event_xml_files(spark, sf_dir):
+    """Events of documents that are read in byte ranges."""
+    events = xml_events.read_split(spark, fx.xml_files(spark, sf_dir), "testing", in_parts=True)
+    return events.select("subject_id", "stream", "ts", "value", "detail")
 
 
 @query(

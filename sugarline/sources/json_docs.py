@@ -5,11 +5,14 @@ Files are read in byte ranges (see ``json_ranges``); streams and documents held
 
 from __future__ import annotations
 
+from urllib.parse import unquote
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from sugarline import constants as C
 from sugarline.functions import parsing
 from sugarline.functions.once import once
+from sugarline.session import list_folders
 from sugarline.sources import json_ranges
 
 NUMERIC_TYPE = "^(TINYINT|SMALLINT|INT|BIGINT|FLOAT|DOUBLE|DECIMAL)"
@@ -29,6 +32,15 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
     return documents(reader.text(path, wholetext=True))
 
 
+def read_sources(spark: SparkSession, path: str, in_parts: bool = False) -> DataFrame:
+    """Names of all JSON documents of a folder; contents are not read."""
+    if in_parts:
+        names = [(unquote(f.split("file_name=", 1)[1]),) for f in list_folders(spark, path) if "file_name=" in f]
+        return spark.createDataFrame(names, "source string")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.json").load(path)
+    return files.select(F.col("_metadata.file_path").alias("source"))
+
+
 def explode_entries(docs: DataFrame) -> DataFrame:
     """One row per entry: type and number of the timestamp, type, text and number of the value.
 
