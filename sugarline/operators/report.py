@@ -12,6 +12,7 @@ from sugarline import constants as C
 from sugarline.functions.clinical import in_range
 from sugarline.functions.exact import exact_avg
 from sugarline.functions.rounding import scaled_rint
+from sugarline.session import ship_package
 
 GLUCOSE = "glucose_mg_dl"
 TOTAL = "total"
@@ -95,6 +96,7 @@ def gram_moments(features: DataFrame, columns: tuple[str, ...]) -> DataFrame:
     A batch is centred once for each pattern, and one matrix product gives all its co-moments. A
     task sends a row for each pattern, so 2^columns at most.
     """
+    ship_package(features.sparkSession)
     k = len(columns)
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

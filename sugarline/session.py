@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -27,22 +29,51 @@ def build_session(app_name: str = "sugarline", master: str | None = None, **conf
     }
     for key, value in settings.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    ship_package(spark)
+    return spark
 
 
-def scratch_dir(spark: SparkSession, label: str) -> str:
-    """A new path below the cluster's shared folder (``spark.checkpoint.dir``).
+_shipped: set[str] = set()
 
-    A local session without that setting uses a temporary folder. On a cluster each executor would
-    write its own copy of such a folder, so there the setting is required.
-    """
+
+def ship_package(spark: SparkSession) -> None:
+    """Send the library to the executors, once for each application, so that Python code in tasks
+    finds it wherever they run."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    package = os.path.dirname(os.path.abspath(__file__))
+    # The folder lives as long as the driver, which serves the file
+    folder = os.path.realpath(tempfile.mkdtemp(prefix="sugarline-code-"))
+    name = os.path.basename(package)
+    context.addPyFile(shutil.make_archive(f"{folder}/{name}", "zip", os.path.dirname(package), name))
+    _shipped.add(context.applicationId)
+
+
+def _scratch_root(spark: SparkSession) -> str:
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         master = spark.conf.get("spark.master", "")
         if master != "local" and not master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        root = tempfile.mkdtemp(prefix="sugarline-")
-    return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+        root = tempfile.gettempdir()
+    return f"{root.rstrip('/')}/sugarline-{spark.sparkContext.applicationId}"
+
+
+def scratch_dir(spark: SparkSession, label: str) -> str:
+    """A new path below the application's folder in the cluster's shared one
+    (``spark.checkpoint.dir``). Results read what stands there; :func:`clear_scratch` removes it.
+
+    A local session without that setting uses a temporary folder. On a cluster each executor would
+    write its own copy of such a folder, so there the setting is required.
+    """
+    return f"{_scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Remove all that this application keeps in the shared folder, when its results are written."""
+    remove(spark, _scratch_root(spark))
 
 
 @contextmanager

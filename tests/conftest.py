@@ -5,7 +5,7 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-from sugarline.session import build_session  # noqa: E402
+from sugarline.session import build_session, clear_scratch  # noqa: E402
 
 SF_SMALL = "/root/testdata/sf0.001"
 
@@ -23,4 +23,5 @@ def spark():
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session
+    clear_scratch(session)
     session.stop()
