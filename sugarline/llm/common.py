@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sugarline.session import scratch_dir
+from sugarline.session import scratch_dir, ship_package
 
 #: Word separators: blank and the five ASCII control separators (fixed value).
 BLANKS = " \t\n\x0b\x0c\r"
@@ -20,6 +20,7 @@ BLANK_RUN = "[ \\t\\n\\x0B\\f\\r]+"
 
 
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    ship_package(spark)
     table = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return table.select(*columns) if columns else table
 
