@@ -19,8 +19,20 @@ BLANKS = " \t\n\x0b\x0c\r"
 BLANK_RUN = "[ \\t\\n\\x0B\\f\\r]+"
 
 
+#: Rows of an Arrow batch; here a row holds a whole text.
+BATCH_ROWS = 2000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Let Spark send texts to Python in batches of few rows, so that neither side holds many."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(name)) > BATCH_ROWS:
+        spark.conf.set(name, BATCH_ROWS)
+
+
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     ship_package(spark)
+    small_batches(spark)
     table = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return table.select(*columns) if columns else table
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sugarline.llm.common import released, stored
+from sugarline.llm.common import released, small_batches, stored
 
 FILTERS = "ABCDE"
 #: Cells of one row of the merged sketch.
@@ -154,6 +154,7 @@ def document_masks(docs: DataFrame, hash_bits: int = 64) -> DataFrame:
     Copies are told by their whole texts: a hash stands for a text only where all texts that may
     have it were compared and proved equal; texts that share a hash are joined themselves.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select(
         "doc_id", F.coalesce("source", F.lit("")).alias("part"), text_hash(F.col("text"), hash_bits).alias("h"),
         F.coalesce("text", F.lit("")).alias("text"),

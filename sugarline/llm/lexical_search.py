@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
 
-from sugarline.llm.common import blocks, released, stored
+from sugarline.llm.common import blocks, released, small_batches, stored
 
 #: Terms are runs of ASCII letters and digits and of anything beyond ASCII; A-Z in lower case.
 _TERMS = bytes(
@@ -299,6 +299,7 @@ def ranked(docs: DataFrame, items: DataFrame, k: int = 50, terms_a_pass: int = T
 
 
 def _ranked_pass(docs: DataFrame, items: list[Row], kind: str, k: int) -> DataFrame:
+    small_batches(docs.sparkSession)
     spark = docs.sparkSession
     vocabulary = sorted({bytes(t) for item in items for t in item.terms})
     rows = stored(postings(docs, vocabulary), "query-postings")

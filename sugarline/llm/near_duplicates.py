@@ -33,7 +33,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sugarline.llm.common import released, stored, text_blocks
+from sugarline.llm.common import released, small_batches, stored, text_blocks
 from sugarline.llm.shingles import canonical, mixed, shingle_sets
 
 #: Ids of classes without any doc_id start here; counts of frequent tokens lie below the other value.
@@ -493,6 +493,7 @@ def bitmap_of(keys: DataFrame) -> Broadcast:
 
 def labelled(docs: DataFrame, percent: int) -> DataFrame:
     """doc_id, n_shingles, class and root (node id of the component) of each row."""
+    small_batches(docs.sparkSession)
     docs = docs.select("doc_id", "text")
     known = stored(classes_of(docs), "classes")
     nameless = F.lit(NAMELESS) + F.pmod(F.col("class"), F.lit(1 << 61))

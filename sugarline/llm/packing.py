@@ -19,7 +19,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from sugarline.llm.common import released, text_blocks
+from sugarline.llm.common import released, small_batches, text_blocks
 from sugarline.llm.tokens import default_tokenizer, word_ids
 
 SCHEMA = (
@@ -113,6 +113,7 @@ def packed(docs: DataFrame, capacity: int = 2048, end_id: int = 1, tokenizer: st
     needs; extra columns are ignored; no rows give no result. A sequence_id holds the task's number
     in its high bits, so ids of different tasks never meet.
     """
+    small_batches(docs.sparkSession)
     path = tokenizer or default_tokenizer()
     end = end_id.to_bytes(4, "little")
 

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sugarline.llm.common import bound_rows, id_bucket
+from sugarline.llm.common import bound_rows, id_bucket, small_batches
 
 FEATURES = (
     "log_words", "word_length", "long_words", "distinct_words", "top_word", "next_equal", "lines",
@@ -230,5 +230,6 @@ def predicted(docs: DataFrame, labels: DataFrame, fold: int = 1, folds: int = 3)
 
 def accepted(docs: DataFrame, labels: DataFrame, least: float = 0.5, fold: int = 1, folds: int = 3) -> DataFrame:
     """The rows of ``docs`` that score ``least`` or more, with all their columns."""
+    small_batches(docs.sparkSession)
     mine = labels.where(id_bucket(F.col("doc_id"), folds) != fold)
     return docs.where(scored(F.col("text"), train(docs, mine)) >= least)

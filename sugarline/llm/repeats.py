@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sugarline.llm.common import released, stored
+from sugarline.llm.common import released, small_batches, stored
 from sugarline.llm.shingles import mixed
 from sugarline.llm.suffixes import Shard
 
@@ -312,6 +312,7 @@ def without_repeats(docs: DataFrame, size: int = SIZE, gram: int = GRAM, shard_b
     count as empty; repeated rows are texts that occur twice; null ids stay null; extra columns are
     ignored; no rows give no result.
     """
+    small_batches(docs.sparkSession)
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     rows = segment_rows(docs, size, gram)
     found = stored(suspects(rows), "suspects")

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from sugarline.llm import rans
 from sugarline.llm.bpe_ids import byte_bpe, default_tokenizer
-from sugarline.llm.common import released, stored, text_blocks
+from sugarline.llm.common import released, small_batches, stored, text_blocks
 from sugarline.session import scratch_dir
 
 #: Ids of a block.
@@ -164,6 +164,7 @@ def write_token_files(
     over as many blocks as it needs. Extra columns are ignored. Ids are made once and kept in the
     shared folder, from which the frequencies are counted and the sorted blocks coded.
     """
+    small_batches(docs.sparkSession)
     spark = docs.sparkSession
     text = F.coalesce("text", F.lit(""))
     rows = docs.select("doc_id", F.xxhash64(text).alias("h"), text.alias("text"))
