@@ -56,7 +56,7 @@ class ByteBpe:
     """Ids of texts, for a byte-level BPE tokenizer. Keeps the ids of twice ``most_words`` words of
     up to 64 characters (about 200 bytes each)."""
 
-    def __init__(self, path: str, most_words: int = 400_000):
+    def __init__(self, path: str, most_words: int = 900_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
