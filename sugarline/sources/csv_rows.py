@@ -72,7 +72,8 @@ def _block_states(marked: DataFrame) -> DataFrame:
     summary = summary.select(
         *BLOCK,
         "_chars",
-        (F.size("_changes") > 0).alias("_changed"),
+        (F.size("_changes") == 0).alias("_unchanged"),
+        F.exists("_changes", lambda x: x["c"]).alias("_opens"),
         through(False).alias("_from_closed"),
         through(True).alias("_from_open"),
     )
@@ -80,13 +81,14 @@ def _block_states(marked: DataFrame) -> DataFrame:
     after = _composed(F.col("_fixed"), F.col("_swaps"), F.col("_at_fixed"), F.lit(False))
     before = F.lag(after, 1, False).over(Window.partitionBy("source").orderBy("block"))
     return (
-        composed.select(*BLOCK, "_chars", "_changed", before.alias("begins_open"))
-        .where(F.col("begins_open") | F.col("_changed"))
+        composed.select(*BLOCK, "_chars", "_unchanged", "_opens", before.alias("begins_open"))
+        # Where nothing is open at first and no line leaves a cell open, every line is a row
+        .where(F.col("begins_open") | F.col("_opens"))
         .select(
             *BLOCK,
             "begins_open",
             # The whole block lies inside one cell
-            (~F.col("_changed") & (F.col("_chars") > ROW_LIMIT)).alias("too_long"),
+            (F.col("_unchanged") & (F.col("_chars") > ROW_LIMIT)).alias("too_long"),
         )
     )
 
