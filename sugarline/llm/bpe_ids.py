@@ -9,6 +9,7 @@ from __future__ import annotations
 import re
 from array import array
 from functools import lru_cache
+from itertools import islice
 
 from sugarline.llm.tokens import _byte_letters
 
@@ -71,15 +72,19 @@ class ByteBpe:
 
     def of(self, text: str) -> bytes:
         """Ids of a whole text, little-endian."""
-        first, *rest = text.split(" ")
+        words = text.split(" ")
+        first = words[0]
+        plain = _LETTERS_ONLY.fullmatch(first)
         # The blank after the first word ends it only if no white space stands before
-        if first and rest and (first[-1].isspace() or any(s in first for s in self.special)):
+        if not plain and first and len(words) > 1 and (first[-1].isspace() or any(s in first for s in self.special)):
             return self._encode(text)
         try:
-            found = b"".join(map(self.words.__getitem__, rest))
+            found = b"".join(map(self.words.__getitem__, islice(words, 1, None)))
         except _Whole:
             return self._encode(text)
-        return self._encode(first) + found if first else found
+        if not first:
+            return found
+        return (self.bare[first] if plain else self._encode(first)) + found
 
     def _encode(self, text: str) -> bytes:
         return array(self.code, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()

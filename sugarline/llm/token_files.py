@@ -9,6 +9,7 @@ order, and a block from its checkpoints.
 
 from __future__ import annotations
 
+import gc
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -47,20 +48,24 @@ def tokenized(docs: DataFrame, path: str, end_id: int) -> DataFrame:
         wide = 2 if ids.code == "H" else 4
         end = end_id.to_bytes(wide, "little")
         counts = np.zeros(1, np.int64)
-        for batch in batches:
-            for a, b, texts in text_blocks(batch.column(2)):
-                found = [ids.of(t or "") + end for t in texts]
-                counts = _added(counts, np.frombuffer(b"".join(found), f"<u{wide}"))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0).slice(a, b - a).cast(pa.int64()),
-                        batch.column(1).slice(a, b - a),
-                        pa.array([len(f) // wide for f in found], pa.int64()),
-                        pa.array(found, pa.binary()),
-                        pa.nulls(len(found), pa.binary()),
-                    ],
-                    names=["doc_id", "h", "n", "ids", "counts"],
-                )
+        gc.disable()  # words and ids make no cycles; looking for some would walk through all words kept
+        try:
+            for batch in batches:
+                for a, b, texts in text_blocks(batch.column(2)):
+                    found = [ids.of(t or "") + end for t in texts]
+                    counts = _added(counts, np.frombuffer(b"".join(found), f"<u{wide}"))
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            batch.column(0).slice(a, b - a).cast(pa.int64()),
+                            batch.column(1).slice(a, b - a),
+                            pa.array([len(f) // wide for f in found], pa.int64()),
+                            pa.array(found, pa.binary()),
+                            pa.nulls(len(found), pa.binary()),
+                        ],
+                        names=["doc_id", "h", "n", "ids", "counts"],
+                    )
+        finally:
+            gc.enable()
         none = [pa.nulls(1, t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.binary())]
         yield pa.RecordBatch.from_arrays(
             [*none, pa.array([counts.tobytes()], pa.binary())], names=["doc_id", "h", "n", "ids", "counts"]
