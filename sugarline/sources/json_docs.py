@@ -13,7 +13,7 @@ from sugarline import constants as C
 from sugarline.functions import parsing
 from sugarline.functions.once import once
 from sugarline.session import list_folders
-from sugarline.sources import json_ranges
+from sugarline.sources import json_ranges, pieces
 
 NUMERIC_TYPE = "^(TINYINT|SMALLINT|INT|BIGINT|FLOAT|DOUBLE|DECIMAL)"
 
@@ -32,8 +32,10 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
     return documents(reader.text(path, wholetext=True))
 
 
-def read_sources(spark: SparkSession, path: str, in_parts: bool = False) -> DataFrame:
+def read_sources(spark: SparkSession, path: str, in_parts: bool = False, in_pieces: bool = False) -> DataFrame:
     """Names of all JSON documents of a folder; contents are not read."""
+    if in_pieces:
+        return pieces.read_names(spark, path).withColumnRenamed("file_name", "source")
     if in_parts:
         names = [(unquote(f.split("file_name=", 1)[1]),) for f in list_folders(spark, path) if "file_name=" in f]
         return spark.createDataFrame(names, "source string")
@@ -64,13 +66,15 @@ def explode_entries(docs: DataFrame) -> DataFrame:
 def parse_entries(entries: DataFrame) -> DataFrame:
     """The same columns as :func:`explode_entries`, from entries held as text."""
     kept = [c for c in entries.columns if c != "entry"]
-    members = """struct(try_variant_get(try_parse_json(entry), '$.timestamp', 'variant') AS t,
-        try_variant_get(try_parse_json(entry), '$.sg', 'variant') AS v)"""
+    # The lambdas bind the entry, so that it is parsed once
+    members = """struct(try_variant_get(e, '$.timestamp', 'variant') AS t,
+        try_variant_get(e, '$.sg', 'variant') AS v)"""
+    pair = f"transform(array(try_parse_json(entry)), e -> {members})"
     fields = """
         schema_of_variant(p.t) AS ts_type, try_variant_get(p.t, '$', 'double') AS ts_number,
         schema_of_variant(p.v) AS sg_type, try_variant_get(p.v, '$', 'string') AS sg_text,
         try_variant_get(p.v, '$', 'double') AS sg_number"""
-    return entries.selectExpr(*kept, f"inline(transform(array({members}), p -> struct({fields})))")
+    return entries.selectExpr(*kept, f"inline(transform({pair}, p -> struct({fields})))")
 
 
 def drop_empty_json(entries: DataFrame) -> DataFrame:
@@ -107,11 +111,14 @@ def _readings(entries: DataFrame) -> DataFrame:
     return timed.where(F.col("ts").isNotNull()).withColumn("units", F.lit(C.UNITS))
 
 
-def read_cgm_json(spark: SparkSession, path: str, in_parts: bool = False) -> DataFrame:
+def read_cgm_json(spark: SparkSession, path: str, in_parts: bool = False, in_pieces: bool = False) -> DataFrame:
     """Readings of all JSON documents of a folder; one of any size is read by many tasks.
 
     ``in_parts``: each document is a folder ``file_name=<name>`` of part files, as jobs write them.
-    ``pos`` ascends through the document.
+    ``in_pieces``: the folder is a table of pieces. ``pos`` ascends through the document.
     """
-    records = json_ranges.read_part_records(spark, path) if in_parts else json_ranges.read_records(spark, path)
+    if in_pieces:
+        records = json_ranges.read_piece_records(spark, path)
+    else:
+        records = json_ranges.read_part_records(spark, path) if in_parts else json_ranges.read_records(spark, path)
     return _readings(parse_entries(json_ranges.entries(records)))

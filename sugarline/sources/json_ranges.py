@@ -10,9 +10,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from sugarline.sources import pieces
+
 BLOCK = ["source", "block"]
-#: An escaped character; a whole string; a string that the record's end cuts off.
-ESCAPE, STRING, CUT = r"(?s)\\.", r'"[^"]*+"', r'"[^"]*+\z'
+#: An escaped character.
+ESCAPE = r"(?s)\\."
 #: Text up to and with a string, a bracket, or a colon.
 PIECE = r'(?s)[^\[\]{}":]*+(?:"(?:[^"\\]|\\.)*+"|[\[\]{}:])'
 #: An entry of more characters (over several records) is none: most likely its braces do not match.
@@ -50,15 +52,30 @@ def read_part_records(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def _outside(plain: Column, inside: bool) -> Column:
-    """What of a text without escapes stands outside of strings."""
-    text = F.concat(F.lit('"'), plain) if inside else plain
-    return F.regexp_replace(F.regexp_replace(text, STRING, ""), CUT, "")
+def read_piece_records(spark: SparkSession, path: str) -> DataFrame:
+    """The same of documents that are kept in pieces (see ``pieces``)."""
+    records = pieces.read_pieces(spark, path).select(
+        F.col("file_name").alias("source"),
+        "written_at",
+        pieces.block().alias("block"),
+        F.col("part").cast("string").alias("file"),
+        F.octet_length("text").cast("bigint").alias("size"),
+        # What follows the last brace is a record too, unless it is empty
+        F.posexplode(F.split(F.regexp_replace("text", r"\}\z", ""), r"\}")).alias("pos", "text"),
+    )
+    return records.where("size > 0").withColumn("pos", F.col("pos").cast("bigint"))
+
+
+def _brackets(text: Column) -> Column:
+    """Brackets that are opened less those that are closed."""
+    return F.length(F.translate(text, "]}", "")) - F.length(F.translate(text, "[{", ""))
 
 
-def _brackets(outside: Column) -> Column:
-    opened = F.length(F.regexp_replace(outside, r"[^\[{]", ""))
-    return opened - F.length(F.regexp_replace(outside, r"[^\]}]", ""))
+def _outside(plain: Column) -> Column:
+    """What of a text without escapes stands outside of strings, if it begins outside; the rest
+    does, if it begins inside."""
+    even = F.filter(F.split(plain, '"'), lambda _, i: i % 2 == 0)
+    return F.when(plain.contains('"'), F.array_join(even, "")).otherwise(plain)
 
 
 def _scan(text: Column, depth: Column, key: str) -> Column:
@@ -98,31 +115,36 @@ def entries(records: DataFrame, key: str = "sgs") -> DataFrame:
     """
     in_block = Window.partitionBy(*BLOCK).orderBy("pos")
     so_far = in_block.rowsBetween(Window.unboundedPreceding, 0)
-    plain = F.regexp_replace("text", ESCAPE, "")
-    quotes = F.length(plain) - F.length(F.replace(plain, F.lit('"'), F.lit("")))
-    known = records.select(
+    text = F.coalesce("text", F.lit(""))
+    plain = F.when(text.contains("\\"), F.regexp_replace(text, ESCAPE, "")).otherwise(text)
+    quotes = F.length(plain) - F.length(F.translate(plain, '"', ""))
+    # What a text says by itself is counted once, before the branches below
+    lines = records.select(
         F.coalesce("source", F.lit("")).alias("source"),
         F.coalesce("block", F.lit(0)).alias("block"),
         "written_at",
         "file",
         "size",
         "pos",
-        F.coalesce("text", F.lit("")).alias("text"),
+        text.alias("text"),
+        (F.octet_length(text) + 1).alias("bytes"),
+        (quotes % 2).alias("odd"),
+        _brackets(plain).alias("all"),
+        _brackets(_outside(plain)).alias("even"),
     ).repartition(*BLOCK)
-    lines = known.select(*BLOCK, "written_at", "file", "size", "pos", "text", (quotes % 2).alias("odd"))
     lines = lines.withColumn("before", F.sum("odd").over(so_far) - F.col("odd"))
     for name, flip in (("shut", 0), ("open", 1)):
         inside = (F.col("before") + flip) % 2 == 1
-        outside = F.when(inside, _outside(plain, True)).otherwise(_outside(plain, False))
+        delta = F.when(inside, F.col("all") - F.col("even")).otherwise(F.col("even"))
         ends = (F.col("before") + F.col("odd") + flip) % 2 == 0
-        lines = lines.withColumn(name, _brackets(outside) - F.when(ends, 1).otherwise(0))
+        lines = lines.withColumn(name, delta - F.when(ends, 1).otherwise(0))
     summary = lines.groupBy(*BLOCK).agg(
         F.sum("odd").alias("odd"),
         F.sum("shut").alias("shut"),
         F.sum("open").alias("open"),
         F.max("file").alias("file"),
         F.max("size").alias("size"),
-        F.sum(F.octet_length("text") + 1).alias("bytes"),
+        F.sum("bytes").alias("bytes"),
     )
     blocks = Window.partitionBy("source").orderBy("block")
     earlier, whole = blocks.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy("source")
