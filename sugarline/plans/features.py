@@ -50,13 +50,18 @@ def build_feature_frame(
 
 
 def process_split(
-    spark: SparkSession, raw_dir: str, split: str, cadence: int = C.CADENCE_SECONDS, in_parts: bool = False
+    spark: SparkSession,
+    raw_dir: str,
+    split: str,
+    cadence: int = C.CADENCE_SECONDS,
+    in_parts: bool = False,
+    in_pieces: bool = False,
 ) -> DataFrame:
     """Features of all subjects whose files belong to the split; empty when there are none.
 
     Each file has a grid of its own; the rows of a subject's files are stacked.
     """
-    events = xml_events.read_split(spark, raw_dir, split, by_file=True, in_parts=in_parts)
+    events = xml_events.read_split(spark, raw_dir, split, by_file=True, in_parts=in_parts, in_pieces=in_pieces)
     features = build_feature_frame(events, cadence)
     return features.withColumn("subject_id", xml_events.subject_of(F.col("subject_id")))
 

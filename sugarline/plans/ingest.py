@@ -101,10 +101,12 @@ def ingest(
     )
 
 
-def _csv_rows(spark: SparkSession, path: str, in_parts: bool) -> tuple[DataFrame, DataFrame, str]:
+def _csv_rows(spark: SparkSession, path: str, in_parts: bool, in_pieces: bool) -> tuple[DataFrame, DataFrame, str]:
     """Sources, and all rows with their outcome as staged: the text is parsed in one pass, whose
     table gives readings, tallies and rejections."""
-    if in_parts:
+    if in_pieces:
+        lines, sources = csv_export.read_piece_lines(spark, path), csv_export.read_piece_sources(spark, path)
+    elif in_parts:
         lines, sources = csv_export.read_part_lines(spark, path), csv_export.read_part_sources(spark, path)
     else:
         lines, sources = csv_export.read_lines(spark, path), csv_export.read_sources(spark, path)
@@ -115,13 +117,19 @@ def _csv_rows(spark: SparkSession, path: str, in_parts: bool) -> tuple[DataFrame
 
 
 def ingest_csv(
-    spark: SparkSession, path: str, store_path: str, ingest_seq: int | None = None, in_parts: bool = False
+    spark: SparkSession,
+    path: str,
+    store_path: str,
+    ingest_seq: int | None = None,
+    in_parts: bool = False,
+    in_pieces: bool = False,
 ) -> IngestResult:
     """Store the readings of a folder's CSV files and report on them.
 
-    ``in_parts``: each export is a folder of part files, as jobs write them.
+    ``in_parts``: each export is a folder of part files, as jobs write them. ``in_pieces``: the
+    folder is a table of pieces.
     """
-    sources, rows, staged_path = _csv_rows(spark, path, in_parts)
+    sources, rows, staged_path = _csv_rows(spark, path, in_parts, in_pieces)
     readings = rows.where(F.col("outcome") == csv_export.READING)
     readings_store.write_readings(readings, store_path, ingest_seq)
     tallies = csv_export.tally(rows)
@@ -135,9 +143,9 @@ def ingest_csv(
     )
 
 
-def csv_statistics(spark: SparkSession, path: str, in_parts: bool = False) -> CsvStatistics:
+def csv_statistics(spark: SparkSession, path: str, in_parts: bool = False, in_pieces: bool = False) -> CsvStatistics:
     """Statistics per CSV file and the files without a valid reading; nothing is stored."""
-    sources, rows, staged_path = _csv_rows(spark, path, in_parts)
+    sources, rows, staged_path = _csv_rows(spark, path, in_parts, in_pieces)
     readings, tallies = rows.where(F.col("outcome") == csv_export.READING), csv_export.tally(rows)
     return CsvStatistics(glycemic_statistics(readings, "source"), reject_sources(sources, tallies), tallies, staged_path)
 
@@ -149,11 +157,13 @@ def ingest_json(
     subject: str | Column,
     ingest_seq: int | None = None,
     in_parts: bool = False,
+    in_pieces: bool = False,
 ) -> IngestResult:
     """``subject`` is one subject's id, or an expression over ``source`` for a folder of many.
 
-    ``in_parts``: each document is a folder of part files, as jobs write them.
+    ``in_parts``: each document is a folder of part files, as jobs write them. ``in_pieces``: the
+    folder is a table of pieces.
     """
     subject = F.lit(subject) if isinstance(subject, str) else subject
-    readings = json_docs.read_cgm_json(spark, path, in_parts).withColumn("subject_id", subject)
-    return ingest(readings, json_docs.read_sources(spark, path, in_parts), store_path, ingest_seq)
+    readings = json_docs.read_cgm_json(spark, path, in_parts, in_pieces).withColumn("subject_id", subject)
+    return ingest(readings, json_docs.read_sources(spark, path, in_parts, in_pieces), store_path, ingest_seq)

@@ -7,7 +7,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from sugarline.session import scratch_dir, touch
+from sugarline.session import scratch_dir
+from sugarline.sources.pieces import write_pieces
 
 CADENCE = 6 * 3600
 SPLIT_AT = "2024-01-21"
@@ -100,13 +101,11 @@ def by_split(df: DataFrame) -> DataFrame:
 # --- files ----------------------------------------------------------------------------------
 
 
-def write_parts(lines: DataFrame, label: str) -> str:
-    """Write (file_name, pos, line) rows as one folder of part files per name, in a new shared
-    folder; its path. Ranges of (file_name, pos) are dealt over the tasks, so that a name of any
-    size makes several parts whose numbers ascend with ``pos``."""
+def write_files(lines: DataFrame, label: str, *empty: str) -> str:
+    """Write (file_name, pos, line) rows as documents in pieces, and documents of no byte, in a new
+    shared folder; its path."""
     folder = scratch_dir(lines.sparkSession, label)
-    dealt = lines.repartitionByRange("file_name", "pos").sortWithinPartitions("file_name", "pos")
-    dealt.select("line", "file_name").write.partitionBy("file_name").text(folder)
+    write_pieces(lines, folder, empty)
     return folder
 
 
@@ -171,7 +170,7 @@ def csv_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def csv_files(spark: SparkSession, sf_dir: str) -> str:
-    """A folder with one export per subject, each a folder of parts, and four exports without a
+    """A table of pieces with one export per subject, and four exports without a
     reading: a header alone, a blank line, no byte, and a header that lacks the time."""
     name = F.element_at(F.split("source", "/"), -1).alias("file_name")
     exports = csv_lines(spark, sf_dir).select(name, "pos", "line")
@@ -180,9 +179,7 @@ def csv_files(spark: SparkSession, sf_dir: str) -> str:
         ("header.csv", 0, header), ("blank.csv", 0, " "), ("broken.csv", 0, header.replace("Time", "Clock")),
         ("broken.csv", 1, "0,2024/01/01,00:00:00,,100"),
     ]
-    folder = write_parts(exports.unionByName(spark.createDataFrame(more, exports.schema)), "exports")
-    touch(spark, f"{folder}/file_name=zero.csv/part-00000")
-    return folder
+    return write_files(exports.unionByName(spark.createDataFrame(more, exports.schema)), "exports", "zero.csv")
 
 
 CSV_CTE = f"""edges AS (SELECT unnest({list(EDGES)}) AS day),
@@ -237,7 +234,7 @@ def json_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def json_files(spark: SparkSession, sf_dir: str) -> str:
-    """A folder with one document per subject, each a folder of parts: the entries of all its events,
+    """A table of pieces with one document per subject: the entries of all its events,
     usable and bad ones, in one list; and a document without a list."""
     docs = json_documents(spark, sf_dir).where(F.startswith("text", F.lit('{"sgs":[{"timestamp":')) & F.endswith("text", F.lit("]}")))
     name = F.concat("subject_id", F.lit(".json")).alias("file_name")
@@ -250,7 +247,7 @@ def json_files(spark: SparkSession, sf_dir: str) -> str:
         )
     )
     lines = data.unionByName(data.select("file_name").distinct().select("file_name", ends))
-    return write_parts(lines.unionByName(spark.createDataFrame([("none.json", 0, '{"sgs":null}')], lines.schema)), "documents")
+    return write_files(lines.unionByName(spark.createDataFrame([("none.json", 0, '{"sgs":null}')], lines.schema)), "documents")
 
 
 JSON_CTE = """documents_used AS (
@@ -312,8 +309,8 @@ def xml_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def xml_files(spark: SparkSession, sf_dir: str) -> str:
-    """A folder with one document per subject and split, each a folder of parts; its streams come in
-    many elements."""
+    """A table of pieces with one document per subject and split; its streams come in many
+    elements."""
     docs = xml_documents(spark, sf_dir).select("file_name", "pos", F.col("element").alias("line"))
     ends = F.inline(
         F.array(
@@ -321,7 +318,7 @@ def xml_files(spark: SparkSession, sf_dir: str) -> str:
             F.struct(F.lit((1 << 63) - 1).alias("pos"), F.lit("</export>").alias("line")),
         )
     )
-    return write_parts(docs.unionByName(docs.select("file_name").distinct().select("file_name", ends)), "events")
+    return write_files(docs.unionByName(docs.select("file_name").distinct().select("file_name", ends)), "events")
 
 
 XML_CTE = f"""xml_events AS (

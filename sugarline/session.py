@@ -111,12 +111,6 @@ def rename(spark: SparkSession, source: str, target: str) -> None:
         raise OSError(f"cannot move {source} to {target}")
 
 
-def touch(spark: SparkSession, path: str) -> None:
-    """Create an empty file."""
-    fs, target = _path(spark, path)
-    fs.create(target).close()
-
-
 def list_files(spark: SparkSession, folder: str) -> list[tuple[str, int, int]]:
     """(path, bytes, modification time in ms) of the files directly in a folder, by path."""
     fs, target = _path(spark, folder)

@@ -17,6 +17,7 @@ from sugarline import constants as C
 from sugarline.functions import parsing
 from sugarline.functions.once import once
 from sugarline.session import list_files, list_folders
+from sugarline.sources import pieces
 from sugarline.sources.csv_rows import BLOCK, logical_rows
 
 LINES_PER_BLOCK = 100_000
@@ -61,6 +62,22 @@ def read_part_lines(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def read_piece_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Lines of exports that are kept in pieces (see ``pieces``). The source is the name."""
+    text = F.regexp_replace("text", "^\ufeff|(?:\r\n|\r|\n)\\z", "")
+    lines = pieces.read_pieces(spark, path).where("text != ''")
+    return lines.select(
+        F.col("file_name").alias("source"),
+        pieces.block().alias("block"),
+        F.posexplode(F.split(text, "\r\n|\r|\n")).alias("pos", "line"),
+    ).withColumn("pos", F.col("pos").cast("bigint"))
+
+
+def read_piece_sources(spark: SparkSession, path: str) -> DataFrame:
+    """Names of all ``*.csv`` exports in pieces, those of zero bytes too."""
+    return csv_only(pieces.read_names(spark, path).withColumnRenamed("file_name", "source"))
+
+
 def read_part_sources(spark: SparkSession, path: str) -> DataFrame:
     """Names of all ``*.csv`` exports in parts, those of zero bytes too."""
     names = [(unquote(f.split("file_name=", 1)[1]),) for f in list_folders(spark, path) if "file_name=" in f]

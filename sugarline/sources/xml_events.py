@@ -16,7 +16,7 @@ from sugarline.functions import parsing
 from sugarline.functions.once import once
 from sugarline.operators.timeline import BASAL, BOLUS, GLUCOSE, MEAL, filter_series
 from sugarline.session import list_folders
-from sugarline.sources import xml_ranges
+from sugarline.sources import pieces, xml_ranges
 
 ATTRIBUTES = {
     "glucose_level": ("_ts", "_value"),
@@ -40,12 +40,18 @@ def in_split(file_name: Column, split: str) -> Column:
     return file_name.endswith(f"-ws-{split}.xml")
 
 
-def discover_split_files(spark: SparkSession, raw_dir: str, split: str, in_parts: bool = False) -> DataFrame:
+def discover_split_files(
+    spark: SparkSession, raw_dir: str, split: str, in_parts: bool = False, in_pieces: bool = False
+) -> DataFrame:
     """Files of the split with their subject, in name order; contents are not read.
 
     ``in_parts``: each document is a folder ``file_name=<name>`` of part files, as jobs write them.
+    ``in_pieces``: the folder is a table of pieces, and stands as the path.
     """
-    if in_parts:
+    if in_pieces:
+        names = pieces.read_names(spark, raw_dir).where(in_split(F.col("file_name"), split))
+        files = names.select(F.lit(raw_dir).alias("path"), "file_name")
+    elif in_parts:
         found = [(f, f.split("file_name=", 1)[1]) for f in list_folders(spark, raw_dir) if "file_name=" in f]
         files = spark.createDataFrame(found, "path string, file_name string")
         files = files.where(in_split(F.col("file_name"), split))
@@ -77,13 +83,15 @@ def parse_xml_texts(docs: DataFrame, by_file: bool = False) -> DataFrame:
 
 
 def read_split(
-    spark: SparkSession, raw_dir: str, split: str, by_file: bool = False, in_parts: bool = False
+    spark: SparkSession, raw_dir: str, split: str, by_file: bool = False, in_parts: bool = False, in_pieces: bool = False
 ) -> DataFrame:
     """Events of all subjects of a split; empty when no file matches.
 
     A file of any size is read by many tasks. ``pos`` ascends through the document.
     """
-    if in_parts:
+    if in_pieces:
+        records = xml_ranges.read_piece_records(spark, raw_dir, f"-ws-{split}.xml")
+    elif in_parts:
         records = xml_ranges.read_part_records(spark, raw_dir, f"-ws-{split}.xml")
     else:
         records = xml_ranges.read_records(spark, raw_dir, FILE_PATTERN.format(split=split))
