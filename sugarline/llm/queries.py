@@ -146,7 +146,7 @@ def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.without_repeats(documents(spark, sf_dir, "doc_id", "text")).select(
         "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"),
         (F.col("n_removed") > 0).alias("has_repeats"),
-        F.make_valid_utf8(F.col("kept").cast("string")).alias("kept_text"),
+        F.make_valid_utf8(F.col("kept").cast("string")).alias("kept_text"), "shares_passage",
     )
 
 

@@ -12,6 +12,10 @@ leftmost one on ties. Equal windows have equal anchors, so
 
 Texts are identified by their md5: copies of a text share all results, and a text that occurs
 twice is repeated as a whole.
+
+Passages that several texts share are counted in words, as ``SIZE`` bytes may be more than a passage
+has: windows of ``WORDS`` words name anchors in the same way, and hashes of whole windows are
+compared only where an anchor has several contents. Such passages are shown, not removed.
 """
 
 from __future__ import annotations
@@ -34,6 +38,8 @@ GRAM = 48
 PLACE_BITS = 22
 #: Further orders that split an anchor, and how often it is split.
 ORDERS, LEVELS = 3, 3
+#: Words of a passage that texts may share, and of the runs that name its anchor.
+WORDS, WORD_GRAM = 51, 8
 _BYTE = np.random.default_rng(20240102).integers(1, 1 << 63, 256, dtype=np.uint64)
 _BASE = 0x9E3779B97F4A7C15
 _tables: dict[str, np.ndarray] = {}
@@ -47,12 +53,44 @@ def _power(name: str, base: int, n: int) -> np.ndarray:
     return _tables[name][:n]
 
 
+def _sums(values: np.ndarray) -> np.ndarray:
+    """Running sums of ``values``, each times a power of its place."""
+    sums = np.zeros(len(values) + 1, np.uint64)
+    np.cumsum(values * _power("up", _BASE, len(values)), out=sums[1:])
+    return sums
+
+
+def run_hashes(values: np.ndarray, length: int) -> np.ndarray:
+    """Hash of each run of ``length`` of the values."""
+    sums = _sums(values)
+    return mixed((sums[length:] - sums[:-length]) * _power("down", pow(_BASE, -1, 1 << 64), len(values) - length + 1))
+
+
 def gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
     """Hash of each run of ``gram`` bytes."""
-    n = len(data)
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(_BYTE[data] * _power("up", _BASE, n), out=sums[1:])
-    return mixed((sums[gram:] - sums[:-gram]) * _power("down", pow(_BASE, -1, 1 << 64), n - gram + 1))
+    return run_hashes(_BYTE[data], gram)
+
+
+def word_hashes(text: bytes, block: int = 1 << 20) -> np.ndarray:
+    """Hash of each word (what stands between ASCII blanks) of a text, worked in blocks; a word that
+    is longer than a block is hashed by itself."""
+    data = np.frombuffer(text, np.uint8)
+    inside = np.zeros(len(data) + 2, bool)
+    inside[1:-1] = (data != 0x20) & ((data < 0x09) | (data > 0x0D))
+    edges = np.flatnonzero(inside[1:] != inside[:-1])
+    starts, ends = edges[::2], edges[1::2]
+    out, i = [np.zeros(0, np.uint64)], 0
+    while i < len(starts):
+        j = max(i + 1, int(np.searchsorted(ends, starts[i] + block, "right")))
+        at, past = int(starts[i]), int(ends[j - 1])
+        if past - at > block:
+            out.append(np.array([_content(text[at:past])], np.int64).view(np.uint64))
+        else:
+            sums, first = _sums(_BYTE[data[at:past]]), starts[i:j] - at
+            down = _power("down", pow(_BASE, -1, 1 << 64), past - at)
+            out.append(mixed((sums[ends[i:j] - at] - sums[first]) * down[first]))
+        i = j
+    return np.concatenate(out)
 
 
 def _window_minimum(values: np.ndarray, window: int) -> np.ndarray:
@@ -66,19 +104,29 @@ def _window_minimum(values: np.ndarray, window: int) -> np.ndarray:
 
 def segments(text: bytes, size: int = SIZE, gram: int = GRAM, block: int = 1 << 20) -> Iterator[tuple[int, int, int, bool]]:
     """(anchor, first window, number of windows, whether windows may repeat inside) of a text."""
-    low = np.uint64((1 << PLACE_BITS) - 1)
     for at in range(0, max(len(text) - size + 1, 0), block):
         data = np.frombuffer(text, np.uint8, min(block + size - 1, len(text) - at), at)
-        hashes = gram_hashes(data, gram)
-        keys = (hashes & ~low) | np.arange(len(hashes), dtype=np.uint64)
-        places = (_window_minimum(keys, size - gram + 1) & low).astype(np.int64)
-        anchors = hashes[places]
-        starts = np.flatnonzero(np.concatenate([[True], anchors[1:] != anchors[:-1]]))
-        ends = np.append(starts[1:], len(anchors))
-        inner = places[starts] != places[ends - 1]
-        yield from zip(
-            anchors[starts].view(np.int64).tolist(), (starts + at).tolist(), (ends - starts).tolist(), inner.tolist(), strict=True
-        )
+        yield from _runs(gram_hashes(data, gram), size - gram + 1, at)
+
+
+def word_segments(words: np.ndarray, size: int, gram: int, block: int = 1 << 20) -> Iterator[tuple[int, int, int, bool]]:
+    """:func:`segments` of a text given by the hashes of its words."""
+    for at in range(0, max(len(words) - size + 1, 0), block):
+        yield from _runs(run_hashes(words[at : at + block + size - 1], gram), size - gram + 1, at)
+
+
+def _runs(hashes: np.ndarray, window: int, at: int) -> Iterator[tuple[int, int, int, bool]]:
+    """Segments of a block that begins at ``at``; a window holds ``window`` grams."""
+    low = np.uint64((1 << PLACE_BITS) - 1)
+    keys = (hashes & ~low) | np.arange(len(hashes), dtype=np.uint64)
+    places = (_window_minimum(keys, window) & low).astype(np.int64)
+    anchors = hashes[places]
+    starts = np.flatnonzero(np.concatenate([[True], anchors[1:] != anchors[:-1]]))
+    ends = np.append(starts[1:], len(anchors))
+    inner = places[starts] != places[ends - 1]
+    yield from zip(
+        anchors[starts].view(np.int64).tolist(), (starts + at).tolist(), (ends - starts).tolist(), inner.tolist(), strict=True
+    )
 
 
 def _content(part: bytes) -> int:
@@ -123,6 +171,74 @@ def segment_rows(docs: DataFrame, size: int, gram: int) -> DataFrame:
     )
 
 
+def word_segment_rows(docs: DataFrame, words: int, gram: int) -> DataFrame:
+    """anchor, content, key, start, windows of the segments of each text, counted in words; a batch
+    gives a text once."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for text in dict.fromkeys(batch.column(0).to_pylist()):
+                data = (text or "").encode()
+                hashes = word_hashes(data)
+                key = hashlib.md5(data).digest()
+                for anchor, start, windows, _ in word_segments(hashes, words, gram):
+                    rows.append((anchor, _content(hashes[start : start + windows + words - 1].tobytes()), key, start, windows))
+            columns = list(zip(*rows, strict=True)) or [[]] * 5
+            kinds = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64()]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)],
+                names=["anchor", "content", "key", "start", "windows"],
+            )
+
+    return docs.select("text").mapInArrow(
+        released(cut), "anchor bigint, content bigint, key binary, start bigint, windows bigint"
+    )
+
+
+def word_windows(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
+    """key and window (hash) of the windows of the wanted segments (key, start, windows)."""
+    lists = wanted.groupBy("key").agg(F.collect_list(F.struct("start", "windows")).alias("places"))
+    texts = docs.where(F.octet_length("text") >= 2 * words - 1).select(text_key(F.col("text")).alias("key"), "text")
+    found = texts.join(lists, "key")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            seen: dict[bytes, np.ndarray] = {}
+            for key, text, places in zip(*batch.columns, strict=True):
+                key = key.as_py()
+                if key not in seen:  # copies of a text in one batch
+                    hashes = run_hashes(word_hashes(text.as_py().encode()), words).view(np.int64)
+                    seen[key] = np.unique(
+                        np.concatenate([hashes[p["start"] : p["start"] + p["windows"]] for p in places.as_py()])
+                    )
+            if seen:
+                owner = np.repeat(np.arange(len(seen)), [len(w) for w in seen.values()])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(list(seen), pa.binary()).take(pa.array(owner)), pa.array(np.concatenate(list(seen.values())))],
+                    names=["key", "window"],
+                )
+
+    return found.select("key", "text", "places").mapInArrow(released(cut), "key binary, window bigint")
+
+
+def shared_passages(docs: DataFrame, words: int = WORDS, gram: int = WORD_GRAM) -> DataFrame:
+    """key of each text that holds ``words`` words in a row which another text, not a copy of it,
+    holds too. Blanks between the words may differ; letters are compared as they are."""
+    rows = stored(word_segment_rows(docs, words, gram), "word-segments")
+    contents = rows.groupBy("anchor", "content").agg(
+        F.min(F.struct("key", "start", "windows")).alias("place"), (F.min("key") != F.max("key")).alias("shared")
+    )
+    contents = stored(contents, "word-contents")
+    anchors = contents.groupBy("anchor").agg((F.min("place.key") != F.max("place.key")).alias("several"))
+    # Only contents of different texts can share a window that is no whole segment
+    wanted = contents.join(anchors.where("several"), "anchor").select("place.*")
+    windows = stored(word_windows(docs, wanted, words), "word-windows")
+    shared = windows.groupBy("window").agg((F.min("key") != F.max("key")).alias("shared")).where("shared")
+    whole = rows.join(contents.where("shared"), ["anchor", "content"], "left_semi").select("key")
+    return whole.unionByName(windows.join(shared, "window", "left_semi").select("key")).distinct()
+
+
 def suspects(rows: DataFrame) -> DataFrame:
     """anchor, content, twice, several, and one place (key, start, windows) of each content, for all
     contents that may hold a repeated window."""
@@ -305,16 +421,20 @@ def _merged(rows: list[tuple[int, int, bytes]], size: int, shard_bytes: int) ->
     )
 
 
-def without_repeats(docs: DataFrame, size: int = SIZE, gram: int = GRAM, shard_bytes: int = 1_000_000) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans and kept (binary) for each row of ``docs`` (doc_id, text).
+def without_repeats(
+    docs: DataFrame, size: int = SIZE, gram: int = GRAM, shard_bytes: int = 1_000_000, words: int = WORDS
+) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept (binary) and shares_passage for each row of ``docs``
+    (doc_id, text).
 
-    Removes every byte of a ``size``-byte string that also starts elsewhere in any text. Null texts
-    count as empty; repeated rows are texts that occur twice; null ids stay null; extra columns are
+    Removes every byte of a ``size``-byte string that also starts elsewhere in any text.
+    ``shares_passage`` says whether the text holds ``words`` words in a row that the text of another
+    row holds too, be they removed or, with fewer bytes than ``size``, not. Null texts count as empty; repeated rows are texts that occur twice; null ids stay null; extra columns are
     ignored; no rows give no result.
     """
     small_batches(docs.sparkSession)
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    rows = segment_rows(docs, size, gram)
+    rows = stored(segment_rows(docs, size, gram), "segment-rows")
     found = stored(suspects(rows), "suspects")
     parts = stored(segment_bytes(docs, found.where("several"), size), "segments")
     runs = stored(repeated_windows(parts, size, gram, shard_bytes), "runs")
@@ -328,14 +448,15 @@ def without_repeats(docs: DataFrame, size: int = SIZE, gram: int = GRAM, shard_b
         .agg(F.collect_set(F.struct("from", "to")).alias("ranges"))
     )
     copies = docs.groupBy(text_key(F.col("text")).alias("key")).agg(F.count("*").alias("copies")).where("copies > 1")
-    marked = stored(ranges.join(copies, "key", "full"), "removals")
+    passages = shared_passages(docs, words, min(WORD_GRAM, words)).withColumn("passage", F.lit(True))
+    marked = stored(ranges.join(copies, "key", "full").join(passages, "key", "full"), "removals")
     keyed = docs.withColumn("key", text_key(F.col("text")))
-    joined = keyed.join(marked, "key", "left").select("doc_id", "text", "ranges", (F.col("copies") > 1).alias("copied"))
+    joined = keyed.join(marked, "key", "left").select("doc_id", "text", "ranges", (F.col("copies") > 1).alias("copied"), "passage")
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for doc_id, text, ranges, copied in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for doc_id, text, ranges, copied, passage in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 data = text.encode()
                 if copied and len(data) >= size:
                     ranges = [{"from": 0, "to": len(data)}]
@@ -349,8 +470,9 @@ def without_repeats(docs: DataFrame, size: int = SIZE, gram: int = GRAM, shard_b
                     at = max(at, r["to"])
                     past = max(past, r["to"])
                 kept.append(data[at:])
-                out.append((doc_id, len(data), removed, spans, b"".join(kept)))
-            doc_id, n_bytes, n_removed, n_spans, kept = zip(*out, strict=True) if out else ((),) * 5
+                shares = bool(passage or (copied and len(word_hashes(data)) >= words))
+                out.append((doc_id, len(data), removed, spans, b"".join(kept), shares))
+            doc_id, n_bytes, n_removed, n_spans, kept, shares = zip(*out, strict=True) if out else ((),) * 6
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(doc_id, pa.int64()),
@@ -358,8 +480,10 @@ def without_repeats(docs: DataFrame, size: int = SIZE, gram: int = GRAM, shard_b
                     pa.array(n_removed, pa.int64()),
                     pa.array(n_spans, pa.int64()),
                     pa.array(kept, pa.binary()),
+                    pa.array(shares, pa.bool_()),
                 ],
-                names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"],
+                names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "shares_passage"],
             )
 
-    return joined.mapInArrow(released(remove), "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary")
+    schema = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary, shares_passage boolean"
+    return joined.mapInArrow(released(remove), schema)

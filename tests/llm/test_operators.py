@@ -192,6 +192,45 @@ def test_repeats_equal_brute_force(spark):
         assert (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) == (len(d), sum(gone), spans, kept)
 
 
+def test_passages_of_over_50_words_that_texts_share_are_shown(spark):
+    """Passages with fewer bytes than the strings that are removed; checked by brute force."""
+    rng = random.Random(12)
+
+    def words(n):
+        return unique_prose(rng, n).split()
+
+    passage, short, edge, inside = words(51), words(50), words(70), words(55)
+    lists = [words(rng.randint(0, 60)) + passage + words(rng.randint(0, 60)) for _ in range(12)]
+    lists += [words(40) + short + words(40) for _ in range(6)]
+    lists += [words(20) + edge[k : k + 60] + words(20) for k in (0, 4, 9, 10, 3)]
+    lists += [words(20) + inside + words(9) + inside + words(20), words(120), words(30), passage, passage[1:], []]
+    copy = words(51)
+    lists += [copy, copy, *[words(50)] * 2, words(10) + [w.upper() for w in passage]]
+    texts = [rng.choice([" ", "\n"]).join(w) for w in lists] + [None, lists[0][0], " \t\n"]
+    texts += ["é" * 200 + " " + " ".join(passage) + " ß", "x".join(passage)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
+    rows = repeats.without_repeats(docs).collect()
+    split = [BLANK.findall(t or "") for t in texts]
+    runs = [{tuple(w[i : i + 51]) for i in range(len(w) - 50)} for w in split]
+    want = {i for i, r in enumerate(runs) if any(r & other for j, other in enumerate(runs) if i != j)}
+    assert {r.doc_id for r in rows if r.shares_passage} == want
+    assert want == {*range(12), *range(18, 23), 26, 29, 30, 37}
+    # The contract's strings of 400 bytes alone are removed
+    assert {r.doc_id for r in rows if r.n_removed and r.shares_passage} < want
+
+
+def test_word_hashes_do_not_depend_on_place_and_block():
+    text = " eins zwei  drei\tzw\u00f6lf eins " + "lang" * 20 + "\nzwei x" + "lang" * 20
+    whole = repeats.word_hashes(text.encode())
+    names = BLANK.findall(text)
+    assert len(whole) == len(names) and len(set(whole.tolist())) == len(set(names))
+    assert whole[0] == whole[names.index("eins", 1)] == repeats.word_hashes(b"eins")[0]
+    for block in (16, 40):
+        hashes = repeats.word_hashes(text.encode(), block)
+        assert [a == b for a, b in zip(hashes, whole, strict=True)] == [len(w.encode()) <= block for w in names]
+    assert len(repeats.word_hashes(b"")) == len(repeats.word_hashes(b" \n")) == 0
+
+
 def test_large_anchors_are_merged_by_binary_search():
     from sugarline.llm.suffixes import Shard
 
