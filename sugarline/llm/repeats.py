@@ -106,27 +106,31 @@ def segments(text: bytes, size: int = SIZE, gram: int = GRAM, block: int = 1 <<
     """(anchor, first window, number of windows, whether windows may repeat inside) of a text."""
     for at in range(0, max(len(text) - size + 1, 0), block):
         data = np.frombuffer(text, np.uint8, min(block + size - 1, len(text) - at), at)
-        yield from _runs(gram_hashes(data, gram), size - gram + 1, at)
+        anchors, starts, windows, inner = _runs(gram_hashes(data, gram), size - gram + 1)
+        yield from zip(anchors.tolist(), (starts + at).tolist(), windows.tolist(), inner.tolist(), strict=True)
 
 
-def word_segments(words: np.ndarray, size: int, gram: int, block: int = 1 << 20) -> Iterator[tuple[int, int, int, bool]]:
-    """:func:`segments` of a text given by the hashes of its words."""
+def word_segments(words: np.ndarray, size: int, gram: int, block: int = 1 << 20) -> Iterator[tuple[np.ndarray, ...]]:
+    """Arrays anchor, content, first window and number of windows of the :func:`segments` of a text
+    that is given by the hashes of its words, block by block."""
     for at in range(0, max(len(words) - size + 1, 0), block):
-        yield from _runs(run_hashes(words[at : at + block + size - 1], gram), size - gram + 1, at)
+        part = words[at : at + block + size - 1]
+        anchors, starts, windows, _ = _runs(run_hashes(part, gram), size - gram + 1)
+        sums, down = _sums(part), _power("down", pow(_BASE, -1, 1 << 64), len(part))
+        content = mixed((sums[starts + windows + size - 1] - sums[starts]) * down[starts] + windows.view(np.uint64))
+        yield anchors, content.view(np.int64), starts + at, windows
 
 
-def _runs(hashes: np.ndarray, window: int, at: int) -> Iterator[tuple[int, int, int, bool]]:
-    """Segments of a block that begins at ``at``; a window holds ``window`` grams."""
+def _runs(hashes: np.ndarray, window: int) -> tuple[np.ndarray, ...]:
+    """Arrays anchor, first window, number of windows, and whether windows may repeat inside, of the
+    segments of a block; a window holds ``window`` grams."""
     low = np.uint64((1 << PLACE_BITS) - 1)
     keys = (hashes & ~low) | np.arange(len(hashes), dtype=np.uint64)
     places = (_window_minimum(keys, window) & low).astype(np.int64)
     anchors = hashes[places]
     starts = np.flatnonzero(np.concatenate([[True], anchors[1:] != anchors[:-1]]))
     ends = np.append(starts[1:], len(anchors))
-    inner = places[starts] != places[ends - 1]
-    yield from zip(
-        anchors[starts].view(np.int64).tolist(), (starts + at).tolist(), (ends - starts).tolist(), inner.tolist(), strict=True
-    )
+    return anchors[starts].view(np.int64), starts, ends - starts, places[starts] != places[ends - 1]
 
 
 def _content(part: bytes) -> int:
@@ -177,19 +181,21 @@ def word_segment_rows(docs: DataFrame, words: int, gram: int) -> DataFrame:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
+            keys, found = [], []
             for text in dict.fromkeys(batch.column(0).to_pylist()):
                 data = (text or "").encode()
-                hashes = word_hashes(data)
-                key = hashlib.md5(data).digest()
-                for anchor, start, windows, _ in word_segments(hashes, words, gram):
-                    rows.append((anchor, _content(hashes[start : start + windows + words - 1].tobytes()), key, start, windows))
-            columns = list(zip(*rows, strict=True)) or [[]] * 5
-            kinds = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64()]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)],
-                names=["anchor", "content", "key", "start", "windows"],
-            )
+                if len(data) < 2 * words - 1:
+                    continue
+                for columns in word_segments(word_hashes(data), words, gram):
+                    keys.append(hashlib.md5(data).digest())
+                    found.append(columns)
+            if keys:
+                owner = np.repeat(np.arange(len(keys)), [len(columns[0]) for columns in found])
+                anchor, content, start, windows = (pa.array(np.concatenate(c)) for c in zip(*found, strict=True))
+                key = pa.array(keys, pa.binary()).take(pa.array(owner))
+                yield pa.RecordBatch.from_arrays(
+                    [anchor, content, key, start, windows], names=["anchor", "content", "key", "start", "windows"]
+                )
 
     return docs.select("text").mapInArrow(
         released(cut), "anchor bigint, content bigint, key binary, start bigint, windows bigint"
@@ -225,17 +231,21 @@ def word_windows(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
 def shared_passages(docs: DataFrame, words: int = WORDS, gram: int = WORD_GRAM) -> DataFrame:
     """key of each text that holds ``words`` words in a row which another text, not a copy of it,
     holds too. Blanks between the words may differ; letters are compared as they are."""
+    name = F.xxhash64("key")  # numbers are aggregated without a sort
     rows = stored(word_segment_rows(docs, words, gram), "word-segments")
+    several = rows.groupBy("anchor").agg((F.min(name) != F.max(name)).alias("several")).where("several")
+    rows = stored(rows.join(several, "anchor", "left_semi"), "shared-anchors")
     contents = rows.groupBy("anchor", "content").agg(
         F.min(F.struct("key", "start", "windows")).alias("place"), (F.min("key") != F.max("key")).alias("shared")
     )
     contents = stored(contents, "word-contents")
-    anchors = contents.groupBy("anchor").agg((F.min("place.key") != F.max("place.key")).alias("several"))
-    # Only contents of different texts can share a window that is no whole segment
-    wanted = contents.join(anchors.where("several"), "anchor").select("place.*")
+    whole = rows.join(contents.where("shared"), ["anchor", "content"], "left_semi").select("key").distinct()
+    whole = stored(whole, "whole-segments")
+    # Texts without a shared segment may share windows inside of one
+    unknown = rows.join(whole, "key", "left_anti").select("anchor").distinct()
+    wanted = stored(contents.join(unknown, "anchor", "left_semi").select("place.*"), "word-places")
     windows = stored(word_windows(docs, wanted, words), "word-windows")
-    shared = windows.groupBy("window").agg((F.min("key") != F.max("key")).alias("shared")).where("shared")
-    whole = rows.join(contents.where("shared"), ["anchor", "content"], "left_semi").select("key")
+    shared = windows.groupBy("window").agg((F.min(name) != F.max(name)).alias("shared")).where("shared")
     return whole.unionByName(windows.join(shared, "window", "left_semi").select("key")).distinct()
 
 
